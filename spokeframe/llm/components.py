@@ -1,0 +1,30 @@
+"""Connected components of a graph whose edges are a DataFrame, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b. Gives id, label for every node of an edge; label is the smallest id that can be reached.
+
+    Each step replaces a node's neighbours by links to the smallest of them (large star: the larger
+    neighbours; small star: the smaller ones), which keeps the components and shortens paths; a graph that
+    a round leaves as it was has become stars around the smallest ids.
+    """
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, before = materialise(edges, "edges"), None
+    while True:
+        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if state == before or not state["n"]:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+        before = state
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges = materialise(small.filter("a <> b").distinct(), "edges")
