@@ -240,8 +240,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with the columns of docs."""
-    found = near_duplicates(docs, percent)
-    gone = materialise(found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    rows = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
-    return rows
+    """The rows of docs that stay, one document of each component, with the columns of docs.
+
+    Rows that share a doc_id are one document. Rows without a doc_id cannot be told apart, and all stay.
+    """
+    found = materialise(near_duplicates(docs, percent), "found")
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
+    repeated = not found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    rows = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    if not repeated:
+        return rows
+    only = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
+    return rows.withColumn("__only", only).dropDuplicates(["doc_id", "__only"]).drop("__only")
