@@ -16,8 +16,11 @@ import hashlib
 import heapq
 import json
 import os
+import re
+import sys
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -29,16 +32,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import materialise
+
 #: Words compiled into the lexicon, and the longest of them in bytes.
 LEXICON, LONGEST = 65_536, 48
 #: Distinct words whose ids a worker keeps between batches.
 KEPT_WORDS = 400_000
 END = "</w>"
-# The vocabulary file's own word pattern after lower-casing; the second is the same for ASCII alone.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters on whose classes all Unicode versions agree; texts with others are cut by the library's own pre-tokenizer.
-UNSURE = regex.compile(r"[^\x00-\u024F\u2010-\u2027\u20AC]")
-ASCII_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+NEVER = 1 << 62
+# The vocabulary file's own word pattern after lower-casing.
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Characters on whose classes all Unicode versions agree, in lower case too; texts with others are cut by the library's own pre-tokenizer.
+SURE = "\x00-\u017F\u2010-\u2027\u20AC"
+UNSURE = re.compile(f"[^{SURE}]")
+ASCII_WORD = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+
+
+def _word_pattern() -> re.Pattern[str]:
+    """The word pattern for texts of sure characters, with its classes spelt out."""
+    sure = "".join(c for c in map(chr, range(0x2030)) if not UNSURE.match(c)) + "\u20ac"
+    letters, digits, spaces = ("".join(map(re.escape, regex.findall(cls, sure))) for cls in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f"{CONTRACTIONS}|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+")
+
+
+WORD = _word_pattern()
 
 
 def byte_chars() -> list[str]:
@@ -63,13 +80,13 @@ class Vocabulary:
         ids = model["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.specials.items()}
-        self.pairs = {}
+        self.pairs: dict[int, int] = {}  # two ids in one number to the merge's rank and new id in one number
         for rank, (a, b) in enumerate(model["model"]["merges"]):
-            self.pairs.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.pairs.setdefault(ids[a] << 20 | ids[b], rank << 20 | ids[a + b])
         chars = byte_chars()
         self.inner, self.last = [ids[c] for c in chars], [ids[c + END] for c in chars]
         self.path, self.library, self.bytes = path, None, {ord(c): b for b, c in enumerate(chars)}
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
     def words(self, text: str) -> list[str]:
         """What the text is cut into: words as normalised, and special tokens."""
@@ -98,24 +115,40 @@ class Vocabulary:
         if word in self.specials:
             return [self.specials[word]]
         data = word.encode("utf-8", "surrogatepass")
-        ids = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        pair = self.pairs.get
+        ranks = [pair(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) != NEVER:
+            i = ranks.index(low)
+            ids[i] = low & 0xFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = pair(ids[i - 1] << 20 | ids[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = pair(ids[i] << 20 | ids[i + 1], NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs over a linked list, for words of any length."""
         right, left = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        pairs = self.pairs
-        heap = [(*pairs[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        pair = self.pairs.get
+        heap = [(found, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (found := pair(a << 20 | b, NEVER)) != NEVER]
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
+            low, i = heapq.heappop(heap)
             j = right[i]
-            if j < 0 or ids[i] < 0 or pairs.get((ids[i], ids[j])) != (rank, new):
+            if j < 0 or ids[i] < 0 or pair(ids[i] << 20 | ids[j]) != low:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = low & 0xFFFFF, -1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for a in (left[i], i):
-                if a >= 0 and right[a] >= 0 and (found := pairs.get((ids[a], ids[right[a]]))):
-                    heapq.heappush(heap, (found[0], a, found[1]))
+                if a >= 0 and right[a] >= 0 and (found := pair(ids[a] << 20 | ids[right[a]], NEVER)) != NEVER:
+                    heapq.heappush(heap, (found, a))
         return [i for i in ids if i >= 0]
 
 
@@ -208,6 +241,14 @@ class Transducer:
         return out
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder:
     """A worker's vocabulary, lexicon, and the ids and decoded bytes of words it has met."""
 
@@ -221,7 +262,7 @@ class Encoder:
         lex, vocabulary = self.lexicon, self.vocabulary
         for word, at in zip(new, lex.places([w.encode("utf-8", "surrogatepass") for w in new]).tolist()):
             ids = lex.ids[lex.starts[at] : lex.starts[at + 1]].tolist() if at >= 0 else vocabulary.merge(word)
-            self.ids[word] = np.array(ids, "<u4").tobytes()
+            self.ids[word] = pack(ids)
             self.shown[word] = self.decode(ids).encode("utf-8", "surrogatepass")
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -279,9 +320,17 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
     """Compiles the most frequent words and ships the file to the executors; gives its name there."""
-    short = word_counts(docs, path).filter(F.octet_length("word") <= LONGEST)
+    counts = materialise(word_counts(docs, path).filter(F.octet_length("word") <= LONGEST), "counts")
+    # How many words there are of each count, a table as long as there are different counts, tells the least count of the `size` most frequent.
+    words = 0
+    least = None
+    for row in counts.groupBy("n").count().orderBy(F.desc("n")).limit(size).collect():
+        words += row["count"]
+        if words > size:
+            break
+        least = row["n"]
+    top = [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()] if least is not None else []
     vocabulary = vocabulary_at(path)
-    top = [r["word"] for r in short.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
     lexicon = Transducer.build({w.encode("utf-8", "surrogatepass"): vocabulary.merge(w) for w in top})
     name = f"lexicon-{hashlib.sha256(path.encode() + lexicon.flat.tobytes()).hexdigest()[:16]}.npy"
     folder = os.path.join(tempfile.gettempdir(), f"spokeframe-lexicons-{os.getpid()}")
