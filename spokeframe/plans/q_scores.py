@@ -54,12 +54,12 @@ def w2(spark, d):
 
 
 @query("A25_A26_name_groups", """
-WITH r AS (SELECT trim(name) AS name, id, start_date FROM activities WHERE trim(name) NOT IN ('', 'Morning Ride', 'Afternoon Ride', 'Evening Ride', 'Lunch Ride') AND id % 50 = 1)
+WITH r AS (SELECT trim(name) AS name, id, start_date FROM activities WHERE trim(name) NOT IN ('', 'Morning Ride', 'Afternoon Ride', 'Evening Ride', 'Lunch Ride'))
 SELECT name, count(*) AS uses, string_agg(CAST(id AS VARCHAR), ',' ORDER BY start_date DESC NULLS LAST, id) AS ids FROM r GROUP BY name""", "activities")
 def a25(spark, d):
     from ..config import GENERIC_NAMES
 
-    rides = t.activities(spark, d).filter("id % 50 = 1").select(F.trim("name").alias("name"), "id", F.coalesce("start_date", F.lit("")).alias("start_date"))
+    rides = t.activities(spark, d).select(F.trim("name").alias("name"), "id", F.coalesce("start_date", F.lit("")).alias("start_date"))
     newest = F.sort_array(F.collect_list(F.struct("start_date", (-F.col("id")).alias("minus"))), asc=False)
     return rides.filter(~F.col("name").isin("", *GENERIC_NAMES)).groupBy("name").agg(F.count("*").alias("uses"), F.array_join(F.transform(newest, lambda x: (-x["minus"]).cast("string")), ",").alias("ids"))
 
@@ -221,12 +221,12 @@ SELECT event_id, CASE WHEN mm > 5 THEN 'high' WHEN mm > 2 THEN 'medium' WHEN mm
   CASE WHEN c LIKE '%thunder%' THEN 'Storm warning' WHEN c LIKE '%snow%' THEN 'Snowy' WHEN regexp_matches(c, 'rain|drizzle') THEN 'Rainy' WHEN w >= 20 THEN w || ' mph crosswind' WHEN w >= 12 THEN w || ' mph wind' WHEN w >= 5 THEN 'Light N wind' ELSE 'Clear' END AS note,
   CASE WHEN c LIKE '%thunder%' THEN 'miserable/Miserable' WHEN f >= 95 OR f <= 25 THEN 'miserable/Extreme Temp' WHEN w >= 25 THEN 'miserable/Very Windy' WHEN c LIKE '%heavy rain%' OR p >= 80 THEN 'miserable/Heavy Rain' WHEN regexp_matches(c, 'rain|drizzle') OR p >= 50 THEN 'poor/Rainy'
     WHEN f >= 85 THEN 'poor/Hot' WHEN f <= 35 THEN 'poor/Cold' WHEN w >= 15 THEN 'poor/Windy' WHEN c LIKE '%snow%' THEN 'poor/Snowy' WHEN regexp_matches(c, 'cloud|overcast') THEN 'fair/Cloudy' WHEN w >= 8 THEN 'fair/Breezy' WHEN f >= 75 OR f <= 45 THEN 'fair/Fair' ELSE 'good/Excellent' END AS banner,
-  CASE WHEN temp_c < 0 OR temp_c > 32 OR w > 30 OR p >= 60 THEN '#dc3545' WHEN temp_c < 8 OR temp_c > 28 OR w > 20 OR p >= 30 THEN '#ffc107' ELSE '#28a745' END AS colour,
-  c LIKE '%thunder%' OR c LIKE '%heavy rain%' OR temp_c < 10 AS transit FROM x WHERE temp_c <> 0""", "weather")
+  CASE WHEN temp_c < 0 OR temp_c > 32 OR w > 30 OR p >= 60 THEN '#dc3545' WHEN (temp_c < 8 AND temp_c <> 0) OR temp_c > 28 OR w > 20 OR p >= 30 THEN '#ffc107' ELSE '#28a745' END AS colour,
+  c LIKE '%thunder%' OR c LIKE '%heavy rain%' OR temp_c < 10 AS transit FROM x""", "weather")
 def c17(spark, d):
     w, f = F.floor("wind_speed_kph").cast("int"), F.col("temp_c") * 9 / 5 + 32
     comfort = F.when(F.col("temp_c") < 10, 0.3).otherwise(0.9)
-    return t.weather(spark, d).filter("temp_c <> 0").select(
+    return t.weather(spark, d).select(
         "event_id", scores.precipitation_risk(F.col("precipitation_mm")).alias("risk"), scores.condition_note(_conditions(), w, F.lit("N")).alias("note"), scores.banner(f, w, _conditions(), F.col("precipitation_prob")).alias("banner"),
         scores.forecast_colour(F.col("temp_c"), w, F.col("precipitation_prob")).alias("colour"), scores.transit_reason(_conditions(), comfort, f, w, F.col("precipitation_mm")).isNotNull().alias("transit"),
     )

@@ -1,6 +1,6 @@
 """All queries of the engine's own operators."""
 
-from .plans import q_functions, q_rollups, q_scores  # noqa: F401
+from .plans import q_functions, q_rollups, q_scores, q_tracks  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -44,7 +44,7 @@ SELECT o_orderkey AS id,
        CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE -8763e-2 + ((o_custkey * 11) % 200 - 100) * 4e-4 END AS end_lon
 FROM orders""",
     "points": """
-SELECT vec_id, label, CAST(i AS INTEGER) AS idx, 4188e-2 + CAST(embedding[2 * i + 1] AS DOUBLE) * 1e-2 AS lat, -8763e-2 + CAST(embedding[2 * i + 2] AS DOUBLE) * 1e-2 AS lon
+SELECT vec_id, label, CAST(i AS INTEGER) AS idx, 4188e-2 + CAST(embedding[2 * i + 1] AS DOUBLE) * 1e-1 AS lat, -8763e-2 + CAST(embedding[2 * i + 2] AS DOUBLE) * 1e-1 AS lon
 FROM embeddings, range(32) t(i)""",
     "routes": """
 SELECT vec_id AS activity_id, CASE WHEN label < 5 THEN 'home_to_work' ELSE 'work_to_home' END AS direction,
@@ -126,7 +126,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, coords: 32 points each."""
     e = table(spark, sf_dir, "embeddings")
     at = lambda i: F.get(F.col("embedding"), i).cast("double")
-    points = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((F.lit(41.88) + at(i * 2) * 1e-2).alias("lat"), (F.lit(-87.63) + at(i * 2 + 1) * 1e-2).alias("lon")))
+    points = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((F.lit(41.88) + at(i * 2) * 1e-1).alias("lat"), (F.lit(-87.63) + at(i * 2 + 1) * 1e-1).alias("lon")))
     return e.select("vec_id", "label", points.alias("coords"))
 
 
