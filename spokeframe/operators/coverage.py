@@ -135,16 +135,21 @@ def segment_distance(lat: Column, lon: Column, a_lat: Column, a_lon: Column, b_l
 def snap(points: DataFrame, edges: DataFrame, tolerance_m: float = 30.0) -> DataFrame:
     """points: id, lat, lon. edges: edge, lat1, lon1, lat2, lon2. id, edge, distance to each point's nearest edge within the tolerance.
 
-    The map is cut into cells of the tolerance; an edge is listed under every cell its widened box touches.
+    The map is cut into cells of twice the tolerance. An edge is listed under the cells around points that lie one
+    tolerance apart on it, so every point within the tolerance of the edge is in one of them.
     """
-    cell = tolerance_m / 111_000
-    low = lambda a, b: F.floor((F.least(a, b) - cell) / cell).cast("long")
-    high = lambda a, b: F.floor((F.greatest(a, b) + cell) / cell).cast("long")
-    lats, lons = (F.col("lat1"), F.col("lat2")), (F.col("lon1"), F.col("lon2"))
-    cells = edges.withColumn("cy", F.explode(F.sequence(low(*lats), high(*lats)))).withColumn("cx", F.explode(F.sequence(low(*lons), high(*lons))))
+    tolerance = tolerance_m / 111_000
+    cell = 2 * tolerance
+    a, b, c, d = (F.col(x) for x in ("lat1", "lon1", "lat2", "lon2"))
+    steps = F.greatest(F.lit(1), F.ceil(F.hypot(c - a, d - b) / tolerance)).cast("int")
+    on = edges.withColumn("steps", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps"))))
+    part = F.col("i") / F.col("steps").cast("double")
+    y, x = F.floor((a + (c - a) * part) / cell).cast("long"), F.floor((b + (d - b) * part) / cell).cast("long")
+    around = F.array(*[F.struct((y + i).alias("cy"), (x + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    cells = on.select("edge", "lat1", "lon1", "lat2", "lon2", F.explode(around).alias("at")).select("edge", "lat1", "lon1", "lat2", "lon2", "at.*").distinct()
     at = points.withColumn("cy", F.floor(F.col("lat") / cell).cast("long")).withColumn("cx", F.floor(F.col("lon") / cell).cast("long"))
-    d = segment_distance(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")])
-    near = at.join(cells, ["cx", "cy"]).withColumn("distance", d).filter(F.col("distance") <= cell)
+    far = segment_distance(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")])
+    near = at.join(cells, ["cx", "cy"]).withColumn("distance", far).filter(F.col("distance") <= tolerance)
     best = near.groupBy("id").agg(F.min(F.struct("distance", "edge")).alias("best"))
     return best.select("id", F.col("best.edge").alias("edge"), F.col("best.distance").alias("distance"))
 

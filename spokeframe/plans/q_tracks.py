@@ -178,38 +178,46 @@ def j12(spark, d):
     return coverage.water_tiles(coverage.all_tiles(spark, t.BOUNDS, 17), _water(spark), 17)
 
 
-def _edges(spark, d):
-    """Roads: the segments of every fifth track."""
-    s = t.tracks(spark, d).filter("vec_id % 5 = 0").select("vec_id", F.posexplode(geo.segments(F.col("coords"))).alias("i", "s"))
-    return s.select((F.col("vec_id") * 100 + F.col("i")).alias("edge"), "s.*")
-
-
-EDGES = f"{SEGMENTS}, edges AS (SELECT vec_id * 100 + idx AS edge, lat1, lon1, lat2, lon2 FROM seg WHERE lat2 IS NOT NULL AND vec_id % 5 = 0)"
+def _edges(spark):
+    """Roads: a grid of streets, cut at their crossings."""
+    i, j = F.col("i"), F.col("j")
+    cells = spark.range(41).select(F.col("id").alias("i")).crossJoin(spark.range(40).select(F.col("id").alias("j")))
+    lat, lon = lambda n: F.lit(41.83) + n * 25e-4, lambda n: F.lit(-87.68) + n * 25e-4
+    across = cells.select((i * 100 + j).alias("edge"), lat(i).alias("lat1"), lon(j).alias("lon1"), lat(i).alias("lat2"), lon(j + 1).alias("lon2"))
+    along = cells.select((10000 + i * 100 + j).alias("edge"), lat(j).alias("lat1"), lon(i).alias("lon1"), lat(j + 1).alias("lat2"), lon(i).alias("lon2"))
+    return across.unionByName(along)
+
+
+EDGES = """edges AS (SELECT i * 100 + j AS edge, 4183e-2 + i * 25e-4 AS lat1, -8768e-2 + j * 25e-4 AS lon1, 4183e-2 + i * 25e-4 AS lat2, -8768e-2 + (j + 1) * 25e-4 AS lon2 FROM range(41) a(i), range(40) b(j)
+UNION ALL SELECT 10000 + i * 100 + j, 4183e-2 + j * 25e-4, -8768e-2 + i * 25e-4, 4183e-2 + (j + 1) * 25e-4, -8768e-2 + i * 25e-4 FROM range(41) a(i), range(40) b(j))"""
 SNAPPED = """pts AS (SELECT vec_id * 100 + idx AS id, lat, lon FROM points), n AS (SELECT id, edge, greatest(0, least(1, ((lon - lon1) * (lon2 - lon1) + (lat - lat1) * (lat2 - lat1)) / nullif(pow(lon2 - lon1, 2) + pow(lat2 - lat1, 2), 0))) AS k, lat, lon, lat1, lon1, lat2, lon2 FROM pts JOIN edges
   ON lat BETWEEN least(lat1, lat2) - 30 / 111000e0 AND greatest(lat1, lat2) + 30 / 111000e0 AND lon BETWEEN least(lon1, lon2) - 30 / 111000e0 AND greatest(lon1, lon2) + 30 / 111000e0),
-d AS (SELECT id, edge, sqrt(pow(lon - (lon1 + k * (lon2 - lon1)), 2) + pow(lat - (lat1 + k * (lat2 - lat1)), 2)) AS dist FROM n), best AS (SELECT id, arg_min(edge, (round(dist, 12), edge)) AS edge, min(dist) AS dist FROM d WHERE dist <= 30 / 111000e0 GROUP BY 1)"""
+d AS (SELECT id, edge, sqrt(pow(lon - (lon1 + k * (lon2 - lon1)), 2) + pow(lat - (lat1 + k * (lat2 - lat1)), 2)) AS dist FROM n), best AS (SELECT id, min(dist) AS dist FROM d WHERE dist <= 30 / 111000e0 GROUP BY 1)"""
 
 
 @query("J11_snap_to_roads", f"WITH {EDGES}, {SNAPPED} SELECT id, round(dist, 9) AS distance FROM best", "points")
 def j11(spark, d):
     at = t.points(spark, d).select((F.col("vec_id") * 100 + F.col("idx")).alias("id"), "lat", "lon")
-    return coverage.snap(at, _edges(spark, d)).select("id", F.round("distance", 9).alias("distance"))
+    return coverage.snap(at, _edges(spark)).select("id", F.round("distance", 9).alias("distance"))
 
 
 @query("A17_road_coverage")
 def a17(spark, d):
-    dense = coverage.interpolate(t.tracks(spark, d).filter("vec_id % 5 = 1"), "vec_id")
+    dense = coverage.interpolate(t.tracks(spark, d), "vec_id")
     at = dense.select(F.xxhash64("vec_id", "idx", "i").alias("id"), "lat", "lon")
-    edges = _edges(spark, d)
+    edges = _edges(spark)
     ridden = coverage.snap(at, edges).select("edge").distinct().withColumn("ridden", F.lit(1))
     all_ = edges.join(ridden, "edge", "left").agg(F.count("*").alias("total_edges"), F.coalesce(F.sum("ridden"), F.lit(0)).alias("ridden_edges"))
     return all_.select("total_edges", "ridden_edges", (F.col("total_edges") - F.col("ridden_edges")).alias("unridden_edges"), F.bround(F.col("ridden_edges") / F.greatest("total_edges", F.lit(1)) * 100, 1).alias("coverage_pct"))
 
 
-def _scan(spark, d, zoom=17):
-    visited = coverage.crossed_tiles(t.tracks(spark, d).filter("vec_id % 40 = 0"), zoom).distinct()
-    water = coverage.water_tiles(coverage.all_tiles(spark, t.BOUNDS, zoom), _water(spark), zoom)
-    return visited, exploration.reachable(visited, water, t.BOUNDS, zoom, t.HOME, 2.0)
+AREA, ZOOM, REACH_KM = (41.80, -87.75, 41.96, -87.52), 16, 8.0
+
+
+def _scan(spark, d):
+    visited = coverage.crossed_tiles(t.tracks(spark, d), ZOOM).distinct()
+    water = coverage.water_tiles(coverage.all_tiles(spark, AREA, ZOOM), _water(spark), ZOOM)
+    return visited, exploration.reachable(visited, water, AREA, ZOOM, t.HOME, REACH_KM)
 
 
 @query("P20_reachable_tiles")
@@ -225,13 +233,13 @@ def x5(spark, d):
 @query("X7_G26_G27_zone_scores")
 def x7(spark, d):
     visited, tiles = _scan(spark, d)
-    return exploration.score_zones(exploration.zones(tiles), visited, 17, t.HOME)
+    return exploration.score_zones(exploration.zones(tiles), visited, ZOOM, t.HOME)
 
 
 @query("X8_X9_exploration_tours")
 def x8(spark, d):
     visited, tiles = _scan(spark, d)
-    return exploration.tours(exploration.zones(tiles), visited, 17, t.HOME, 8.0)
+    return exploration.tours(exploration.zones(tiles), visited, ZOOM, t.HOME, 4 * REACH_KM)
 
 
 @query("A36_merged_corridors", f"""
