@@ -12,12 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bytes of an Arrow batch to Python workers, where the session has Spark's own default of 64 MB.
+BATCH = "8m"
+
+
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers on this host import the package from where the driver has it."""
+    """Lets Python workers on this host import the package from where the driver has it, and bounds what a worker holds.
+
+    Long texts make large batches, of which each task has copies in the JVM and in its worker; so batches are smaller,
+    and workers give freed memory back.
+    """
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(1 << 20))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("64MB", "64m", f"{1 << 26}b", str(1 << 26)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
