@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialise
+from .common import materialise, parts
 
 #: Words compiled into the lexicon, and the longest of them in bytes.
 LEXICON, LONGEST = 65_536, 48
 #: Distinct words whose ids a worker keeps between batches.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 END = "</w>"
 NEVER = 1 << 62
 # The vocabulary file's own word pattern after lower-casing.
@@ -291,6 +291,7 @@ def vocabulary_at(path: str) -> Vocabulary:
 
 def _encoder(path: str, name: str) -> Encoder:
     if (path, name) not in _loaded:
+        _loaded.clear()  # an earlier lexicon's words would only take memory
         _loaded[path, name] = Encoder(vocabulary_at(path), Transducer.open(SparkFiles.get(name)))
     return _loaded[path, name]
 
@@ -301,7 +302,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
-    for batch in batches:
+    for batch in parts(batches):
         for text in batch["text"].to_pylist():
             if text:
                 found.update(vocabulary.words(text))
@@ -344,11 +345,9 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path, name)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            ids, shown = zip(*encoder.encode(part["text"].to_pylist()))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([x.decode("utf-8", "surrogatepass") for x in shown], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+    for part in parts(batches):
+        ids, shown = zip(*encoder.encode(part["text"].to_pylist()))
+        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([x.decode("utf-8", "surrogatepass") for x in shown], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

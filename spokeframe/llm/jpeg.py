@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: Payload bytes that are encoded, and media bytes that are decoded, at a time.
-SLICE = 2_000_000
+SLICE = 500_000
 #: Rows of blocks in 65,535 pixels.
 TALLEST = 8191
 END_OF_BLOCK, SIXTEEN_ZEROS = 0x00, 0xF0
@@ -340,7 +342,7 @@ def _slices(items: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, 500):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
         for a, b in _slices(raw):
             padded = [x + bytes(64 - len(x) if not x else -len(x) % 64) for x in raw[a:b]]
@@ -355,7 +357,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "thumbnail_hash"]
-    for batch in batches:
+    for batch in parts(batches, 500):
         media = batch["media"].to_pylist()
         for a, b in _slices(media):
             cells: list[list] = [[] for _ in names[2:]]

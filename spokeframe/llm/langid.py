@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: Bound of the fit: labelled texts drawn for a language, and bytes of its dictionary.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 112_640
 #: Bytes of text that are compressed at a time, so that dictionaries and not earlier text explain them.
@@ -87,7 +89,7 @@ class Judge:
 
 def _judged(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
     judge = Judge(dictionaries)
-    for batch in batches:
+    for batch in parts(batches):
         found = list(map(judge.judge, batch["text"].to_pylist()))
         lang, score, margin = ([x[i] for x in found] for i in range(3))
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "margin"])
@@ -113,7 +115,7 @@ def keep_rows(docs: DataFrame) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(dictionaries)
         at = names.index("text")
-        for batch in batches:
+        for batch in parts(batches):
             mask = [judge.judge(t)[2] >= MARGIN for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(mask, pa.bool_()))
 

@@ -26,15 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, parts
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 48, 8
 SEED = 20_240_601
 #: Distinct words whose hashes a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 #: Characters of text that are hashed at a time.
-SLICE = 4_000_000
+SLICE = 1_000_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -124,7 +124,7 @@ def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     factors = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(rows)], np.uint64)
-    for batch in batches:
+    for batch in parts(batches):
         n, hi, lo, keys = [], [], [], []
         for s in shingle_sets(batch["text"].to_pylist()):
             n.append(len(s))
@@ -151,18 +151,17 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        a, b, texts_a, texts_b = (batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b"))
+    for batch in parts(batches, 128):
+        a, texts_a, texts_b = (batch[c].to_pylist() for c in ("a", "text_a", "text_b"))
+        first = {i: t for i, t in zip(a, texts_a) if i not in held}
+        held = {i: held[i] for i in set(a) if i in held} | dict(zip(first, shingle_sets(list(first.values()))))
         keep = []
-        for at in range(0, len(a), 256):
-            part = slice(at, at + 256)
-            first = {i: t for i, t in zip(a[part], texts_a[part]) if i not in held}
-            held = {i: held[i] for i in set(a[part]) if i in held} | dict(zip(first, shingle_sets(list(first.values()))))
-            for i, other in zip(a[part], shingle_sets(texts_b[part])):
-                one = held[i]
-                both = len(one) + len(other) - len(np.union1d(one, other))
-                keep.append(100 * both >= percent * (len(one) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+        for i, other in zip(a, shingle_sets(texts_b)):
+            one = held[i]
+            both = len(one) + len(other) - len(np.union1d(one, other))
+            keep.append(100 * both >= percent * (len(one) + len(other) - both))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

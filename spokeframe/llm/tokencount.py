@@ -21,6 +21,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: What ends a section.
 SECTION = re.compile(rb"\n\s*")
 
@@ -65,19 +67,17 @@ def attribute(ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _counted(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "section", "first_byte", "n_bytes", "n_tokens", "n_crossing", "doc_tokens"]
     encode, sizes = encoding(path, pattern)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            cells: list[list] = [[] for _ in names]
-            part = batch.slice(at, 500)
-            for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                text = text or ""
-                bounds = sections(text.encode("utf-8", "surrogatepass"))
-                ends = np.cumsum(sizes[encode.encode_ordinary(text)]) if text else np.zeros(0, np.int64)
-                n = len(bounds) - 1
-                tokens, crossing = attribute(ends, bounds) if len(ends) else (np.zeros(n, np.int64),) * 2
-                for cell, x in zip(cells, ([doc_id] * n, range(n), bounds[:-1].tolist(), np.diff(bounds).tolist(), tokens.tolist(), crossing.tolist(), [len(ends)] * n)):
-                    cell.extend(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names)
+    for part in parts(batches):
+        cells: list[list] = [[] for _ in names]
+        for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
+            text = text or ""
+            bounds = sections(text.encode("utf-8", "surrogatepass"))
+            ends = np.cumsum(sizes[encode.encode_ordinary(text)]) if text else np.zeros(0, np.int64)
+            n = len(bounds) - 1
+            tokens, crossing = attribute(ends, bounds) if len(ends) else (np.zeros(n, np.int64),) * 2
+            for cell, x in zip(cells, ([doc_id] * n, range(n), bounds[:-1].tolist(), np.diff(bounds).tolist(), tokens.tolist(), crossing.tolist(), [len(ends)] * n)):
+                cell.extend(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names)
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
