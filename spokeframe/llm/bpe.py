@@ -37,7 +37,7 @@ from .common import materialise, parts
 #: Words compiled into the lexicon, and the longest of them in bytes.
 LEXICON, LONGEST = 65_536, 48
 #: Distinct words whose ids a worker keeps between batches.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 120_000
 END = "</w>"
 NEVER = 1 << 62
 # The vocabulary file's own word pattern after lower-casing.

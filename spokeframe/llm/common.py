@@ -1,58 +1,14 @@
-"""What the operators of this subpackage share: reading tables and cutting lineage."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..shared import materialise, ready, shared_dir, table
 
-
-def ready(spark: SparkSession) -> None:
-    """Lets Python workers on this host import the package from where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(":")
-    if ROOT not in paths:
-        env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ready(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, a temporary one is set."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spokeframe-")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/spokeframe-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the JVM has gone first; the cluster's own retention removes the folder
-        pass
-
-
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: a lost executor repeats nothing before this point."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "parts", "ready", "shared_dir", "table"]
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import materialise, parts
-from .components import components
 
 WORDS, BANDS, ROWS = 5, 48, 8
 SEED = 20_240_601
