@@ -28,7 +28,7 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     env.setdefault("MALLOC_TRIM_THRESHOLD_", str(1 << 20))
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("64MB", "64m", f"{1 << 26}b", str(1 << 26)):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("64MB", "64m", f"{1 << 26}b", str(1 << 26)):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
