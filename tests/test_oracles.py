@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -23,9 +24,9 @@ def con():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
+        if isinstance(v, (int, float, np.number)) and not isinstance(v, bool):
             return float(v)
         return str(v)
 
