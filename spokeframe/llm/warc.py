@@ -37,6 +37,8 @@ FILE_BYTES = 16_000_000
 #: Records that a file's dictionary is trained on, and its largest size.
 TRAINED_ON, DICTIONARY_BYTES = 200, 16_384
 LEVEL = 3
+#: Bytes of a file that a frame is first sought in, doubled until it ends: what is left over is copied, so it must not be the whole file.
+STEP = 4096
 # Fixed values of the format: magic numbers of a frame and of the dictionary's skippable frame, and header names.
 FRAME, SKIPPABLE = b"\x28\xb5\x2f\xfd", 0x184D2A5D
 VERSION = b"WARC/1.1"
@@ -113,15 +115,17 @@ def frames(data: bytes) -> Iterator[bytes]:
             continue
         if data[at : at + 4] != FRAME:
             raise ValueError(f"no frame at byte {at}")
-        frame = unpack.decompressobj()
+        frame, held, end, step = unpack.decompressobj(), [], at, STEP
         try:
-            held = frame.decompress(view[at:])
+            while not frame.eof and end < len(data):
+                held.append(frame.decompress(view[end : end + step]))
+                end, step = min(len(data), end + step), 2 * step
         except zstandard.ZstdError as e:
             raise ValueError(f"frame at byte {at}: {e}") from None
         if not frame.eof:
             raise ValueError(f"the frame at byte {at} is cut short")
-        at = len(data) - len(frame.unused_data)
-        yield held
+        at = end - len(frame.unused_data)
+        yield b"".join(held)
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
