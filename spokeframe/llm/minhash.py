@@ -6,10 +6,10 @@ empty bin takes the hash of the first filled one in a random order of its own (o
 band of ROWS bins is a bucket. In a bucket only star edges are made, from one centre to the others, so a
 bucket of n makes n - 1 candidates. The centre is the member that meets most others in all its buckets.
 
-Candidates are compared on full sets in rounds: each node with its best centre; then the other star
-edges that would join two components; then, for nodes that still share a bucket with another component, stars
-in buckets of two bands each and stars around centres drawn at random. A round's work is linear in
-its bucket rows, whatever the sizes of buckets.
+Candidates are compared on full sets: each node with its best centre; then the other star edges that would
+join two components. Buckets of three or more that then still hold two components are finished exactly: their members, joined
+ones too, form groups by the buckets they share, and all pairs of a group's different components are counted out on full
+sets, a block of members against a block at a time. Blocks that lie in one component are not compared.
 
 Defined cases: a null or blank text has n_shingles 0 and is linked with nothing; a null doc_id is never a
 component_id, and its row is in its copies' component, or has none; rows that share a doc_id are one node;
@@ -18,12 +18,14 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -35,6 +37,8 @@ SEED = 20_240_601
 KEPT_WORDS = 200_000
 #: Characters of text that are hashed at a time.
 SLICE = 1_000_000
+#: Members of a block of a group, and shingles of all its members.
+MEMBERS, HELD = 2048, 1_000_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -197,6 +201,115 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _label(_label(pairs, labels, "a"), labels, "b").filter("of_a <> of_b").drop("of_a", "of_b")
 
 
+def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold two components. In buckets of two, the star has compared all there is."""
+    two = _label(met, labels, "id").groupBy("key").agg(F.count("*").alias("size"), F.min("of_id").alias("least"), F.max("of_id").alias("most"))
+    return met.join(two.filter("size > 2 and least <> most"), "key", "left_semi")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts(batches):
+        sets = shingle_sets(batch["text"].to_pylist())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+
+
+def _block(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block's sets in one value: what most members have (base), and for each member where it differs, in the order of the shingles."""
+    sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    vocab, col = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    base = np.bincount(col, minlength=len(vocab)) * 2 > len(sets)
+    place = np.cumsum(base) - 1
+    has = np.zeros((len(sets), int(base.sum())), bool)
+    common = base[col]
+    has[row[common], place[col[common]]] = True
+    lost = np.nonzero(~has)
+    row, col = np.r_[row[~common], lost[0]], np.r_[col[~common], np.flatnonzero(base)[lost[1]]]
+    order = np.argsort(col, kind="stable")
+    held = rows["id"].to_numpy(), rows["of"].to_numpy(), sizes, vocab, base, row[order].astype(np.int32), np.bincount(col, minlength=len(vocab)).astype(np.int32)
+    return pd.DataFrame({"group": rows["group"][:1], "block": rows["block"][:1], "held": [pickle.dumps(held)]})
+
+
+def _at(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of `counts` places from `starts` on: each place, and the run it is in."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    return np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts), run
+
+
+def shared_counts(one: tuple, other: tuple) -> np.ndarray:
+    """How many shingles each member of a block shares with each of the other. Shingles of many pairs are counted by products of matrices, of few by lists."""
+    sides, (_, *ats) = (one, other), np.intersect1d(one[3], other[3], assume_unique=True, return_indices=True)
+    m = [len(x[0]) for x in sides]
+    flips = [x[6][at].astype(np.int64) for x, at in zip(sides, ats)]
+    starts = [(np.cumsum(x[6], dtype=np.int64) - x[6])[at] for x, at in zip(sides, ats)]
+    base = [x[4][at] for x, at in zip(sides, ats)]
+    dense = base[0] | base[1] | (flips[0] * flips[1] * 256 > m[0] * m[1])
+    both = np.zeros(m, np.float32)
+    wide = np.flatnonzero(dense)
+    for at in range(0, len(wide), 1024):
+        some, tables = wide[at : at + 1024], []
+        for side in (0, 1):
+            has = np.repeat(base[side][some][None, :].astype(np.float32), m[side], axis=0)
+            place, run = _at(starts[side][some], flips[side][some])
+            has[sides[side][5][place], run] = 1 - base[side][some][run]
+            tables.append(has)
+        both += tables[0] @ tables[1].T
+    thin = np.flatnonzero(~dense)
+    pairs = flips[0][thin] * flips[1][thin]
+    cuts = np.flatnonzero(np.diff(np.cumsum(pairs) // 1_000_000)) + 1
+    for some in np.split(thin, cuts):
+        if len(some):
+            place, run = _at(np.zeros(len(some), np.int64), flips[0][some] * flips[1][some])
+            i, j = np.divmod(place, flips[1][some][run])
+            at = sides[0][5][starts[0][some][run] + i].astype(np.int64) * m[1] + sides[1][5][starts[1][some][run] + j]
+            both += np.bincount(at, minlength=m[0] * m[1]).reshape(m)
+    return both
+
+
+def _joins(one: tuple, other: tuple, percent: int) -> list[tuple[int, int]]:
+    """Linked members of two blocks, as many as join the components that the blocks' links join."""
+    both = shared_counts(one, other).astype(np.float64)
+    linked = (both > 0) & ((100 + percent) * both >= percent * (one[2][:, None] + other[2][None, :])) & (one[1][:, None] != other[1][None, :])
+    names, at = np.unique(np.r_[one[1], other[1]], return_inverse=True)
+    of_one, of_other, now, out = at[: len(one[0])], at[len(one[0]) :], np.arange(len(names)), []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        to = np.flatnonzero(linked[i])
+        new, first = np.unique(now[of_other[to]], return_index=True)
+        mine = now[of_one[i]]
+        out += [(int(one[0][i]), int(other[0][to[f]])) for n, f in zip(new, first) if n != mine]
+        now[np.isin(now, new)] = mine
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in parts(batches, 1):
+        found = _joins(pickle.loads(batch["one"][0].as_py()), pickle.loads(batch["other"][0].as_py()), percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def finish(rows: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """rows: key, id, n, of open buckets. Links (a, b) that join all components of which two members in one bucket are linked."""
+    first = rows.groupBy("key").agg(F.min("id").alias("b"))
+    groups = components(rows.join(first, "key").select(F.col("id").alias("a"), "b")).select("id", F.col("label").alias("group"))
+    sized = _label(rows.groupBy("id").agg(F.max("n").alias("n")).join(groups, "id"), labels, "id").withColumnRenamed("of_id", "of")
+    order = Window.partitionBy("group").orderBy("of", "id")
+    block = F.floor((F.row_number().over(order) - 1) / MEMBERS) + F.floor(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / HELD)
+    members = materialise(sized.withColumn("block", block).drop("n"), "members")
+    blocks = members.groupBy("group", "block").agg(F.min("of").alias("least"), F.max("of").alias("most"))
+    i, j = (blocks.select("group", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "least", "most")]) for k in (1, 2))
+    pairs = i.join(j, "group").filter("block_1 <= block_2 and not (least_1 = most_1 and least_2 = most_2 and least_1 = least_2)").select("group", "block_1", "block_2")
+    pairs = materialise(pairs, "pairs")
+    used = pairs.select("group", F.explode(F.array("block_1", "block_2")).alias("block")).distinct()
+    wanted = members.join(used, ["group", "block"], "left_semi")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = given.mapInArrow(_sets, "id long, shingles binary").filter(F.length("shingles") > 0).distinct()
+    held = materialise(wanted.join(sets, "id").groupBy("group", "block").applyInPandas(_block, "group long, block long, held binary"), "blocks")
+    one, other = (held.select("group", F.col("block").alias(f"block_{k}"), F.col("held").alias(c)) for k, c in ((1, "one"), (2, "other")))
+    joined = pairs.join(one, ["group", "block_1"]).join(other, ["group", "block_2"]).select("one", "other")
+    return joined.mapInArrow(lambda it: _compared(it, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     signed = materialise(sign(docs), "signed")
@@ -212,25 +325,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = materialise(given.join(ids, "doc_id", "left_semi"), "texts")
 
     best = stars.groupBy("b").agg(F.max(F.struct("degree", "shared", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
-    links = materialise(confirm(best, texts, percent), "links")
-    labels = materialise(components(links), "labels")
+    labels = materialise(components(materialise(confirm(best, texts, percent), "links")), "labels")
 
-    def more(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        found = materialise(confirm(_apart(pairs, labels), texts, percent), "links")
+    def more(found: DataFrame) -> None:
+        nonlocal labels
+        found = materialise(found, "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
             labels = materialise(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(found)), "labels")
 
-    more(stars)
-    mixed = materialise(_apart(stars, labels).select(F.explode(F.array("a", "b")).alias("id")).distinct(), "mixed")
-    if not mixed.isEmpty():
-        two = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.transform(F.array(F.lit(1), F.lit(2)), lambda s: F.xxhash64(F.get("bands", i), F.get("bands", F.pmod(i + s, F.lit(BANDS)))))))
-        finer = linkable.join(mixed, "id", "left_semi").select(F.explode(two).alias("key"), "id", F.col("n_shingles").alias("n"))
-        more(_stars(_met(finer), F.col("degree"), percent))
-        for turn in range(2):
-            some = met.join(mixed, "id", "left_semi")
-            more(_stars(some, F.xxhash64("id", "key", F.lit(turn)), percent))
+    more(confirm(_apart(stars, labels), texts, percent))
+    left = materialise(_open(met, labels), "open")
+    if not left.isEmpty():
+        more(finish(left, labels, docs, percent))
 
     named = nodes.join(labels.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left").select(*same, F.coalesce("label", "id").alias("component_id"))
     out = signed.drop("bands").join(named, same, "left")

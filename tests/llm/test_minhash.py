@@ -1,9 +1,11 @@
 """Near-duplicates against all pairs."""
 
+import pickle
 import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from spokeframe.llm import minhash
 from tests.llm.conftest import SCHEMA, rows
@@ -71,6 +73,37 @@ def test_hub_of_a_star_is_not_the_smallest_id(spark):
     assert set(got.values()) == {0}
 
 
+def edited_copies(seed, copies, words, edits):
+    """Copies of one text, which is not among them, each edited at places of its own."""
+    rnd = random.Random(seed)
+    base = ["o%d" % i for i in range(words)]
+    out = []
+    for c in range(copies):
+        copy = list(base)
+        for at in rnd.sample(range(words), edits):
+            copy[at] = f"n{c}x{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_copies_without_their_original(spark):
+    texts = edited_copies(11, 450, 200, 2)
+    want = {d: c for d, (_, c, _) in brute(list(enumerate(texts)), 85).items()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows(texts), SCHEMA), 85).collect()}
+    assert [d for d in want if got[d] != want[d]] == []
+
+
+def test_shared_counts_of_blocks():
+    draw = np.random.default_rng(4)
+    held = []
+    for n in (70, 90):
+        sets = [np.unique(np.r_[draw.integers(0, 40, 60), draw.integers(100, 9000, 300)]).astype(np.uint64) for _ in range(n)]
+        frame = pd.DataFrame({"group": 1, "block": 1, "id": range(n), "of": range(n), "shingles": [s.tobytes() for s in sets]})
+        held.append((sets, pickle.loads(minhash._block(frame)["held"][0])))
+    want = [[len(np.intersect1d(a, b)) for b in held[1][0]] for a in held[0][0]]
+    assert minhash.shared_counts(held[0][1], held[1][1]).tolist() == want
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
     given, got = odd_docs.collect(), minhash.near_duplicates(odd_docs).collect()
