@@ -104,6 +104,13 @@ def test_shared_counts_of_blocks():
     assert minhash.shared_counts(held[0][1], held[1][1]).tolist() == want
 
 
+def test_joined_members_stay_in_open_buckets(spark):
+    """Bucket 1: member 2 has joined its centre, 1, and 9 is apart and too large for a star edge. 2: of one component. 3: of two members."""
+    met = spark.createDataFrame([(1, 1, 10, 3), (1, 2, 10, 3), (1, 9, 99, 3), (2, 1, 10, 3), (2, 2, 10, 3), (2, 3, 10, 3), (3, 1, 10, 2), (3, 9, 99, 2)], "key long, id long, n long, degree long")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, label long")
+    assert sorted((r.key, r.id) for r in minhash._open(met, labels).collect()) == [(1, 1), (1, 2), (1, 9)]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
     given, got = odd_docs.collect(), minhash.near_duplicates(odd_docs).collect()
