@@ -16,8 +16,8 @@ from . import coverage
 QUADRANTS = ("NE", "SE", "SW", "NW")
 #: A tour may pass its distance by so much; a zone must give so many tiles a km; visited tiles on the way cost so much.
 TOLERANCE, LEAST_PER_KM, OVERLAP = 1.15, 0.15, 0.5
-#: Zones of a quadrant that a tour is built from.
-POOL = 12
+#: Zones of a quadrant that a tour is built from: of one grid, of each of two, and for out and back.
+POOL, POOL_OF_TWO, POOL_OUT = 12, 8, 1
 INSET_M = 5.0
 
 
@@ -36,6 +36,12 @@ def zones(tiles: DataFrame) -> DataFrame:
     return coverage.flood_fill(shifted.withColumn("x", F.col("x") + far)).withColumn("x", F.col("ox")).drop("ox", "tile")
 
 
+def with_neighbours(tiles: DataFrame) -> DataFrame:
+    """Tiles by the tours that may take them: those of their own quadrant and of the one before it."""
+    takes = F.filter(F.array(*[F.lit(q) for q in QUADRANTS]), lambda q: (q == F.col("quadrant")) | (geo.next_quadrant(q) == F.col("quadrant")))
+    return tiles.withColumn("quadrant", F.explode(takes))
+
+
 def border_ratio(zoned: DataFrame, visited: DataFrame) -> DataFrame:
     """zone, border_ratio: of the sides that lead out of a zone, the share that leads to visited tiles."""
     sides = F.array(*[F.struct((F.col("x") + i).alias("nx"), (F.col("y") + j).alias("ny")) for i, j in ((0, 1), (0, -1), (1, 0), (-1, 0))])
@@ -99,17 +105,19 @@ def way_tiles(a: tuple[float, float], b: tuple[float, float], zoom: int) -> list
     return list(zip(x.tolist(), y.tolist()))
 
 
-def insertion_tour(start: tuple[float, float], end: tuple[float, float], zones_: list[dict], km: float, zoom: int, visited: set, exponent: float) -> list[int]:
+def insertion_tour(start: tuple[float, float], end: tuple[float, float], zones_: list[dict], km: float, zoom: int, visited: set | dict[int, set], exponent: float) -> list[int]:
     """Places of the zones (lat, lon, n_tiles, km) in their order on the tour.
 
     It begins with the farthest zone. Then the zone and the place between two stops with the most new tiles for the
     detour come in, until none gives enough or the tour gets too long. Tiles on legs already chosen count as visited.
+    Zones of several grids have their `zoom`, and visited holds a set for each; a leg claims tiles of the grid of the zone it came in for.
     """
     left = sorted(range(len(zones_)), key=lambda i: (-zones_[i]["km"], i))
-    claimed, point = set(visited), lambda i: (zones_[i]["lat"], zones_[i]["lon"])
+    level, point = lambda i: zones_[i].get("zoom", zoom), lambda i: (zones_[i]["lat"], zones_[i]["lon"])
+    claimed = {level(i): set() for i in left} | {z: set(t) for z, t in (visited if isinstance(visited, dict) else {zoom: visited}).items()}
     tour = [left.pop(0)] if left else []
     if tour:
-        claimed.update(way_tiles(start, point(tour[0]), zoom), way_tiles(point(tour[0]), end, zoom))
+        claimed[level(tour[0])].update(way_tiles(start, point(tour[0]), level(tour[0])), way_tiles(point(tour[0]), end, level(tour[0])))
     left.sort()
     length = lambda stops: sum(haversine_km(a, b) for a, b in zip([start, *map(point, stops)], [*map(point, stops), end]))
     while left:
@@ -118,7 +126,7 @@ def insertion_tour(start: tuple[float, float], end: tuple[float, float], zones_:
             for at in range(len(tour) + 1):
                 before, after = point(tour[at - 1]) if at else start, point(tour[at]) if at < len(tour) else end
                 detour = max(haversine_km(before, point(i)) + haversine_km(point(i), after) - haversine_km(before, after), 0.01)
-                known = sum(t in claimed for leg in ((before, point(i)), (point(i), after)) for t in way_tiles(*leg, zoom))
+                known = sum(t in claimed[level(i)] for leg in ((before, point(i)), (point(i), after)) for t in way_tiles(*leg, level(i)))
                 gain = max(zones_[i]["n_tiles"] - OVERLAP * known, 0.1)
                 if gain / detour >= LEAST_PER_KM and (best is None or gain / detour**exponent > best[0]):
                     best = gain / detour**exponent, i, at, before, after
@@ -128,24 +136,52 @@ def insertion_tour(start: tuple[float, float], end: tuple[float, float], zones_:
         longer = [*tour[:at], i, *tour[at:]]
         if length(longer) > km * TOLERANCE:
             break
-        claimed.update(way_tiles(before, point(i), zoom), way_tiles(point(i), after, zoom))
+        claimed[level(i)].update(way_tiles(before, point(i), level(i)), way_tiles(point(i), after, level(i)))
         tour = longer
         left.remove(i)
     return tour
 
 
-def _tour(rows: pd.DataFrame, start: tuple, end: tuple, km: float, zoom: int, exponent: float) -> pd.DataFrame:
-    rows = rows.sort_values("place").reset_index(drop=True)
-    seen = {(t["x"], t["y"]) for t in rows["near"][0]} if len(rows) else set()
-    stops = insertion_tour(start, end, rows[["lat", "lon", "n_tiles", "km"]].to_dict("records"), km, zoom, seen, exponent)
-    return rows.iloc[stops][["quadrant", "zone", "lat", "lon", "n_tiles"]].assign(stop=range(1, len(stops) + 1))
+def headwind(wind: tuple[float, float], a: tuple[float, float], b: tuple[float, float]) -> float:
+    """Of wind (speed, direction), the part that comes from ahead on the way from a to b."""
+    la, lb, d = math.radians(a[0]), math.radians(b[0]), math.radians(b[1] - a[1])
+    travel = math.degrees(math.atan2(math.sin(d) * math.cos(lb), math.cos(la) * math.sin(lb) - math.sin(la) * math.cos(lb) * math.cos(d)))
+    return wind[0] * math.cos(math.radians(wind[1] - travel))
 
 
-def tours(zoned: DataFrame, visited: DataFrame, zoom: int, start: tuple[float, float], km: float, efficient: bool = False) -> DataFrame:
-    """quadrant, stop, zone, lat, lon, n_tiles: a round tour in each quadrant. A group holds POOL zones and the visited tiles in reach of a quadrant."""
-    pool = score_zones(zoned, visited, zoom, start).filter(F.col("place") <= POOL).join(best_corner(zoned, zoom, start), "zone")
-    at = coverage.centres(visited.select("x", "y").distinct(), zoom)
-    here = [F.lit(start[0]), F.lit(start[1]), F.col("lat"), F.col("lon")]
-    near = at.filter(geo.haversine_m(*here) / 1000 <= km * TOLERANCE / 2).agg(F.collect_list(F.struct("x", "y")).alias("near"))
-    run = partial(_tour, start=start, end=start, km=km, zoom=zoom, exponent=1.0 if efficient else 0.4)
-    return pool.crossJoin(near).groupBy("quadrant").applyInPandas(lambda rows: run(rows), "quadrant string, zone long, lat double, lon double, n_tiles long, stop long")
+def _tour(rows: pd.DataFrame, start: tuple, end: tuple, km: float, zoom: int, exponent: float, wind: tuple | None, columns: list[str]) -> pd.DataFrame:
+    rows = rows.sort_values(["grid", "place"]).reset_index(drop=True)
+    seen: dict[int, set] = {}
+    for t in rows["near"][0]:
+        seen.setdefault(t["zoom"], set()).add((t["x"], t["y"]))
+    zones_ = rows[["lat", "lon", "n_tiles", "km", "zoom"]].to_dict("records")
+    stops = insertion_tour(start, end, zones_, km, zoom, seen, exponent)
+    if wind and start == end and len(stops) > 1:
+        first, last = (headwind(wind, start, (zones_[i]["lat"], zones_[i]["lon"])) for i in (stops[0], stops[-1]))
+        stops = stops[::-1] if last > first else stops
+    return rows.iloc[stops].assign(stop=range(1, len(stops) + 1))[columns]
+
+
+def tours(zoned: DataFrame, visited: DataFrame, zoom: int, start: tuple[float, float], km: float, efficient: bool = False, shape: str = "loop", end: tuple[float, float] | None = None, second: tuple[DataFrame, DataFrame, int] | None = None, wind: tuple[float, float] | None = None) -> DataFrame:
+    """quadrant, stop, zone, lat, lon, n_tiles: a tour in each quadrant. A group holds at most 16 zones and the visited tiles in reach.
+
+    A loop takes zones of its quadrant and the next one clockwise as one area; out_and_back the best zone of its quadrant; with
+    an end it goes from point to point. Reach is the caller's: km / 4 of round trips, km / 3 of others. second: zoned, visited
+    and zoom of another grid, whose zones are told apart by a column zoom. wind: speed and direction; a round trip begins into it.
+    """
+    cap = POOL_OUT if shape == "out_and_back" and not end else POOL_OF_TWO if second else POOL
+    here, far = [F.lit(start[0]), F.lit(start[1]), F.col("lat"), F.col("lon")], max(km * TOLERANCE / 2, haversine_km(start, end or start))
+    pools, near, own = [], [], []
+    for grid, (tiles, seen, level) in enumerate([(zoned, visited, zoom), *([second] if second else [])]):
+        own.append(tiles.select("quadrant"))
+        if shape == "loop" and not end:
+            tiles = zones(with_neighbours(tiles.drop("zone")))
+        best = score_zones(tiles, seen, level, start).filter(F.col("place") <= cap).join(best_corner(tiles, level, start), "zone")
+        pools.append(best.select("quadrant", "zone", "n_tiles", "km", "place", "lat", "lon", F.lit(grid).alias("grid"), F.lit(level).cast("long").alias("zoom")))
+        at = coverage.centres(seen.select("x", "y").distinct(), level)
+        near.append(at.filter(geo.haversine_m(*here) / 1000 <= far).select(F.lit(level).cast("long").alias("zoom"), "x", "y"))
+    pool, own, near = (x[0].unionByName(x[1]) if second else x[0] for x in (pools, own, near))
+    pool = pool.join(own.distinct(), "quadrant", "left_semi").crossJoin(near.agg(F.collect_list(F.struct("zoom", "x", "y")).alias("near")))
+    columns = "quadrant string, zone long, lat double, lon double, n_tiles long, stop long" + (", zoom long" if second else "")
+    run = partial(_tour, start=start, end=end or start, km=km, zoom=zoom, exponent=1.0 if efficient else 0.4, wind=wind, columns=[c.split()[0] for c in columns.split(", ")])
+    return pool.groupBy("quadrant").applyInPandas(lambda rows: run(rows), columns)

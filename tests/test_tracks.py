@@ -248,6 +248,30 @@ def test_tours_from_tiles(spark):
         assert r.quadrant in exploration.QUADRANTS and exploration.haversine_km(start, at) < 14 and 0 <= degrees < 360
 
 
+def test_loops_take_the_next_quadrant(spark):
+    start, none = (41.88, -87.63), spark.createDataFrame([], "x long, y long")
+    at = coverage.centres(spark.createDataFrame([(4205, y) for y in range(6086, 6098)], "x long, y long"), 14)
+    tiles = at.withColumn("quadrant", geo.quadrant(geo.bearing(F.lit(start[0]), F.lit(start[1]), F.col("lat"), F.col("lon"))))
+    sides = {r.quadrant: r["count"] for r in tiles.groupBy("quadrant").count().collect()}
+    assert set(sides) == {"NE", "SE"}
+    found = lambda **more: {(r.quadrant, r.n_tiles) for r in exploration.tours(exploration.zones(tiles), none, 14, start, 40.0, **more).collect()}
+    assert found() == {("NE", 12), ("SE", sides["SE"])}
+    assert found(shape="out_and_back") == found(end=(41.9, -87.6)) == set(sides.items())
+
+
+def test_tours_of_two_grids_and_wind(spark):
+    start, none = (41.88, -87.63), spark.createDataFrame([], "x long, y long")
+    grid = lambda zoom, xy: exploration.zones(coverage.centres(spark.createDataFrame(xy, "x long, y long"), zoom).withColumn("quadrant", F.lit("NE")))
+    one, two = grid(14, [(4208, 6086), (4208, 6087), (4212, 6084)]), grid(15, [(8424, 12180), (8425, 12180)])
+    go = lambda **more: [(r.zoom, r.lat, r.lon) for r in sorted(exploration.tours(one, none, 14, start, 80.0, second=(two, none, 15), **more).collect(), key=lambda r: r.stop)]
+    plain = go()
+    assert {z for z, _, _ in plain} == {14, 15}
+    for degrees in (0.0, 90.0, 180.0, 270.0):
+        turned = go(wind=(20.0, degrees))
+        ahead = [exploration.headwind((20.0, degrees), start, p[1:]) for p in (plain[0], plain[-1])]
+        assert turned == (plain[::-1] if ahead[1] > ahead[0] else plain)
+
+
 def geo_bearing(a, b):
     la, lb, d = math.radians(a[0]), math.radians(b[0]), math.radians(b[1] - a[1])
     return math.degrees(math.atan2(math.sin(d) * math.cos(lb), math.cos(la) * math.sin(lb) - math.sin(la) * math.cos(lb) * math.cos(d))) % 360
