@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .ranking import runs
+from .ranking import cumulative_midpoint, runs, turns
 
 # Highway types of little use in a name, signs of access paths, drives that count as streets.
 NOISY = ("service", "track", "path", "unclassified")
@@ -21,12 +21,27 @@ def access_path(street: Column) -> Column:
     return F.coalesce(low.rlike(ACCESS) | side, F.lit(False))
 
 
-def sample_points(tracks: DataFrame, key: str, wanted: int = 10) -> DataFrame:
-    """key, idx, lat, lon: start, end, middle and evenly spaced points of each track."""
-    n = F.size("coords")
-    step = F.greatest(F.lit(1), F.floor(n / (wanted - 2))).cast("int")
-    places = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.floor(n / 2).cast("int"), n - 1), F.sequence(F.lit(0), n - 1, step))))
-    return tracks.filter(n > 0).select(key, F.explode(places).alias("idx"), "coords").select(key, "idx", F.get("coords", F.col("idx")).alias("p")).select(key, "idx", "p.lat", "p.lon")
+def sample_points(tracks: DataFrame, key: str, wanted: int = 10, commute: int = 20) -> DataFrame:
+    """key, idx, lat, lon: tracks under ten points whole, of others the ends, turns, the middle of the way and, where these are fewer than wanted, evenly spaced points.
+
+    No more than wanted are taken, from the start on. Commutes, told by `direction`, have a number of their own. A place passed again counts as its first passing.
+    """
+    tracks = tracks.filter(F.size("coords") > 0)
+    at = tracks.select(key, F.posexplode("coords").alias("idx", "p")).select(key, "idx", "p.lat", "p.lon")
+    turned = turns(tracks, key).groupBy(key).agg(F.array_sort(F.collect_list("idx")).alias("turns"))
+    known = tracks.join(turned, key, "left").join(cumulative_midpoint(at, key).withColumnRenamed("idx", "middle"), key, "left")
+    n, none = F.size("coords"), F.array().cast("array<int>")
+    most = F.when(F.col("direction").isin(*SUFFIX), commute).otherwise(wanted) if "direction" in tracks.columns else F.lit(wanted)
+    first = lambda places: F.transform(places, lambda i: (F.array_position("coords", F.get("coords", i)) - 1).cast("int"))
+    known = known.withColumn("most", most).withColumn("chosen", first(F.concat(F.array(F.lit(0)), F.coalesce("turns", none), F.array(n - 1))))
+    middle = first(F.array(F.coalesce("middle", F.lit(0))))
+    known = known.withColumn("chosen", F.concat("chosen", F.array_except(middle, "chosen")))
+    missing = F.col("most") - F.size("chosen")
+    known = known.withColumn("step", F.greatest(F.lit(1), F.floor(n / F.greatest(F.lit(1), missing + 1))).cast("int"))
+    even = F.when((missing > 0) & (n - F.col("step") > F.col("step")), F.sequence(F.col("step"), F.greatest(F.col("step"), n - F.col("step") - 1), F.col("step"))).otherwise(none)
+    filled = F.concat("chosen", F.slice(F.array_except(first(even), "chosen"), F.lit(1), F.greatest(F.lit(0), missing)))
+    places = F.when(n < 10, F.sequence(F.lit(0), n - 1)).otherwise(F.slice(F.array_sort(filled), F.lit(1), F.col("most")))
+    return known.select(key, F.explode(places).alias("idx"), "coords").select(key, "idx", F.get("coords", F.col("idx")).alias("p")).select(key, "idx", "p.lat", "p.lon")
 
 
 def segments(points: DataFrame, details: DataFrame, synonyms: dict[str, str] | None = None) -> DataFrame:

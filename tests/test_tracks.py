@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spokeframe.config import COMMUTE, LONG_RIDE
 from spokeframe.functions import geo, polyline
-from spokeframe.operators import coverage, exploration, graph, grouping, locations, similarity
+from spokeframe.operators import coverage, exploration, graph, grouping, locations, naming, similarity
 from spokeframe.operators.asof import asof_join
 from spokeframe.operators.ranking import runs
 
@@ -301,3 +301,21 @@ def test_route_types(spark):
     assert got == ["out-and-back", "loop", "point-to-point", "point-to-point"]
     flags = [r.o for r in df.select("key", locations.out_and_back(F.col("coords")).alias("o")).orderBy("key").collect()]
     assert flags == [True, False, False, False]
+
+
+def test_points_for_names(spark):
+    """A detour of two turns inside one even stride is sampled, commutes get more points, the middle is that of the way."""
+    street = [(41.9 + i * 1e-4, -87.6) for i in range(101)] + [(41.91, -87.6 + i * 1e-3) for i in range(1, 100)]
+    short = street[:7]
+    df = spark.createDataFrame([(1, street, "home_to_work"), (2, street, None), (3, short, None)], "key long, coords array<struct<lat:double,lon:double>>, direction string")
+    got = {}
+    for r in naming.sample_points(df, "key").collect():
+        got.setdefault(r.key, []).append(r.idx)
+    steps = [1000 * exploration.haversine_km(a, b) for a, b in zip(street, street[1:])]
+    middle = next(i for i in range(200) if sum(steps[:i]) >= sum(steps) / 2)
+    for key, n in ((1, 20), (2, 10)):
+        chosen = [0, 100, 199, middle]
+        step = 200 // (n - len(chosen) + 1)
+        fill = [i for i in range(step, 200 - step, step) if i not in chosen][: n - len(chosen)]
+        assert sorted(got[key]) == sorted(chosen + fill)[:n]
+    assert sorted(got[3]) == list(range(7))
