@@ -304,7 +304,7 @@ def test_route_types(spark):
 
 
 def test_points_for_names(spark):
-    """A detour of two turns inside one even stride is sampled, commutes get more points, the middle is that of the way."""
+    """The turn is sampled, commutes get more points, the middle is that of the way."""
     street = [(41.9 + i * 1e-4, -87.6) for i in range(101)] + [(41.91, -87.6 + i * 1e-3) for i in range(1, 100)]
     short = street[:7]
     df = spark.createDataFrame([(1, street, "home_to_work"), (2, street, None), (3, short, None)], "key long, coords array<struct<lat:double,lon:double>>, direction string")
