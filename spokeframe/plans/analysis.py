@@ -22,7 +22,7 @@ def analyse(rides: DataFrame, wind_kph: float, wind_from: float, config: EngineC
         raise ValueError("the rides have no two places where they often start or end")
     ways = rides.withColumn("direction", locations.direction(rides, at["home"], at["work"], config.near_m)).filter("direction is not null and size(coords) > 1")
     routes = materialise(ways.select(F.col("id").alias("activity_id"), "direction", "distance", F.col("moving_time").alias("duration"), F.col("total_elevation_gain").alias("elevation_gain"), "average_speed", "coords"), "routes")
-    edges = materialise(similarity.commute_pairs(routes, "activity_id", ["direction"]).filter(F.col("similarity") >= config.similarity).select("a", "b"), "pairs")
+    edges = materialise(similarity.commute_pairs(routes, "activity_id", ["direction"], config.similarity).select("a", "b"), "pairs")
     grouped = grouping.pivot_groups(routes, edges, "activity_id", "activity_id").join(routes.select("activity_id", "direction"), "activity_id")
     members = materialise(grouping.number_groups(grouped, "direction", "activity_id").select("activity_id", "group_id"), "members")
     ranked = ranking.rank_routes(routes.join(members, "activity_id"), wind_kph, wind_from, by="direction", config=config)

@@ -44,9 +44,7 @@ def g10(spark, d):
 def g13(spark, d):
     """Every track against the representative of each group."""
     r = similarity.with_km(t.routes(spark, d))
-    reps = rollups.representative(r).select("group_id", F.col("km").alias("rep"), F.col("shape").alias("rep_shape"))
-    both = r.select("activity_id", "km", "shape").crossJoin(F.broadcast(reps)).filter(similarity.passes_km(F.col("shape"), F.col("rep_shape"), LONG_RIDE))
-    far = both.select("activity_id", "group_id", similarity.km_distance(F.col("km"), F.col("rep")).alias("distance_km"))
+    far = similarity.km_distances(r, rollups.representative(r), "activity_id", "group_id", LONG_RIDE)
     return far.withColumn("similarity", similarity.km_similarity(F.col("distance_km")))
 
 
@@ -59,7 +57,7 @@ def j7(spark, d):
 @query("X3_pivot_groups")
 def x3(spark, d):
     r = t.routes(spark, d)
-    edges = similarity.commute_pairs(r, "activity_id", ["direction"]).filter("similarity >= 0.1").select("a", "b")
+    edges = similarity.commute_pairs(r, "activity_id", ["direction"], 0.1).select("a", "b")
     grouped = grouping.pivot_groups(r, edges, "activity_id", "activity_id")
     return grouping.number_groups(grouped.join(r.select("activity_id", "direction"), "activity_id"), "direction", "activity_id").select("activity_id", "pivot", "group_id")
 
@@ -86,7 +84,7 @@ def x14(spark, d):
     scored = d_.select("activity_id", "group_id", similarity.commute_similarity(F.col("d.frechet"), F.col("d.percentile_hausdorff")).alias("similarity"))
     matched = grouping.assign_to_groups(new, scored, "activity_id", 0.2)
     rest = new.join(matched.filter("group_id is null"), "activity_id", "left_semi")
-    edges = similarity.commute_pairs(rest, "activity_id", ["direction"]).filter("similarity >= 0.2").select("a", "b")
+    edges = similarity.commute_pairs(rest, "activity_id", ["direction"], 0.2).select("a", "b")
     own = grouping.pivot_groups(rest, edges, "activity_id", "activity_id")
     return matched.join(own, "activity_id", "left").select("activity_id", "group_id", "pivot")
 
