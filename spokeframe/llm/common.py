@@ -5,10 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..shared import materialise, ready, shared_dir, table
+from ..shared import materialise, ready, running, shared_dir, table
 
-__all__ = ["materialise", "parts", "ready", "shared_dir", "table"]
+__all__ = ["fresh", "materialise", "parts", "ready", "row_hash", "running", "shared_dir", "table"]
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """One hash of all columns of a row; of maps, which have no hash, that of their JSON."""
+    hashed = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if any(kind in f.dataType.simpleString() for kind in ("map<", "variant")) else F.col(f"`{f.name}`")
+    return F.xxhash64(*[hashed(f) for f in docs.schema.fields])
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -63,3 +64,26 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Adds `place`, from 0, in an order over all rows (or all of each `by`), and under new names the sums of columns over the rows before.
+
+    Rows are dealt out by ranges of the order, so each task sorts one range; a row a range, read back from a written
+    table, carries on what the ranges before it hold. Rows that tie in the order are in one range.
+    """
+    by, sums = by or [], sums or {}
+    ranged = materialise(rows.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = {"place": F.count("*"), **{name: F.sum(column) for column, name in sums.items()}}
+    held = ranged.groupBy(*by, "__range").agg(*[t.alias(f"__{name}") for name, t in totals.items()])
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    firsts = held.select(F.col("__range").alias("__of"), *[F.col(c).alias(f"__by_{c}") for c in by], *[zero(F.sum(f"__{name}").over(earlier)).alias(f"__{name}") for name in totals])
+    own = Window.partitionBy("__range", *by).orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumns({"place": (F.row_number().over(own) - 1).cast("long"), **{name: zero(F.sum(column).over(before)) for column, name in sums.items()}})
+    same = F.col("__range") == F.col("__of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    found = found.join(firsts, same).withColumns({name: F.col(name) + F.col(f"__{name}") for name in totals})
+    return found.select(*rows.columns, *totals)

@@ -113,3 +113,37 @@ def test_pareto_order_gives_equal_shares(spark):
     for r in got:
         by[r.source].append(r.copies)
     assert all(max(x) - min(x) < 0.1 for x in by.values())
+
+
+def test_ties_come_near_the_target(spark):
+    """Rows that draw the same number are counted one by one: without an id, under one id, with other columns, and all alike."""
+    for ids, texts in (([None] * 1000, ["w " * 10] * 1000), ([7] * 1000, ["w " * 10] * 1000), ([None] * 1000, [f"w{i} " * 10 for i in range(1000)])):
+        rows_ = [(i, t, "a", k % 3) for k, (i, t) in enumerate(zip(ids, texts))] + [(1000 + i, "v " * 10, "b", 0) for i in range(1000)]
+        df = spark.createDataFrame(rows_, "doc_id long, text string, source string, copies long")
+        got = mixing.mix_documents(df).collect()
+        assert len(got) == 2000
+        for source in "ab":
+            mine = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5, source
+        mixed = mixing.mix_rows(df)
+        assert mixed.columns == df.columns
+        for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect():
+            assert abs(r.n * 10 - next(x.target for x in got if x.source == r.source)) <= 5
+        most = mixed.groupBy(*df.columns).count().agg(F.max("count")).first()[0]
+        assert most <= 3 * max(1, sum(1 for r in rows_ if r == rows_[0]))
+
+
+def test_inclusion_follows_the_length_class(spark):
+    """Long documents are wanted more often, whole copies come for certain, and Pareto order includes each class by its share."""
+    df = spark.createDataFrame([(i, "w " * (3, 20, 150)[i % 3], "ab"[i % 2]) for i in range(24000)], "doc_id long, text string, source string")
+    keyed = mixing._keyed(df, F.xxhash64("text"))
+    plan = mixing.wanted_copies(keyed.groupBy("source", "class").agg(F.sum("size").alias("words"))).collect()
+    got = mixing.mix_documents(df).groupBy("source", mixing.length_class(F.col("size")).alias("class")).agg(F.avg("copies").alias("copies"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    want = {(r.source, r["class"]): r.certain + r.share for r in plan}
+    assert len({round(r.share, 6) for r in plan}) > 3 and {r.certain for r in plan} >= {0, 1}
+    for r in got:
+        assert abs(r.copies - want[r.source, r["class"]]) < 0.03
+    for s in "ab":
+        assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 75
+        by_class = sorted((r["class"], want[r.source, r["class"]]) for r in got if r.source == s)
+        assert all(abs(m * by_class[0][0] - by_class[0][1] * k) < 1e-9 for k, m in by_class if m < 3)
