@@ -1,16 +1,16 @@
 """Exact duplicates by deterministic block naming, as DataFrame expressions.
 
-Texts are cut into blocks of BLOCK characters. Equal blocks get one integer, their place among the
-sorted distinct blocks; then adjacent pairs of integers are named the same way, again and again, until a
+Every text is cut into blocks of BLOCK characters. Equal blocks get one integer, their place among the
+sorted distinct blocks; then adjacent pairs of integers are named the same way, again and again, until each
 document has one. Documents of equally many blocks with the same last name have the same text: names
-stand for contents and not for hashes, so they never collide. Only documents whose length and
-hash another document shares are named; the others equal none.
+stand for contents and not for hashes, so they never collide. Blocks are sorted by a hash first; where all distinct blocks of a hash
+are one, the hash tells rows of that block as surely as its characters do, and only it is joined. Blocks that share a hash are told apart by their characters.
 
 Texts are compared after each run of white space became one space. Defined cases: null text counts as
 empty, and all empty texts are equal; rows with a null doc_id take part, and one stays only where its
 group has no doc_id at all; rows that repeat a doc_id and text are told apart by nothing, so all of them
-or none are kept here, and `keep_rows` leaves one of them; an empty table gives an empty result;
-other columns are not read.
+or none are kept by `find_copies`, and `keep_rows` leaves one of them; an empty table gives an empty result;
+other columns are not read by `find_copies` and kept by `keep_rows`, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: Characters of a block.
 BLOCK = 2048
@@ -44,13 +44,29 @@ def named(distinct: DataFrame, by: list[str]) -> DataFrame:
     return bucketed.withColumn("own", own).join(F.broadcast(firsts), "bucket").select(*by, (F.col("first") + F.col("own")).alias("name"))
 
 
-def identities(rows: DataFrame) -> DataFrame:
-    """rows: doc, a key of the row, and text. Gives doc, n_blocks, name; (n_blocks, name) is the same for equal texts and for no others."""
+def block_hash(block: Column) -> Column:
+    return F.xxhash64(block)
+
+
+def named_blocks(rows: DataFrame) -> DataFrame:
+    """rows: doc, text. doc, n_blocks, pos, name of every block of every text."""
     cut = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
     rows = rows.select("doc", F.when(F.length("text") > 0, cut).otherwise(F.array(F.lit(""))).alias("blocks"))
-    blocks = rows.select("doc", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block"))
-    names = named(blocks.select("block").distinct(), ["block"])
-    level = materialise(blocks.join(names, "block").select("doc", "n_blocks", "pos", "name"), "level")
+    blocks = rows.select("doc", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block")).withColumn("hash", block_hash(F.col("block")))
+    light = materialise(blocks.select("doc", "n_blocks", "pos", "hash"), "blocks")
+    hashes = materialise(blocks.select("hash", "block").distinct().groupBy("hash").agg(F.count("*").alias("n")), "hashes")
+    level = light.join(named(hashes.select("hash"), ["hash"]), "hash")
+    shared = hashes.filter("n > 1").select("hash")
+    if not shared.isEmpty():
+        alike = materialise(blocks.join(shared, "hash", "left_semi"), "alike")
+        names = named(alike.select("hash", "block").distinct(), ["hash", "block"]).withColumn("name", F.col("name") + hashes.count())
+        level = level.join(shared, "hash", "left_anti").unionByName(alike.join(names, ["hash", "block"]).drop("block"))
+    return level.select("doc", "n_blocks", "pos", "name")
+
+
+def identities(rows: DataFrame) -> DataFrame:
+    """rows: doc, a key of the row, and text. Gives doc, n_blocks, name; (n_blocks, name) is the same for equal texts and for no others."""
+    level = materialise(named_blocks(rows), "level")
     most = level.agg(F.max("n_blocks")).first()[0] or 1
     done, width = level.filter("n_blocks = 1").select("doc", "n_blocks", "name"), 1
     while width < most:
@@ -63,37 +79,31 @@ def identities(rows: DataFrame) -> DataFrame:
         level = materialise(pairs.join(names, ["left", "right"]).select("doc", "n_blocks", "pos", "name"), "level")
         width *= 2
         done = done.unionByName(level.filter(F.col("n_blocks") <= width).select("doc", "n_blocks", "name"))
-    return done.distinct()
+    return done
 
 
 def find_copies(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
-    keyed = keyed.select("doc_id", F.length("text").alias("len"), F.xxhash64("text").alias("hash"), "text")
-    light = materialise(keyed.withColumn("text_sha256", F.sha2("text", 256)).drop("text"), "light")
-    shared = materialise(light.groupBy("len", "hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
-    # Rows with the same doc_id, or none, and the same length and hash are one to the naming.
-    doc = F.struct(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"), "len", "hash")
-    candidates = materialise(keyed.join(shared, ["len", "hash"], "left_semi").select(doc.alias("doc"), "text"), "candidates")
-    found = identities(candidates)
-    group = ["len", "hash", "n_blocks", "name"]
-    members = light.withColumn("doc", doc).join(found, "doc").select("doc_id", "text_sha256", *group)
-    members = materialise(members, "members")
-    groups = members.groupBy(*group).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    copies = members.join(groups, group).select("doc_id", "keep_id", "group_size", "text_sha256")
-    alone = light.join(shared, ["len", "hash"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-    out = alone.unionByName(copies)
+    rows = materialise(keyed.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text", F.sha2("text", 256).alias("text_sha256")), "rows")
+    found = identities(rows.select("doc", "text"))
+    members = materialise(rows.drop("text").join(found, "doc").drop("doc"), "members")
+    groups = members.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    out = members.join(groups, ["n_blocks", "name"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs without later copies, with its columns. Rows that agree in doc_id and text are left once."""
-    found = materialise(find_copies(docs), "copies")
-    gone = found.filter("not kept").select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
-    repeated = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
-    sha = F.sha2(normalised(docs["text"]), 256)
-    rows = docs.join(gone, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 62))) == gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
-    return rows.withColumn("__sha", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", "__sha"]).drop("__sha") if repeated else rows
+    """The rows of docs without later copies, with its columns. Of rows that agree in doc_id and text one is left."""
+    row = fresh("row", docs.columns)
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = identities(rows.select(F.col(row).alias("doc"), normalised(F.col("text")).alias("text")))
+    ids = rows.select(F.col(row).alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    members = materialise(found.join(ids, "doc"), "members")
+    stays = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc")).alias("stays")
+    groups = members.groupBy("n_blocks", "name").agg(stays, F.count("*").alias("n")).filter("n > 1")
+    gone = members.join(groups, ["n_blocks", "name"]).filter("doc <> stays.doc").select(F.col("doc").alias(row))
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""

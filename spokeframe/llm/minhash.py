@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import materialise, parts
+from .common import fresh, materialise, parts
 
 WORDS, BANDS, ROWS = 5, 48, 8
 SEED = 20_240_601
@@ -350,10 +350,11 @@ def keep_rows(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows that share a doc_id are one document. Rows without a doc_id cannot be told apart, and all stay.
     """
     found = materialise(near_duplicates(docs, percent), "found")
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
+    id_, only = fresh("id", docs.columns), fresh("only", docs.columns)
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_)).distinct()
     repeated = not found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    rows = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    rows = docs.withColumn(id_, F.col("doc_id").cast("long")).join(gone, id_, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if not repeated:
         return rows
-    only = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
-    return rows.withColumn("__only", only).dropDuplicates(["doc_id", "__only"]).drop("__only")
+    text = F.when(F.col("doc_id").isNull(), F.struct(F.monotonically_increasing_id(), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return rows.withColumn(only, text).dropDuplicates(["doc_id", only]).drop(only)

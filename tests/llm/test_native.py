@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from spokeframe.llm import blocknames, mixing, sharding
+from spokeframe.llm import blocknames, minhash, mixing, sharding
 from tests.llm.conftest import SCHEMA, rows
 
 
@@ -61,6 +61,30 @@ def test_copies_of_many_blocks(spark, monkeypatch):
     assert got == {i: (texts.index(t), texts.count(t)) for i, t in enumerate(texts)}
 
 
+def test_blocks_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(blocknames, "BLOCK", 2)
+    monkeypatch.setattr(blocknames, "block_hash", lambda block: F.length(block).cast("long") + F.when(block == "xy", 5).otherwise(0))
+    texts = ["abcd", "abce", "abcd", "xy", "xyxy", "xyxy", "", None, "ab", "abab", "cdab", "abcd "]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in blocknames.find_copies(df).collect()}
+    same = [t or "" for t in texts]
+    assert got == {i: (same.index(t), same.count(t)) for i, t in enumerate(same)}
+
+
+def test_columns_named_like_the_operators_own(spark):
+    """Rows stay whole whatever their other columns are called, repeated rows or not."""
+    given = [(1, "a b c d e f", "s", 1, 2, 3, 4, 5, 6), (2, "a b c d e f", "s", 1, 2, 3, 4, 5, 6), (3, None, "s", 1, 2, 3, 4, 5, 6), (4, "x y z", None, 1, 2, 3, 4, 5, 6)]
+    for names, data in (("gone_id __only __sha id row share", [*given, given[0], given[2]]), ("label key component_id of class tie", given), ("row _row only _id rank range", [])):
+        schema = "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names.split())
+        df = spark.createDataFrame(data, schema)
+        for keep in (blocknames.keep_rows, minhash.keep_rows):
+            out = keep(df)
+            assert out.columns == df.columns
+            assert sorted(map(tuple, out.collect()), key=str) == sorted((r for r in given if r[0] != 2 and data), key=str), (keep, names)
+        out = mixing.mix_rows(df)
+        assert out.columns == df.columns and set(map(tuple, out.collect())) <= set(data)
+
+
 def test_kept_rows(spark, odd_docs):
     kept = blocknames.keep_rows(odd_docs)
     assert kept.columns == odd_docs.columns
