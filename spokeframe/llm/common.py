@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shared import materialise, ready, running, shared_dir, table
 
-__all__ = ["fresh", "materialise", "parts", "ready", "row_hash", "running", "shared_dir", "table"]
+__all__ = ["fresh", "materialise", "parts", "ready", "row_hash", "running", "shared_dir", "table", "times"]
 
 
 def fresh(name: str, columns: list[str]) -> str:
@@ -32,3 +32,14 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: Copies of a row that are made at a time.
+COPIES = 1000
+
+
+def times(rows: DataFrame, copies: str) -> DataFrame:
+    """Rows as often as their copies say, some COPIES at a time; adds copy, from 0."""
+    many = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / COPIES))))
+    many = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(F.lit(COPIES), F.col(copies) - F.col("part") * COPIES) - 1)))
+    return many.withColumn("copy", F.col("part") * COPIES + F.col("copy")).drop("part")

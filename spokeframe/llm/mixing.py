@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, row_hash, running
+from .common import materialise, row_hash, running, times
 
 # The contract's weights in turn, its cap, and what separates words.
 WEIGHTS = (5, 2, 1)
@@ -31,8 +31,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Ranges of the ranks that a source's words are first counted in; only the rows of the range where a source's words run out are sorted.
 RANGES = 4096
-#: Copies of a row that are made at a time.
-COPIES = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -159,23 +157,17 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-def _times(rows: DataFrame, copies: str) -> DataFrame:
-    """Rows as often as their copies say, some COPIES at a time."""
-    many = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / COPIES))))
-    return many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col(copies) - F.col("part") * COPIES))))
-
-
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it, with the columns of docs."""
     names = docs.columns
     plan, ends = plan_mix(materialise(_keyed(docs, row_hash(docs)), "light"))
     packed = _keyed(docs, row_hash(docs), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     taken = _with_copies(packed, plan, ends)
-    mixed = _times(taken.filter("copies > 0"), "copies").select("row")
+    mixed = times(taken.filter("copies > 0"), "copies").select("row")
     if not ends.filter("alike > takes and takes > 0").isEmpty():
         # Rows alike at an end agree in all columns, so one of them stands for those that come once more.
         alike = taken.filter("at_end").groupBy("source").agg(F.first("row").alias("row"), F.first("takes").alias("takes"))
-        mixed = mixed.unionByName(_times(alike, "takes").select("row"))
+        mixed = mixed.unionByName(times(alike, "takes").select("row"))
     return mixed.select(*[F.col("row").getField(c).alias(c) for c in names])
 
 

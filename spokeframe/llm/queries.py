@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE_SQL,
     "op3_url_filter": urlfilter.ORACLE_SQL,
+    "op7_jump_sharding": sharding.ORACLE_SQL,
     "op9_pareto_mixing": mixing.ORACLE_SQL,
     "op10_block_naming": blocknames.ORACLE_SQL,
 }
