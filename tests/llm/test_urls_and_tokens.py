@@ -3,6 +3,7 @@
 import re
 
 import public_tokenizers
+import pytest
 
 from spokeframe.llm import tokencount, urlfilter
 
@@ -22,6 +23,8 @@ URLS = {
     "http://x.org/?q=XXX": ("x.org", "/", None, "block"),
     "http://x.org/bet/bet-bet": ("x.org", "/bet/bet-bet", None, "allow"),
     "http://x.org/bet-win": ("x.org", "/bet-win", None, "block"),
+    "http://x.org/free-win": ("x.org", "/free-win", None, "allow"),
+    "http://x.org/free-win/deal": ("x.org", "/free-win/deal", None, "block"),
     "http://bet.bonus.org?free": ("bet.bonus.org", "", None, "block"),
     "http://cheap-pills.org": ("cheap-pills.org", "", None, "block"),
     "http://cheap_pills.org": ("cheap_pills.org", "", None, "block"),
@@ -44,7 +47,21 @@ def test_automaton_finds_what_patterns_find():
     for url in list(URLS) + ["x.xxx.bet+bet/win.porn/porno?warez-malware", "xxx/xxx_xxx", "spam-farm"]:
         text = re.sub("[A-Z]", lambda m: m[0].lower(), url or "")
         hit = lambda t: len(re.findall(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", text))
-        assert urlfilter.weigh(url or "", terms) == (sum(map(hit, urlfilter.STRICT)), sum(bool(hit(t)) for t in urlfilter.SOFT))
+        assert urlfilter.weigh(url or "", terms) == (sum(map(hit, urlfilter.STRICT)), sum(w * bool(hit(t)) for t, w in urlfilter.SOFT.items()))
+
+
+def test_vocabulary_from_a_table(spark):
+    rows = [("Alpha", 2, 0), ("alpha", 1, 0), ("beta", 1, 0), ("gamma", None, 0), ("gamma", 5, 0), (None, 1, 0), ("", 3, 0), ("delta", 0, 0)]
+    terms = spark.createDataFrame(rows, "term string, weight int, of int")
+    strict, soft = urlfilter.vocabulary(terms)
+    assert strict == ("gamma",) and soft == {"alpha": 2, "beta": 1}
+    urls = ["http://a.b/alpha", "http://a.b/alpha/beta", "http://a.b/beta/beta/beta", "http://a.b/GAMMA", "http://a.b/gammas"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdicts = lambda *v: [r.verdict for r in urlfilter.judge_urls(pages, *v).orderBy("page_id").collect()]
+    assert verdicts(strict, soft) == ["allow", "block", "allow", "block", "allow"]
+    assert verdicts(*urlfilter.vocabulary(terms.limit(0))) == ["allow"] * 5
+    with pytest.raises(ValueError):
+        urlfilter.vocabulary(terms, most=2)
 
 
 def test_counts(spark, odd_docs, no_docs):
