@@ -3,7 +3,7 @@
 `encode_images` writes grayscale baseline JPEG: each 64 bytes of a payload become one 8x8 block whose quantised
 coefficients, in zigzag order, are the bytes less 128, so decoding gives them back exactly. With a DC
 quantiser of 8 a block's mean luminance is its first byte. Every block is a restart interval. `decode_images`
-parses the markers of any baseline file, Huffman-decodes all restart intervals of a batch in
+parses the markers of any baseline file, Huffman-decodes all restart intervals of a batch, or of a range of a long file, in
 step (numpy works on one symbol of each interval at a time), and returns coefficients; `thumbnail` reads the
 luminance of each block from its DC coefficient.
 
@@ -18,8 +18,8 @@ import hashlib
 import math
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -110,12 +110,8 @@ def _scan(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(out.astype(">u8").tobytes(), np.uint8)[: int(end[-1]) // 8], ((total.astype(np.int64) + pad) // 8)
 
 
-def encode_images(payloads: list[bytes]) -> list[bytes]:
-    """One file each; a payload's length is a positive multiple of 64."""
-    blocks = np.array([len(p) // 64 for p in payloads])
-    shapes = [shape(n) for n in blocks.tolist()]
-    full = np.array([c * r for c, r in shapes])
-    data = np.frombuffer(b"".join(p + b"\x80" * (64 * n - len(p)) for p, n in zip(payloads, full.tolist())), np.uint8)
+def _marked(data: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """data: whole blocks; number: each one's place in its image. The blocks' intervals with a restart marker after each, and where each begins and ends."""
     scan, sizes = _scan((data.astype(np.int16) - 128).reshape(-1, 64))
     width = 1 + (scan == 255)
     last = np.cumsum(sizes) - 1
@@ -123,16 +119,36 @@ def encode_images(payloads: list[bytes]) -> list[bytes]:
     place = np.cumsum(width) - width
     out = np.zeros(int(width.sum()), np.uint8)
     out[place] = scan
-    first = np.cumsum(full) - full
-    number = np.arange(len(sizes)) - np.repeat(first, full)
     mark = place[last] + 1 + (scan[last] == 255)
     out[mark], out[mark + 1] = 0xFF, 0xD0 + (number & 7)
-    whole, starts, ends = out.tobytes(), place[last + 1 - sizes][first], mark[first + full - 1]
-    files = []
-    for (columns, rows), p, a, b in zip(shapes, payloads, starts.tolist(), ends.tolist()):
-        frame = _segment(0xC0, struct.pack(">BHHBBBB", 8, 8 * rows, 8 * columns, 1, 1, 0x11, 0))
-        files.append(b"\xff\xd8" + _segment(0xFE, b"payload bytes: %d" % len(p)) + _TABLES[0] + frame + _TABLES[1] + whole[a:b] + b"\xff\xd9")
-    return files
+    return out.tobytes(), place[last + 1 - sizes], mark
+
+
+def _file(payload: int, columns: int, rows: int, *scan: bytes) -> bytes:
+    frame = _segment(0xC0, struct.pack(">BHHBBBB", 8, 8 * rows, 8 * columns, 1, 1, 0x11, 0))
+    return b"".join([b"\xff\xd8", _segment(0xFE, b"payload bytes: %d" % payload), _TABLES[0], frame, _TABLES[1], *scan, b"\xff\xd9"])
+
+
+def encode_images(payloads: list[bytes]) -> list[bytes]:
+    """One file each; a payload's length is a positive multiple of 64."""
+    shapes = [shape(len(p) // 64) for p in payloads]
+    full = np.array([c * r for c, r in shapes])
+    data = np.frombuffer(b"".join(p + b"\x80" * (64 * n - len(p)) for p, n in zip(payloads, full.tolist())), np.uint8)
+    first = np.cumsum(full) - full
+    whole, starts, ends = _marked(data, np.arange(int(full.sum())) - np.repeat(first, full))
+    return [_file(len(p), *of, whole[a:b]) for of, p, a, b in zip(shapes, payloads, starts[first].tolist(), ends[first + full - 1].tolist())]
+
+
+def encode_image(payload: bytes) -> bytes:
+    """The file that `encode_images` makes of this payload, SLICE bytes of it at a time."""
+    columns, rows = shape(len(payload) // 64)
+    pieces, total, step = [], columns * rows, SLICE // 64
+    for at in range(0, total, step):
+        n = min(step, total - at)
+        data = payload[at * 64 : (at + n) * 64]
+        pieces.append(_marked(np.frombuffer(data + b"\x80" * (64 * n - len(data)), np.uint8), np.arange(at, at + n))[0])
+    pieces[-1] = pieces[-1][:-2]
+    return _file(len(payload), columns, rows, *pieces)
 
 
 @dataclass
@@ -307,30 +323,91 @@ def decode_images(files: list[bytes]) -> list[tuple[Header, np.ndarray]]:
     return out
 
 
-def thumbnail(header: Header, blocks: np.ndarray) -> np.ndarray:
-    """Mean luminance of each 8x8 block of the first component, from DC coefficients alone: (rows, columns), 0 to 255."""
+def decode_ranges(data: bytes) -> tuple[Header, Iterator[np.ndarray]]:
+    """A file's header and its blocks' coefficients in the order of the scan, some SLICE bytes of its restart intervals at a time; without intervals, all at once."""
+    header = parse(data)
+    order, across, down = _units(header)
+    if not header.interval or len(data) <= SLICE:
+        return header, iter([_decode_alike([data], [header])[0]])
+    wide, tall = (max(c[k] for c in header.components) if len(header.scan) > 1 else 1 for k in (1, 2))
+
+    def ranges() -> Iterator[np.ndarray]:
+        view, at, left = np.frombuffer(data, np.uint8), header.start, across * down
+        while left > 0:
+            cut = look = at
+            intervals = 0
+            while (look - at < SLICE or not intervals) and intervals * header.interval < left:
+                window = view[look : look + SLICE + 2]
+                after = np.flatnonzero(window[:-1] == 255) + 1
+                marks = after[(window[after] >= 0xD0) & (window[after] <= 0xD9)] + look
+                if len(marks):
+                    cut, intervals = int(marks[-1]) + 1, intervals + len(marks)
+                    look = cut
+                elif look + len(window) < len(view):
+                    look += len(window) - 1
+                else:
+                    raise ValueError("the scan is cut short")
+            units = min(left, intervals * header.interval)
+            part = replace(header, width=8 * wide * units, height=8 * tall, start=0)
+            # The marker that ends the range opens no interval of it.
+            yield _decode_alike([data[at : cut - 2] + b"\xff\xd9"], [part])[0]
+            at, left = cut, left - units
+
+    return header, ranges()
+
+
+def thumbnail_of(header: Header, dc: np.ndarray) -> np.ndarray:
+    """dc: the DC coefficients of all blocks in the order of the scan. Mean luminance of each 8x8 block of the first component: (rows, columns), 0 to 255."""
     order, across, down = _units(header)
     c, quantiser = header.scan[0][0], header.components[header.scan[0][0]][3]
     wide, tall = (header.components[c][1], header.components[c][2]) if len(header.scan) > 1 else (1, 1)
-    own = blocks.reshape(down, across, len(order), 64)[:, :, : wide * tall, 0].reshape(down, across, tall, wide)
+    own = dc.reshape(down, across, len(order))[:, :, : wide * tall].reshape(down, across, tall, wide)
     dc = own.transpose(0, 2, 1, 3).reshape(down * tall, across * wide)
     dc = dc[: -(-header.height // 8), : -(-header.width // 8)]
     return np.clip(np.rint(dc.astype(np.float64) * header.quantisers[quantiser][0] / 8 + 128), 0, 255).astype(np.uint8)
 
 
+def thumbnail(header: Header, blocks: np.ndarray) -> np.ndarray:
+    return thumbnail_of(header, blocks[:, 0])
+
+
 def difference_hash(image: np.ndarray) -> int:
-    """64 bits: whether each of 8 x 8 sampled points is darker than the next of its row."""
-    rows, columns = image.shape
-    some = image[(np.arange(8) * rows) // 8][:, (np.arange(9) * columns) // 9].astype(np.int16)
-    return int.from_bytes(np.packbits(some[:, :-1] < some[:, 1:]).tobytes(), "big")
+    """64 bits: whether each cell of 8 x 9 is darker than the next of its row. A cell is the mean of its area, so all pixels count; of fewer pixels, cells share them."""
+    (rows, columns), sums = image.shape, image.astype(np.int64)
+    tops, lefts = (np.arange(8) * rows) // 8, (np.arange(9) * columns) // 9
+    sums = np.add.reduceat(np.add.reduceat(sums, tops, axis=0), lefts, axis=1)
+    count = np.maximum(1, np.diff(tops, append=rows))[:, None] * np.maximum(1, np.diff(lefts, append=columns))[None, :]
+    darker = sums[:, :-1] * count[:, 1:] < sums[:, 1:] * count[:, :-1]
+    return int.from_bytes(np.packbits(darker).tobytes(), "big")
+
+
+def _payload(blocks: np.ndarray) -> bytes:
+    return (blocks.reshape(-1) + 128).astype(np.uint8).tobytes()
+
+
+def payload_size(header: Header) -> int:
+    return int(header.comment.rsplit(b" ", 1)[1])
 
 
 def payload_of(header: Header, blocks: np.ndarray) -> bytes:
-    size = int(header.comment.rsplit(b" ", 1)[1])
-    return (blocks.reshape(-1)[:size] + 128).astype(np.uint8).tobytes()
+    return _payload(blocks)[: payload_size(header)]
+
+
+def features(data: bytes, header: Header, ranges: Iterable[np.ndarray]) -> tuple:
+    """What is read back from a file whose blocks come range by range: payload bytes, their SHA-256, the CRC of the last 64, media bytes, their SHA-256, feature, width, height, thumbnail hash."""
+    sha, left, tail, dc = hashlib.sha256(), payload_size(header), b"", []
+    for blocks in ranges:
+        payload = _payload(blocks)[:left]
+        sha.update(payload)
+        left -= len(payload)
+        tail = (tail + payload[-64:])[-64:]
+        dc.append(blocks[:, 0].copy())
+    look = f"{difference_hash(thumbnail_of(header, np.concatenate(dc))):016x}"
+    return payload_size(header), sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"{header.width}x{header.height}:{look}", header.width, header.height, look
 
 
 def _slices(items: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of items of SLICE bytes together; a longer one is by itself."""
     start = total = 0
     for i, x in enumerate(items):
         if i > start and total + len(x) > SLICE:
@@ -346,7 +423,8 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
         for a, b in _slices(raw):
             padded = [x + bytes(64 - len(x) if not x else -len(x) % 64) for x in raw[a:b]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(map(len, raw[a:b]), pa.int64()), pa.array(encode_images(padded), pa.binary())], ["doc_id", "n_bytes", "media"])
+            media = encode_images(padded) if b - a > 1 or len(padded[0]) <= SLICE else [encode_image(padded[0])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(map(len, raw[a:b]), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -360,13 +438,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches, 500):
         media = batch["media"].to_pylist()
         for a, b in _slices(media):
-            cells: list[list] = [[] for _ in names[2:]]
-            for data, (header, blocks) in zip(media[a:b], decode_images(media[a:b])):
-                payload, look = payload_of(header, blocks), f"{difference_hash(thumbnail(header, blocks)):016x}"
-                found = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{header.width}x{header.height}:{look}", header.width, header.height, look)
-                for cell, x in zip(cells, found):
-                    cell.append(x)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["n_bytes"].slice(a, b - a), *map(pa.array, cells)], names)
+            if b - a > 1 or len(media[a]) <= SLICE:
+                found = [features(data, header, [blocks]) for data, (header, blocks) in zip(media[a:b], decode_images(media[a:b]))]
+            else:
+                found = [features(media[a], *decode_ranges(media[a]))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["n_bytes"].slice(a, b - a), *map(pa.array, zip(*found))], names)
 
 
 def read_media(stored: DataFrame) -> DataFrame:

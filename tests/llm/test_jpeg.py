@@ -1,7 +1,10 @@
 """JPEG: round trips, a bit-by-bit decoder, and broken files."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -155,3 +158,50 @@ def test_columns(spark, odd_docs, no_docs):
     by = {}
     for r in got:
         assert by.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+
+
+@pytest.mark.parametrize("size", [40, 200, 3000])
+def test_ranges_give_what_the_whole_gives(monkeypatch, size):
+    rnd = np.random.default_rng(2)
+    payloads = [rnd.integers(0, 256, 64 * n, dtype=np.uint8).tobytes() for n in (1, 2, 9, 33)] + [b"plain text here " * 400, b"\x7f" * 64 * 30]
+    whole = jpeg.encode_images(payloads)
+    colour = [color_image(k)[0] for k in (0, 1, 2)]
+    decoded = [jpeg.decode_images([f])[0] for f in whole + colour]
+    monkeypatch.setattr(jpeg, "SLICE", size)
+    if size >= 64:
+        assert [jpeg.encode_image(p) for p in payloads] == whole
+    for f, (header, blocks) in zip(whole + colour, decoded):
+        header_, ranges = jpeg.decode_ranges(f)
+        assert header_ == header and (np.concatenate(list(ranges)) == blocks).all()
+    for f, (header, blocks), p in zip(whole, decoded, payloads):
+        found = jpeg.features(f, *jpeg.decode_ranges(f))
+        assert found == jpeg.features(f, header, [blocks]) and found[:2] == (len(p), hashlib.sha256(p).hexdigest())
+        with pytest.raises(ValueError):
+            list(jpeg.decode_ranges(f[: max(jpeg.parse(f).start, len(f) - 9)])[1])
+
+
+def test_thumbnail_hash_reads_every_pixel():
+    rnd = np.random.default_rng(3)
+    image = rnd.integers(100, 140, (40, 45)).astype(np.uint8)
+    cells = np.array([[image[y * 5 : y * 5 + 5, x * 5 : x * 5 + 5].mean() for x in range(9)] for y in range(8)])
+    want = int("".join("1" if cells[y, x] < cells[y, x + 1] else "0" for y in range(8) for x in range(8)), 2)
+    assert jpeg.difference_hash(image) == want
+    image[:, 6:10] = 255
+    assert jpeg.difference_hash(image) != want
+    assert jpeg.difference_hash(np.array([[7]], np.uint8)) == 0 and jpeg.difference_hash(np.array([[1, 2]], np.uint8)) == int("00001000" * 8, 2)
+
+
+def test_a_text_of_50_mb_takes_little_memory():
+    code = """
+import hashlib, resource
+from spokeframe.llm import jpeg
+payload = b"some words of a very long text, again and again.".ljust(64) * 800_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+file = jpeg.encode_image(payload)
+found = jpeg.features(file, *jpeg.decode_ranges(file))
+assert found[:2] == (len(payload), hashlib.sha256(payload).hexdigest())
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True)
+    assert int(out.stdout) < 800, out.stdout
