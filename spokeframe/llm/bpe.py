@@ -15,10 +15,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import re
 import sys
-import tempfile
 import unicodedata
 from array import array
 from collections import Counter
@@ -26,13 +24,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialise, parts
+from .common import materialise, parts, shared_dir
 
 #: Words compiled into the lexicon, and the longest of them in bytes.
 LEXICON, LONGEST = 65_536, 48
@@ -250,36 +249,42 @@ def pack(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """A worker's vocabulary, lexicon, and the ids and decoded bytes of words it has met."""
+    """A worker's vocabulary, lexicon, and the ids of words it has met."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
-        self.vocabulary, self.lexicon, self.ids, self.shown = vocabulary, lexicon, {}, {}
+        self.vocabulary, self.lexicon, self.ids = vocabulary, lexicon, {}
 
     def learn(self, words: Iterable[str]) -> None:
         if len(self.ids) > KEPT_WORDS:
-            self.ids, self.shown = {}, {}
+            self.ids = {}
         new = [w for w in words if w not in self.ids]
         lex, vocabulary = self.lexicon, self.vocabulary
         for word, at in zip(new, lex.places([w.encode("utf-8", "surrogatepass") for w in new]).tolist()):
-            ids = lex.ids[lex.starts[at] : lex.starts[at + 1]].tolist() if at >= 0 else vocabulary.merge(word)
-            self.ids[word] = pack(ids)
-            self.shown[word] = self.decode(ids).encode("utf-8", "surrogatepass")
+            self.ids[word] = pack(lex.ids[lex.starts[at] : lex.starts[at + 1]].tolist() if at >= 0 else vocabulary.merge(word))
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The tokens' strings with spaces between them: the file names no decoder."""
-        return " ".join(map(self.vocabulary.tokens.__getitem__, ids))
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """Of each text, the ids as little-endian unsigned 32-bit integers, and what they decode to in UTF-8."""
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Of each text, the ids as little-endian unsigned 32-bit integers."""
         for at in range(0, len(texts), 500):
             cut = [self.vocabulary.words(t) if t else [] for t in texts[at : at + 500]]
             self.learn(set().union(*cut))
-            ids, shown = self.ids.__getitem__, self.shown.__getitem__
+            ids = self.ids.__getitem__
             for words in cut:
-                yield b"".join(map(ids, words)), b" ".join(map(shown, words))
+                yield b"".join(map(ids, words))
+
+
+def decode(vocabulary: Vocabulary, packed: bytes | None) -> str | None:
+    """The tokens' strings with spaces between them, as the vocabulary file names no decoder. Ids that the vocabulary lacks are left out, as the library does."""
+    if packed is None:
+        return None
+    ids = np.frombuffer(packed, "<u4").tolist()
+    try:
+        return " ".join(map(vocabulary.tokens.__getitem__, ids))
+    except KeyError:
+        return " ".join(vocabulary.tokens[i] for i in ids if i in vocabulary.tokens)
 
 
 _loaded: dict[tuple[str, str], Encoder] = {}
+_shipped: set[tuple[str, str]] = set()
 _vocabularies: dict[str, Vocabulary] = {}
 
 
@@ -323,35 +328,51 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
     """Compiles the most frequent words and ships the file to the executors; gives its name there."""
     counts = materialise(word_counts(docs, path).filter(F.octet_length("word") <= LONGEST), "counts")
     # How many words there are of each count, a table as long as there are different counts, tells the least count of the `size` most frequent.
-    words = 0
-    least = None
+    words, least, room = 0, None, size
     for row in counts.groupBy("n").count().orderBy(F.desc("n")).limit(size).collect():
+        least, room = row["n"], size - words
         words += row["count"]
-        if words > size:
+        if words >= size:
             break
-        least = row["n"]
-    top = [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()] if least is not None else []
+    # Of the words with the least count, the first in order fill the lexicon up.
+    most = counts.filter(F.col("n") > least).select("word").unionByName(counts.filter(F.col("n") == least).select("word").orderBy("word").limit(room)) if room and least is not None else None
+    top = [r["word"] for r in most.collect()] if most is not None else []
     vocabulary = vocabulary_at(path)
     lexicon = Transducer.build({w.encode("utf-8", "surrogatepass"): vocabulary.merge(w) for w in top})
     name = f"lexicon-{hashlib.sha256(path.encode() + lexicon.flat.tobytes()).hexdigest()[:16]}.npy"
-    folder = os.path.join(tempfile.gettempdir(), f"spokeframe-lexicons-{os.getpid()}")
-    os.makedirs(folder, exist_ok=True)
-    file = os.path.abspath(os.path.join(folder, name))
-    if not os.path.exists(file):
-        lexicon.save(file)
-        docs.sparkSession.sparkContext.addFile(file)
+    context = docs.sparkSession.sparkContext
+    if (context.applicationId, name) not in _shipped:
+        folder = f"{shared_dir(docs.sparkSession)}/lexicon"
+        store, at = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(at)
+        with store.open_output_stream(f"{at}/{name}") as out:
+            np.save(out, lexicon.flat)
+        context.addFile(f"{folder}/{name}")
+        _shipped.add((context.applicationId, name))
     return name
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path, name)
     for part in parts(batches):
-        ids, shown = zip(*encoder.encode(part["text"].to_pylist()))
-        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([x.decode("utf-8", "surrogatepass") for x in shown], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        ids = list(encoder.encode(part["text"].to_pylist()))
+        shown = [decode(encoder.vocabulary, x) for x in ids]
+        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(shown, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids as little-endian unsigned 32-bit integers, decoded."""
+    """doc_id, n_tokens, ids as little-endian unsigned 32-bit integers, and what these ids decode to."""
     name = build_lexicon(docs, path)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return given.mapInArrow(lambda it: _encoded(it, path, name), "doc_id long, n_tokens long, ids binary, decoded string")
+
+
+def decode_documents(coded: DataFrame, path: str) -> DataFrame:
+    """coded: ids as little-endian unsigned 32-bit integers, and any other columns. Adds decoded, or puts it in place of one of that name; null ids give null."""
+
+    @F.arrow_udf("string")
+    def decoded(ids: pa.Array) -> pa.Array:
+        vocabulary = vocabulary_at(path)
+        return pa.array([decode(vocabulary, x) for x in ids.to_pylist()], pa.string())
+
+    return coded.withColumn("decoded", decoded("ids"))

@@ -42,10 +42,10 @@ def test_odd_characters():
     pool = "aàéßΣσςİıﬁ½²١५漢字か\u0301\u200b\u00a0\u2028\x0b\x1c\x85🙂'’-_ \n\tst'sLL9" + "<|endoftext|>"
     for _ in range(3000):
         text = "".join(rnd.choice(pool) for _ in range(rnd.randrange(30))) + rnd.choice(["", "<|endoftext|>", "<|startoftext|>x"])
-        ids, shown = next(encoder.encode([text]))
+        ids = next(encoder.encode([text]))
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
-        assert shown.decode() == library.decode(want, skip_special_tokens=False)
+        assert bpe.decode(vocabulary, ids) == library.decode(want, skip_special_tokens=False)
 
 
 def test_transducer(tmp_path):
@@ -65,3 +65,24 @@ def test_transducer(tmp_path):
         states.setdefault(key >> 8, []).append((key & 255, to, add))
     seen = [(int(built.final[s]), tuple(states.get(s, ()))) for s in range(len(built.final))]
     assert len(set(seen)) == len(seen) < sum(len(w) for w in words)
+
+
+def test_words_of_one_count_fill_the_lexicon(spark):
+    """A class of words too large for the lexicon is taken up to its size, the first in order."""
+    docs = spark.createDataFrame([(1, "zz zz " + " ".join(f"{a}{b}" for a in "qwx" for b in "abcd")), (2, "zz yy yy")], "doc_id long, text string")
+    for size, want in ((5, {"zz", "yy", "qa", "qb", "qc"}), (2, {"zz", "yy"}), (1, {"zz"}), (99, None), (14, None)):
+        name = bpe.build_lexicon(docs, PATH, size)
+        lexicon = bpe.Transducer.open(bpe.SparkFiles.get(name))
+        words = ["zz", "yy", *(f"{a}{b}" for a in "qwx" for b in "abcd")]
+        assert {w for w, at in zip(words, lexicon.places([w.encode() for w in words])) if at >= 0} == (want or set(words))
+
+
+def test_decoding_from_ids(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = ["some text, 12 and más", "", "🙂 " * 1000, None]
+    ids = [None if t is None else library.encode(t, add_special_tokens=False).ids for t in texts] + [[49406, 320, 49407, 9_999_999]]
+    rows = [(i, None if x is None else bytearray(bpe.pack(x)), "old") for i, x in enumerate(ids)]
+    coded = spark.createDataFrame(rows, "k long, ids binary, decoded string")
+    got = bpe.decode_documents(coded, PATH)
+    assert got.columns == coded.columns and bpe.decode_documents(coded.limit(0), PATH).count() == 0
+    assert [r.decoded for r in got.orderBy("k").collect()] == [None if x is None else library.decode(x, skip_special_tokens=False) for x in ids]
