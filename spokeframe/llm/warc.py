@@ -238,6 +238,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+def check_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> None:
+    """Raises ValueError where a file of the manifest is not in the folder or has another length, or the folder holds one that the manifest lacks."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder) if not manifest.isEmpty() else None
+    if files is None:
+        return
+    there = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    wrong = manifest.select("name", "bytes").join(there, F.col("name") == F.col("file"), "full").filter("name is null or file is null or length <> bytes").limit(5).collect()
+    if wrong:
+        raise ValueError(f"archives do not agree with their manifest: {[r['name'] or r['file'] for r in wrong]}")
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (empty for revisits) of every record."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
@@ -247,7 +258,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = shared_dir(spark) + "/warc"
-    write_archives(pages, folder)
+    check_archives(spark, folder, write_archives(pages, folder))
     return read_archives(spark, folder).drop("payload", "url")
 
 

@@ -5,6 +5,7 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from spokeframe.llm import common, warc
 
@@ -41,6 +42,10 @@ def test_payloads_come_back(spark, monkeypatch):
     pages = odd_pages(spark)
     manifest = warc.write_archives(pages, folder)
     assert manifest.agg({"records": "sum"}).first()[0] == pages.count() and manifest.count() > 3
+    warc.check_archives(spark, folder, manifest)
+    for wrong in (manifest.limit(2), manifest.withColumn("bytes", manifest["bytes"] + 1), manifest.unionByName(manifest.limit(1).withColumn("name", F.lit("part-9.warc.zst")))):
+        with pytest.raises(ValueError):
+            warc.check_archives(spark, folder, wrong)
     got = {r.page_id: r for r in warc.read_archives(spark, folder).collect()}
     assert got[13].payload == b"z" * 3_000_000 and got[4].payload == b"short" and got[1].payload == b""
     assert got[3].url is None and got[7].url == "http://b/ü?q=%0D%0A1"
