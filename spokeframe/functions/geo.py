@@ -65,7 +65,7 @@ def total(values: Column) -> Column:
 
 
 def mean(values: Column) -> Column:
-    return total(values) / F.size(values)
+    return total(values) / F.nullif(F.size(values), F.lit(0))
 
 
 def segments(coords: Column) -> Column:

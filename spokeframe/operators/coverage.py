@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
-TILE = "array<struct<x:long,y:long>>"
 #: Steps after which the walk along a segment is given up: broken points can lie half the globe apart.
 LONGEST_WALK = 20_000
 
@@ -49,31 +48,33 @@ def walk(fx: np.ndarray, fy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tiles_of(coords: Column, zoom: int) -> Column:
-    """Distinct tiles a track crosses."""
+    """Distinct tiles a track crosses, as a list of x and one of y."""
 
-    @F.pandas_udf(TILE)
-    def crossed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("x array<long>, y array<long>")
+    def crossed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         n = 2.0**zoom
-        for batch in batches:
-            out = []
-            for points in batch:
-                if points is None or not len(points):
-                    out.append([])
-                    continue
-                lat = np.radians([p["lat"] for p in points])
-                fx = (np.array([p["lon"] for p in points]) + 180.0) / 360.0 * n
-                fy = (1.0 - np.arcsinh(np.tan(lat)) / np.pi) / 2.0 * n
-                x, y = walk(fx, fy) if len(points) > 1 else (fx.astype(np.int64), fy.astype(np.int64))
-                both = np.unique(np.c_[x, y].astype(np.int64), axis=0)
-                out.append([{"x": int(a), "y": int(b)} for a, b in both])
-            yield pd.Series(out)
-
-    return crossed(coords)
+        for lats, lons in batches:
+            xs, ys, ends = [], [], [0]
+            lat, lon = (c.values.to_numpy(zero_copy_only=False) for c in (lats, lons))
+            fx, fy = (lon + 180.0) / 360.0 * n, (1.0 - np.arcsinh(np.tan(np.radians(lat))) / np.pi) / 2.0 * n
+            starts = lats.offsets.to_numpy()
+            for a, b, none in zip(starts[:-1], starts[1:], np.asarray(lats.is_null())):
+                if not none and b > a:
+                    x, y = walk(fx[a:b], fy[a:b]) if b > a + 1 else (fx[a:b].astype(np.int64), fy[a:b].astype(np.int64))
+                    both = np.unique(np.c_[x, y].astype(np.int64), axis=0)
+                    xs.append(both[:, 0])
+                    ys.append(both[:, 1])
+                ends.append(ends[-1] + (len(xs[-1]) if not none and b > a else 0))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(v) if v else [], pa.int64())) for v in (xs, ys)]
+            yield pa.StructArray.from_arrays(lists, ["x", "y"])
+
+    return crossed(coords.getField("lat"), coords.getField("lon"))
 
 
 def crossed_tiles(tracks: DataFrame, zoom: int, *keep: str) -> DataFrame:
     """keep, x, y: a row for each tile of each track."""
-    return tracks.select(*keep, F.explode(tiles_of(F.col("coords"), zoom)).alias("tile")).select(*keep, "tile.x", "tile.y")
+    lists = tracks.select(*keep, tiles_of(F.col("coords"), zoom).alias("tiles"))
+    return lists.select(*keep, F.explode(F.arrays_zip("tiles.x", "tiles.y")).alias("tile")).select(*keep, "tile.x", "tile.y")
 
 
 def tile_bounds(bounds: tuple[float, float, float, float], zoom: int) -> tuple[Column, Column, Column, Column]:

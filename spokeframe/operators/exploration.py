@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..shared import materialise
 from . import coverage
 
 QUADRANTS = ("NE", "SE", "SW", "NW")
@@ -78,15 +79,20 @@ def best_corner(zoned: DataFrame, zoom: int, start: tuple[float, float]) -> Data
     return both.select("zone", (F.col("lat") + (F.col("mlat") - F.col("lat")) / d * (INSET_M / 111_320)).alias("lat"), (F.col("lon") + (F.col("mlon") - F.col("lon")) / d * (F.lit(INSET_M / 111_320) / wide)).alias("lon"))
 
 
-def score_zones(zoned: DataFrame, visited: DataFrame, zoom: int, start: tuple[float, float]) -> DataFrame:
-    """quadrant, zone, n_tiles, km, border_ratio, overlap, place: zones in the order of their tiles less half of the visited tiles on the way."""
+def score_zones(zoned: DataFrame, visited: DataFrame, zoom: int, start: tuple[float, float], mode: str = "tiles") -> DataFrame:
+    """quadrant, zone, n_tiles, km, border_ratio, overlap, place: zones in the order of their tiles less half of the visited tiles on the way.
+
+    The mode orders equals: tiles by most tiles, efficiency by most tiles a km, frontier by the least share of visited border and then most
+    tiles, infill by the greatest share and then the nearest.
+    """
     mid = zoned.groupBy("quadrant", "zone").agg(F.count("*").alias("n_tiles"), F.avg("lat").alias("mlat"), F.avg("lon").alias("mlon"))
     mid = mid.withColumn("slat", F.lit(start[0])).withColumn("slon", F.lit(start[1]))
     way = corridor_tiles(mid.select("zone", "slat", "slon", "mlat", "mlon"), ("slat", "slon"), ("mlat", "mlon"), zoom)
     on = way.join(visited.select("x", "y").distinct(), ["x", "y"]).groupBy("zone").agg(F.count("*").alias("overlap"))
     km = geo.haversine_m(*[F.col(c) for c in ("slat", "slon", "mlat", "mlon")]) / 1000
     s = mid.join(on, "zone", "left").join(border_ratio(zoned, visited), "zone").select("quadrant", "zone", "n_tiles", km.alias("km"), "border_ratio", F.coalesce("overlap", F.lit(0)).alias("overlap"))
-    order = Window.partitionBy("quadrant").orderBy(F.desc(F.col("n_tiles") - F.col("overlap") * OVERLAP), F.desc("n_tiles"), "zone")
+    ties = {"tiles": [F.desc("n_tiles")], "efficiency": [F.desc(F.col("n_tiles") / F.greatest("km", F.lit(0.1)))], "frontier": [F.asc("border_ratio"), F.desc("n_tiles")], "infill": [F.desc("border_ratio"), F.asc("km")]}
+    order = Window.partitionBy("quadrant").orderBy(F.desc(F.col("n_tiles") - F.col("overlap") * OVERLAP), *ties[mode], "zone")
     return s.withColumn("place", F.row_number().over(order))
 
 
@@ -149,11 +155,21 @@ def headwind(wind: tuple[float, float], a: tuple[float, float], b: tuple[float,
     return wind[0] * math.cos(math.radians(wind[1] - travel))
 
 
-def _tour(rows: pd.DataFrame, start: tuple, end: tuple, km: float, zoom: int, exponent: float, wind: tuple | None, columns: list[str]) -> pd.DataFrame:
+def _leg_tiles(rows: pd.DataFrame, start: tuple, end: tuple) -> pd.DataFrame:
+    """quadrant, zoom, x, y of the tiles under all legs that a tour of these zones can have, on each grid that they are of."""
+    points = [start, end, *zip(rows["lat"], rows["lon"])]
+    zooms = sorted(set(rows["zoom"]))
+    tiles = {(z, *t) for z in zooms for a in points for b in points if a != b for t in way_tiles(a, b, z)}
+    return pd.DataFrame(sorted(tiles), columns=["zoom", "x", "y"]).assign(quadrant=rows["quadrant"].iloc[0])[["quadrant", "zoom", "x", "y"]]
+
+
+def _tour(rows: pd.DataFrame, near: pd.DataFrame, start: tuple, end: tuple, km: float, zoom: int, exponent: float, wind: tuple | None, columns: list[str]) -> pd.DataFrame:
+    if not len(rows):
+        return pd.DataFrame(columns=columns)
     rows = rows.sort_values(["grid", "place"]).reset_index(drop=True)
     seen: dict[int, set] = {}
-    for t in rows["near"][0]:
-        seen.setdefault(t["zoom"], set()).add((t["x"], t["y"]))
+    for level, x, y in zip(near["zoom"], near["x"], near["y"]):
+        seen.setdefault(level, set()).add((x, y))
     zones_ = rows[["lat", "lon", "n_tiles", "km", "zoom"]].to_dict("records")
     stops = insertion_tour(start, end, zones_, km, zoom, seen, exponent)
     if wind and start == end and len(stops) > 1:
@@ -162,8 +178,8 @@ def _tour(rows: pd.DataFrame, start: tuple, end: tuple, km: float, zoom: int, ex
     return rows.iloc[stops].assign(stop=range(1, len(stops) + 1))[columns]
 
 
-def tours(zoned: DataFrame, visited: DataFrame, zoom: int, start: tuple[float, float], km: float, efficient: bool = False, shape: str = "loop", end: tuple[float, float] | None = None, second: tuple[DataFrame, DataFrame, int] | None = None, wind: tuple[float, float] | None = None) -> DataFrame:
-    """quadrant, stop, zone, lat, lon, n_tiles: a tour in each quadrant. A group holds at most 16 zones and the visited tiles in reach.
+def tours(zoned: DataFrame, visited: DataFrame, zoom: int, start: tuple[float, float], km: float, mode: str = "tiles", shape: str = "loop", end: tuple[float, float] | None = None, second: tuple[DataFrame, DataFrame, int] | None = None, wind: tuple[float, float] | None = None) -> DataFrame:
+    """quadrant, stop, zone, lat, lon, n_tiles: a tour in each quadrant. A group holds at most 16 zones and those visited tiles that lie under the legs between them.
 
     A loop takes zones of its quadrant and the next one clockwise as one area; out_and_back the best zone of its quadrant; with
     an end it goes from point to point. Reach is the caller's: km / 4 of round trips, km / 3 of others. second: zoned, visited
@@ -176,12 +192,14 @@ def tours(zoned: DataFrame, visited: DataFrame, zoom: int, start: tuple[float, f
         own.append(tiles.select("quadrant"))
         if shape == "loop" and not end:
             tiles = zones(with_neighbours(tiles.drop("zone")))
-        best = score_zones(tiles, seen, level, start).filter(F.col("place") <= cap).join(best_corner(tiles, level, start), "zone")
+        best = score_zones(tiles, seen, level, start, mode).filter(F.col("place") <= cap).join(best_corner(tiles, level, start), "zone")
         pools.append(best.select("quadrant", "zone", "n_tiles", "km", "place", "lat", "lon", F.lit(grid).alias("grid"), F.lit(level).cast("long").alias("zoom")))
         at = coverage.centres(seen.select("x", "y").distinct(), level)
         near.append(at.filter(geo.haversine_m(*here) / 1000 <= far).select(F.lit(level).cast("long").alias("zoom"), "x", "y"))
     pool, own, near = (x[0].unionByName(x[1]) if second else x[0] for x in (pools, own, near))
-    pool = pool.join(own.distinct(), "quadrant", "left_semi").crossJoin(near.agg(F.collect_list(F.struct("zoom", "x", "y")).alias("near")))
+    pool = materialise(pool.join(own.distinct(), "quadrant", "left_semi"), "pool")
+    legs = pool.groupBy("quadrant").applyInPandas(lambda rows: _leg_tiles(rows, start, end or start), "quadrant string, zoom long, x long, y long")
+    on_way = legs.join(near, ["zoom", "x", "y"], "left_semi")
     columns = "quadrant string, zone long, lat double, lon double, n_tiles long, stop long" + (", zoom long" if second else "")
-    run = partial(_tour, start=start, end=end or start, km=km, zoom=zoom, exponent=1.0 if efficient else 0.4, wind=wind, columns=[c.split()[0] for c in columns.split(", ")])
-    return pool.groupBy("quadrant").applyInPandas(lambda rows: run(rows), columns)
+    run = partial(_tour, start=start, end=end or start, km=km, zoom=zoom, exponent=1.0 if mode == "efficiency" else 0.4, wind=wind, columns=[c.split()[0] for c in columns.split(", ")])
+    return pool.groupBy("quadrant").cogroup(on_way.groupBy("quadrant")).applyInPandas(lambda rows, tiles: run(rows, tiles), columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from ..functions import geo
 from ..operators import naming, rollups
 from ..operators.locations import direction
 from ..registry import query
-from ..shared import table
+from ..shared import running, table
 from ..sources import sinks
 from ..sources import testdata as t
 from ..streaming.stateful import latest_fresh
@@ -82,7 +83,7 @@ def p23(spark, d):
 @query("O5_O6_groups_by_frequency", "SELECT group_id, uses, row_number() OVER (ORDER BY uses DESC, group_id) AS place FROM groups", "groups")
 def o5(spark, d):
     g = rollups.group_metrics(t.routes(spark, d)).select("group_id", "uses")
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("uses"), "group_id")).cast("long"))
+    return running(g, [F.desc("uses"), F.col("group_id").asc()]).withColumn("place", F.col("place") + 1)
 
 
 @query("O10_first_then_sorted", "SELECT id, start_date, name FROM (SELECT id, start_date, name FROM activities ORDER BY start_date DESC NULLS LAST, id LIMIT 20)", "activities")
@@ -155,19 +156,26 @@ WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number()
 r AS (SELECT user_id, event_id, k, us AS prior, true AS sent FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.us - r.prior >= 21600000000 THEN e.us ELSE r.prior END, e.us - r.prior >= 21600000000 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
 SELECT user_id, event_id FROM r WHERE sent""")
 def t4(spark, d):
-    """The stream's rule over a stored table: each user's alerts, of which one in six hours is sent."""
-    import pandas as pd
-
-    def sent(rows: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        for at in rows.sort_values(["at", "event_id"]).itertuples():
-            if last is None or at.at - last >= 21_600_000_000:
-                keep.append((at.user_id, at.event_id))
-                last = at.at
-        return pd.DataFrame(keep, columns=["user_id", "event_id"])
+    """The stream's rule over a stored table: each user's alerts, of which one in six hours is sent.
+
+    Users are dealt out and sorted, and a worker reads on with the current user and the time of their last alert alone, however many alerts they have.
+    """
+    gap = 21_600_000_000
+
+    def sent(batches):
+        user, last = None, None
+        for batch in batches:
+            keep = []
+            for who, at in zip(batch["user_id"].to_pylist(), batch["at"].to_pylist()):
+                if who != user or last is None or at - last >= gap:
+                    user, last = who, at
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["user_id", "event_id"])
 
     e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return e.groupBy("user_id").applyInPandas(sent, "user_id long, event_id long")
+    return e.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInArrow(sent, "user_id long, event_id long")
 
 
 @query("T5_retention", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")

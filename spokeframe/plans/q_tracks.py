@@ -62,15 +62,17 @@ def x3(spark, d):
     return grouping.number_groups(grouped.join(r.select("activity_id", "direction"), "activity_id"), "direction", "activity_id").select("activity_id", "pivot", "group_id")
 
 
-@query("X4_consolidated_groups")
+def _named(spark, d):
+    """Tracks under 40 names, with dates."""
+    day = F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("activity_id") * 7 % 200).cast("int")), "yyyy-MM-dd")
+    name = F.concat(F.lit("Loop "), (F.col("activity_id") % 40).cast("string"))
+    return t.routes(spark, d).withColumn("start_date", day).withColumn("name", F.when(F.col("activity_id") % 41 == 0, F.concat(name, F.lit(" again"))).otherwise(name))
+
+
+@query("X4_A27_consolidated_names")
 def x4(spark, d):
-    """Groups whose representatives are near in km merge by the same rule."""
-    reps = rollups.representative(similarity.with_km(t.routes(spark, d))).select("group_id", "km", "shape", "distance")
-    p, q = reps.alias("p"), reps.alias("q")
-    pairs = p.join(q, F.col("p.group_id") < F.col("q.group_id")).filter(F.greatest("p.distance", "q.distance") / F.least("p.distance", "q.distance") <= 1.25)
-    pairs = pairs.filter(similarity.passes_km(F.col("p.shape"), F.col("q.shape"), LONG_RIDE))
-    near = pairs.select(F.col("p.group_id").alias("a"), F.col("q.group_id").alias("b"), similarity.km_distance(F.col("p.km"), F.col("q.km")).alias("far")).filter("far < 2.0")
-    return grouping.pivot_groups(reps, near.select("a", "b"), "group_id", "group_id")
+    """Named groups whose newest tracks are near in km become one."""
+    return grouping.consolidate(_named(spark, d), 2.0)
 
 
 @query("X14_T1_incremental_groups")
@@ -79,9 +81,7 @@ def x14(spark, d):
     r = t.routes(spark, d)
     new = r.filter("activity_id % 5 = 0")
     reps = rollups.representative(r.filter("activity_id % 5 <> 0"))
-    a = new.select("activity_id", "coords", "direction").alias("a").join(reps.select("group_id", "direction", F.col("coords").alias("rep")).alias("g"), F.col("a.direction") == F.col("g.direction"))
-    d_ = a.select("activity_id", "group_id", similarity.path_distances(F.col("coords"), F.col("rep")).alias("d"))
-    scored = d_.select("activity_id", "group_id", similarity.commute_similarity(F.col("d.frechet"), F.col("d.percentile_hausdorff")).alias("similarity"))
+    scored = similarity.commute_matches(new, reps, "activity_id", "group_id", ["direction"], 0.2)
     matched = grouping.assign_to_groups(new, scored, "activity_id", 0.2)
     rest = new.join(matched.filter("group_id is null"), "activity_id", "left_semi")
     edges = similarity.commute_pairs(rest, "activity_id", ["direction"], 0.2).select("a", "b")

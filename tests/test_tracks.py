@@ -87,6 +87,47 @@ def test_pivot_groups_are_the_greedy_ones(spark):
         assert got == greedy(sorted(range(n), key=order.__getitem__), edges)
 
 
+def test_pivots_of_chains_and_of_components(spark, monkeypatch):
+    """Chains in the order of their rows outlast the rounds; small components are finished by themselves, large ones by rounds."""
+    chains = {(i, i + 1) for i in range(60) if i % 20 != 19}
+    rows = spark.createDataFrame([(k, k) for k in range(61)], "key long, ord long")
+    pairs = spark.createDataFrame(list(chains), "a long, b long")
+    for rounds, small in ((1, 100), (2, 3)):
+        monkeypatch.setattr(grouping, "ROUNDS", rounds)
+        monkeypatch.setattr(grouping, "SMALL", small)
+        got = {r.key: r.pivot for r in grouping.pivot_groups(rows, pairs, "key", "ord").collect()}
+        assert got == greedy(range(61), chains)
+
+
+def test_groups_are_numbered_in_order(spark):
+    rows = [(p, "ab"[p % 2], (p * 7) % 31) for p in range(31)]
+    got = grouping.number_groups(spark.createDataFrame(rows, "pivot long, way string, ord long"), "way", "ord").collect()
+    want = {p: f"{w}_{k}" for w in "ab" for k, (p, *_) in enumerate(sorted((r for r in rows if r[1] == w), key=lambda r: r[2]))}
+    assert {r.pivot: r.group_id for r in got} == want
+
+
+def test_consolidated_names(spark):
+    far = line(12, lat=43.0)
+    rows = [(1, "Old", "2001-01-01", 10000.0, far), (2, "Old", "2001-01-05", 10000.0, line(12)), (3, "Longer name", "2001-01-02", 10000.0, line(12)), (4, "Longer name", "2001-01-03", 10000.0, line(12)), (5, "Long", "2001-01-03", 20000.0, line(12)), (6, "Away", "2001-01-03", 10000.0, far), (7, "No track", "2001-01-03", 10000.0, None), (8, "New", "2001-01-09", 10000.0, line(12))]
+    df = spark.createDataFrame(rows, "activity_id long, name string, start_date string, distance double, coords array<struct<lat:double,lon:double>>")
+    got = {r.name: r.primary_name for r in grouping.consolidate(df, 2.0).collect()}
+    assert got == {"Old": "Old", "Longer name": "Old", "New": "Old", "Long": "Long", "Away": "Away", "No track": "No track"}
+
+
+def test_matches_are_those_of_all_pairs(spark):
+    rnd = random.Random(11)
+    tracks = [[(41.88 + rnd.gauss(0, 0.003) + i * 0.001, -87.63 + rnd.gauss(0, 0.003)) for i in range(rnd.choice([5, 8]))] for _ in range(40)] + [[], None]
+    df = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(tracks)], "key long, g long, coords array<struct<lat:double,lon:double>>")
+    for least in (0.3, 0.45):
+        rows, others = df.filter("key < 25"), df.filter("key >= 20").withColumnRenamed("key", "other")
+        got = {(r.key, r.other) for r in similarity.commute_matches(rows, others, "key", "other", ["g"], least).collect()}
+        both = rows.alias("a").join(others.alias("b"), "g").select("key", "other", similarity.path_distances(F.col("a.coords"), F.col("b.coords")).alias("d"))
+        want = {(r.key, r.other) for r in both.select("key", "other", similarity.commute_similarity(F.col("d.frechet"), F.col("d.percentile_hausdorff")).alias("s")).filter(F.col("s") >= least).collect()}
+        assert got == want and want
+        pairs = {(r.a, r.b) for r in similarity.commute_pairs(df, "key", ["g"], least).collect()}
+        assert pairs == {(r.a, r.b) for r in similarity.commute_pairs(df, "key", ["g"]).filter(F.col("similarity") >= least).collect()}
+
+
 def dbscan(points, eps, least):
     near = [[j for j, q in enumerate(points) if math.dist(p, q) <= eps] for p in points]
     label = {}
@@ -109,8 +150,9 @@ def test_dbscan(spark):
     points = [(x + rnd.gauss(0, 0.02), y + rnd.gauss(0, 0.02)) for x, y in centres for _ in range(30)] + [(rnd.random(), rnd.random()) for _ in range(30)]
     points += points[:5]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "key long, x double, y double")
-    got = {r.key: r.cluster for r in grouping.dbscan(df, "key", 0.03, 5).collect()}
-    assert got == dbscan(points, 0.03, 5)
+    for eps, least in ((0.03, 5), (0.08, 4), (0.01, 2)):
+        got = {r.key: r.cluster for r in grouping.dbscan(df, "key", eps, least).collect()}
+        assert got == dbscan(points, eps, least)
 
 
 def test_home_and_work(spark):
@@ -319,3 +361,17 @@ def test_points_for_names(spark):
         fill = [i for i in range(step, 200 - step, step) if i not in chosen][: n - len(chosen)]
         assert sorted(got[key]) == sorted(chosen + fill)[:n]
     assert sorted(got[3]) == list(range(7))
+
+
+def test_modes_order_equal_zones(spark):
+    """Zones of equal scores by each mode's own measure."""
+    start, zoom = (41.88, -87.63), 14
+    cx, cy = 4204, 6090
+    tiles = [(cx + 6, cy - 3), (cx + 6, cy - 4), (cx + 10, cy - 8), (cx + 11, cy - 8), (cx + 3, cy - 9), (cx + 3, cy - 10)]
+    zoned = exploration.zones(coverage.centres(spark.createDataFrame(tiles, "x long, y long"), zoom).withColumn("quadrant", F.lit("NE")))
+    visited = spark.createDataFrame([(cx + 12, cy - 8), (cx + 10, cy - 9), (cx + 3, cy - 11)], "x long, y long")
+    key = {"tiles": lambda r: -r.n_tiles, "efficiency": lambda r: -r.n_tiles / max(r.km, 0.1), "frontier": lambda r: (r.border_ratio, -r.n_tiles), "infill": lambda r: (-r.border_ratio, r.km)}
+    for mode, own in key.items():
+        rows = exploration.score_zones(zoned, visited, zoom, start, mode).orderBy("place").collect()
+        assert len(rows) == 3 and rows == sorted(rows, key=lambda r: (-(r.n_tiles - r.overlap * 0.5), own(r), r.zone))
+    assert len({r.border_ratio for r in rows}) == 3
