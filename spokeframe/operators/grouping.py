@@ -126,6 +126,15 @@ def dbscan(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
     return at.join(spots.select("x", "y", "s"), ["x", "y"]).join(found, "s").select(F.col("k").alias(key), "cluster")
 
 
+def what_to_analyse(known: DataFrame, rides: DataFrame, key: str) -> DataFrame:
+    """One row: how many rides are new and how many of the known ones are removed; hit, incremental or full analysis; a warning where a tenth is gone."""
+    both = known.select(key).distinct().withColumn("old", F.lit(1)).join(rides.select(key).distinct().withColumn("now", F.lit(1)), key, "full")
+    n = both.agg(F.count(F.when(F.col("old").isNull(), 1)).alias("new"), F.count(F.when(F.col("now").isNull(), 1)).alias("removed"), F.count("old").alias("before"))
+    pct = F.col("removed") * 100.0 / F.greatest("before", F.lit(1))
+    kind = F.when(F.col("removed") > 0, "full").when(F.col("new") > 0, "incremental").otherwise("hit")
+    return n.select("new", "removed", kind.alias("analysis"), F.bround(pct, 0).alias("removed_pct"), (pct >= 10).alias("warn"))
+
+
 def consolidate(rides: DataFrame, within_km: float, ratio: float = 1.25) -> DataFrame:
     """rides: activity_id, name, start_date, distance, coords. name, primary_name: groups of one name whose newest rides' paths are near become one.
 

@@ -48,7 +48,7 @@ def j4(spark, d):
     return t.routes(spark, d).filter("group_id = 'home_to_work_3'").select("activity_id", "distance", F.size("coords").cast("long").alias("points"))
 
 
-@query("J16_P19_workouts", """
+@query("P19_workouts_in_range", """
 WITH w AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day, l_quantity AS minutes FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '2001-07-25' AND TIMESTAMP '2001-08-08')
 SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS workouts, min(minutes) AS shortest FROM w GROUP BY 1""")
 def j16(spark, d):

@@ -197,7 +197,7 @@ def c12(spark, d):
     return t.activities(spark, d).select("id", F.round(score, 6).alias("score"), level.alias("level"), F.size(scores.ride_notes(level, km, h)).alias("notes"))
 
 
-@query("C7_C9_workout_fit", """
+@query("C7_workout_fit", """
 WITH w AS (SELECT activity_id, duration / 60e0 AS m, CASE activity_id % 4 WHEN 0 THEN 30 WHEN 1 THEN 60 END AS lo, CASE activity_id % 4 WHEN 0 THEN 60 WHEN 1 THEN 90 WHEN 2 THEN 30 END AS hi, activity_id % 3 = 0 AS indoors FROM routes)
 SELECT activity_id, round(greatest(0e0, least(1e0, 0.5e0 + CASE WHEN lo IS NOT NULL AND m < lo THEN -0.3e0 WHEN hi IS NOT NULL AND m > hi THEN -0.2e0 ELSE 0.3e0 END + CASE WHEN indoors THEN -0.2e0 ELSE 0.2e0 END)), 6) AS fit,
   coalesce(lo IS NOT NULL AND m < lo AND NOT indoors, false) AS extend FROM w""", "routes")

@@ -59,6 +59,12 @@ SELECT event_id, ts, value % 4500e-2 - 5e0 AS temp_c, (value * 3e0) % 5000e-2 AS
 FROM events""",
     "gear": """
 SELECT 'b' || n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'bike' ELSE 'shoe' END AS type FROM nation WHERE n_nationkey < 5""",
+    "workouts": """
+SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, 'Workout ' || (o_orderkey % 50) AS workout_name,
+       CASE o_orderkey % 6 WHEN 0 THEN 'Endurance' WHEN 1 THEN 'Threshold' WHEN 2 THEN 'VO2Max' WHEN 3 THEN 'Group Ride' WHEN 4 THEN 'Recovery' END AS workout_type,
+       CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE CAST(20 + o_orderkey % 30 AS BIGINT) END AS duration_minutes, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 160 AS BIGINT) END AS tss,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 97 AS DOUBLE) + 0.5e0 END AS temp_f, CAST(greatest(0, o_orderkey % 7 - 4) AS DOUBLE) AS precip_mm
+FROM orders""",
     "notes": """
 SELECT doc_id, text, 'Ride 41.' || (100000 + doc_id) || ', -87.' || (200000 + doc_id) || ' from ' || (doc_id % 90 + 10) || ' Oak Park Ave, rider' || doc_id || '@mail.example.com token = abc' || doc_id || ' activity_id: ' || (10000000 + doc_id) || ' Bearer k' || doc_id AS note
 FROM documents""",
@@ -165,6 +171,23 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned workouts with the weather of their day."""
+    o = table(spark, sf_dir, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    kinds = F.array(*[F.lit(k) for k in ("Endurance", "Threshold", "VO2Max", "Group Ride", "Recovery", None)])
+    return o.select(
+        key.alias("id"),
+        F.to_date("o_orderdate").alias("day"),
+        F.concat(F.lit("Workout "), (key % 50).cast("string")).alias("workout_name"),
+        F.get(kinds, (key % 6).cast("int")).alias("workout_type"),
+        F.when(cust % 5 != 0, (20 + key % 30).cast("long")).alias("duration_minutes"),
+        F.when(cust % 3 != 0, (key % 160).cast("long")).alias("tss"),
+        F.when(key % 11 != 0, (key % 97).cast("double") + 0.5).alias("temp_f"),
+        F.greatest(F.lit(0), key % 7 - 4).cast("double").alias("precip_mm"),
+    )
+
+
 def gear(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").filter("n_nationkey < 5")
     return n.select(F.concat(F.lit("b"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "bike").otherwise("shoe").alias("type"))

@@ -375,3 +375,22 @@ def test_modes_order_equal_zones(spark):
         rows = exploration.score_zones(zoned, visited, zoom, start, mode).orderBy("place").collect()
         assert len(rows) == 3 and rows == sorted(rows, key=lambda r: (-(r.n_tiles - r.overlap * 0.5), own(r), r.zone))
     assert len({r.border_ratio for r in rows}) == 3
+
+
+def test_workout_rules(spark):
+    """What a workout asks, and what weather decides, on the cases that the rules are known by."""
+    from spokeframe.operators import workouts
+
+    rows = [(1, "Endurance", 120, 150), (2, "Endurance", None, None), (3, "Threshold", 60, 0), (4, "VO2Max", 45, 101), (5, "Recovery", 90, 100), (6, "Group Ride", 0, None), (7, None, 50, 120)]
+    df = spark.createDataFrame(rows, "id long, workout_type string, duration_minutes long, tss long")
+    got = {r.id: (r.min_minutes, r.max_minutes, r.intensity, r.indoor_preferred, len(r.notes)) for r in workouts.constraints(df).collect()}
+    assert got == {1: (120, 150, "low", False, 2), 2: (60, 90, "low", False, 1), 3: (None, None, "high", True, 1), 4: (None, None, "high", True, 2), 5: (None, 45, "very_low", False, 1), 6: (60, 120, "moderate", False, 1), 7: (None, None, None, False, 1)}
+    weather = [(False, 35.4, 0.0), (False, 50.0, 1.0), (True, 70.5, 0.0), (True, None, 9.0), (False, 20.0, 2.0), (False, 40.0, None)]
+    df = spark.createDataFrame([(i, *w) for i, w in enumerate(weather)], "id long, p boolean, f double, mm double")
+    found = [tuple(r.x) for r in df.select("id", workouts.indoor_decision(F.col("p"), F.col("f"), F.col("mm")).alias("x")).orderBy("id").collect()]
+    cold = "35°F is below your 40°F minimum"
+    assert found == [(True, cold, f"Indoor recommended: {cold}"), (True, "precipitation detected", "Indoor recommended: precipitation detected"), (False, None, "Weather is suitable for outdoor riding (70°F, dry)"), (True, None, None), (True, "20°F is below your 40°F minimum and precipitation detected", "Indoor recommended: 20°F is below your 40°F minimum and precipitation detected"), (False, None, None)]
+    allowed = df.select(workouts.indoor_decision(F.col("p"), F.col("f"), F.col("mm"), 10, True).alias("x")).collect()
+    assert [r.x.indoors for r in allowed] == [False, False, False, True, False, False]
+    flags = spark.createDataFrame([("Endurance", 30, 60, False), ("Endurance", 30, 60, True), ("VO2Max", 30, 60, False), ("Endurance", 60, 60, False), (None, 30, 60, False), ("Endurance", 30, None, False)], "k string, m long, lo long, i boolean")
+    assert [r.x for r in flags.select(workouts.extended(F.col("k"), F.col("m"), F.col("lo"), F.col("i")).alias("x")).collect()] == [True, False, False, False, True, False]
