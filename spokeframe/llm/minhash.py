@@ -177,10 +177,13 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets share percent of their union at least. texts: doc_id, text."""
+    """The pairs (a, b) whose full sets share percent of their union at least. texts: doc_id, text.
+
+    Pairs and texts are sorted and merged at every size: that is what large tables get, and a small one then shows what they need.
+    """
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    joined = pairs.select("a", "b").join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(lambda it: _linked(it, percent), "a long, b long")
 
 
@@ -310,7 +313,7 @@ def finish(rows: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -
     pairs = materialise(pairs, "pairs")
     used = pairs.select("group", F.explode(F.array("block_1", "block_2")).alias("block")).distinct()
     wanted = members.join(used, ["group", "block"], "left_semi")
-    given = texts.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    given = texts.join(wanted.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     sets = given.mapInArrow(_sets, "id long, shingles binary").filter(F.length("shingles") > 0).distinct()
     held = materialise(wanted.join(sets, "id").groupBy("group", "block").applyInPandas(_block, "group long, block long, held binary"), "blocks")
     one, other = (held.select("group", F.col("block").alias(f"block_{k}"), F.col("held").alias(c)) for k, c in ((1, "one"), (2, "other")))
@@ -330,7 +333,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     stars = materialise(_stars(met, F.col("degree"), percent), "stars")
     ids = met.select(F.col("id").alias("doc_id")).distinct()
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = materialise(given.join(ids, "doc_id", "left_semi"), "texts")
+    texts = materialise(given.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
 
     best = stars.groupBy("b").agg(F.max(F.struct("degree", "shared", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
     labels = materialise(components(materialise(confirm(best, texts, percent), "links")), "labels")
