@@ -10,7 +10,8 @@ from ..operators import coverage, exploration, grouping, rollups, similarity
 from ..operators.locations import home_and_work, endpoints
 from ..registry import query
 from ..sources import testdata as t
-from .q_functions import SEGMENTS, TILE
+from .q_functions import BEARING, HAV, SEGMENTS, TILE
+from .q_rollups import hav
 
 GEOMETRY = f"""{SEGMENTS}, len AS (SELECT vec_id, sum(sqrt(pow(lat2 - lat1, 2) + pow(lon2 - lon1, 2))) AS length FROM seg WHERE lat2 IS NOT NULL GROUP BY 1),
 geom AS (SELECT p.vec_id, CASE WHEN any_value(label) < 5 THEN 'w' ELSE 'h' END AS way, min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e, avg(lat) AS c_lat, avg(lon) AS c_lon, any_value(length) AS length FROM points p JOIN len USING (vec_id) GROUP BY 1),
@@ -18,6 +19,15 @@ box AS (SELECT a.vec_id AS a, b.vec_id AS b, greatest(0, least(a.n, b.n) - great
   FROM geom a JOIN geom b ON a.way = b.way AND a.vec_id < b.vec_id WHERE greatest(a.length, b.length) / least(a.length, b.length) <= 2 AND sqrt(pow(a.c_lat - b.c_lat, 2) + pow(a.c_lon - b.c_lon, 2)) <= 2e-2),
 pairs AS (SELECT a, b FROM box WHERE both_ > 0 AND both_ / smaller >= 0.3)"""
 
+# Discrete Frechet distance of tracks of 32 points: the table of distances diagonal by diagonal, each from the two before it.
+PATHS = """line AS (SELECT vec_id, list(lat ORDER BY idx) AS lat, list(lon ORDER BY idx) AS lon FROM {points} GROUP BY 1),
+both_ AS (SELECT a, b, p.lat AS la, p.lon AS oa, q.lat AS lb, q.lon AS ob FROM {pairs} JOIN line p ON p.vec_id = a JOIN line q ON q.vec_id = b),
+far AS (SELECT a, b, la, oa, lb, ob, list_transform(range(63), lambda k: list_transform(range(32), lambda i: CASE WHEN k - i BETWEEN 0 AND 31 THEN sqrt(pow(la[i + 1] - lb[k - i + 1], 2) + pow(oa[i + 1] - ob[k - i + 1], 2)) ELSE CAST('infinity' AS DOUBLE) END)) AS diagonals FROM both_),
+path AS (SELECT a, b, list_transform(range(1, 33), lambda i: list_min(list_transform(range(1, 33), lambda j: sqrt(pow(la[i] - lb[j], 2) + pow(oa[i] - ob[j], 2))))) AS ab, list_transform(range(1, 33), lambda i: list_min(list_transform(range(1, 33), lambda j: sqrt(pow(lb[i] - la[j], 2) + pow(ob[i] - oa[j], 2))))) AS ba,
+  list_reduce(diagonals, lambda acc, d: list_concat(list_transform(range(1, 33), lambda i: greatest(d[i], least(acc[i], CASE WHEN i > 1 THEN acc[i - 1] END, CASE WHEN i > 1 THEN acc[i + 31] END))), acc[1:32]))[32] AS frechet FROM far)"""
+COMMUTES = """scored AS (SELECT a, b, frechet, p, 1 / (frechet * 111000 / 300 + 1) * CASE WHEN 1 / (p * 111000 / 200 + 1) < 0.5e0 THEN 0.7e0 ELSE 1 END AS similarity
+  FROM (SELECT a, b, frechet, greatest(list_aggregate(ab, 'quantile_cont', 0.95e0), list_aggregate(ba, 'quantile_cont', 0.95e0)) AS p FROM path))"""
+
 
 @query("J6_G9_candidate_pairs", f"WITH {GEOMETRY} SELECT a, b FROM pairs", "points")
 def j6(spark, d):
@@ -35,26 +45,48 @@ def g11(spark, d):
     return found.select("a", "b", F.round(p, 8).alias("deviation"), F.round(1.0 / (p * similarity.METRES / 200.0 + 1.0), 6).alias("similarity"))
 
 
-@query("G10_G12_commute_similarity")
+@query("G10_G12_commute_similarity", f"WITH {GEOMETRY}, {PATHS.format(points='points', pairs='pairs')}, {COMMUTES} SELECT a, b, round(frechet, 9) AS frechet, round(p, 9) AS percentile_hausdorff, round(similarity, 7) AS similarity FROM scored", "points")
 def g10(spark, d):
-    return similarity.commute_pairs(t.routes(spark, d), "activity_id", ["direction"])
+    found = similarity.commute_pairs(t.routes(spark, d), "activity_id", ["direction"])
+    return found.select("a", "b", F.round("frechet", 9).alias("frechet"), F.round("percentile_hausdorff", 9).alias("percentile_hausdorff"), F.round("similarity", 7).alias("similarity"))
 
 
-@query("G8_G13_long_ride_distance")
-def g13(spark, d):
+LONG_RIDES = f"""wide AS (SELECT vec_id, cos(radians(avg(lat))) * 111.32e0 AS wide FROM points GROUP BY 1), km AS (SELECT vec_id, idx, lat * 111.32e0 AS lat, lon * wide AS lon FROM points JOIN wide USING (vec_id)),
+step AS (SELECT vec_id, idx, lat, lon, sqrt(pow(lead(lat) OVER w - lat, 2) + pow(lead(lon) OVER w - lon, 2)) AS length, sqrt(pow(lat - first(lat) OVER w, 2) + pow(lon - first(lon) OVER w, 2)) AS out_ FROM km WINDOW w AS (PARTITION BY vec_id ORDER BY idx)),
+shape AS (SELECT vec_id, sum(length) AS length, avg(lat) AS y, avg(lon) AS x, arg_max(lat, out_) AS far_y, arg_max(lon, out_) AS far_x FROM step GROUP BY 1),
+reps AS (SELECT activity_id, group_id FROM (SELECT activity_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY duration, activity_id) AS rank, count(*) OVER (PARTITION BY group_id) AS n FROM routes) WHERE rank = n // 2 + 1),
+met AS (SELECT p.vec_id AS a, q.vec_id AS b FROM shape p JOIN shape q ON greatest(p.length, q.length) / least(p.length, q.length) <= 1.25e0 AND sqrt(pow(p.y - q.y, 2) + pow(p.x - q.x, 2)) <= 5 AND sqrt(pow(p.far_y - q.far_y, 2) + pow(p.far_x - q.far_x, 2)) <= 10 WHERE q.vec_id IN (SELECT activity_id FROM reps)),
+{PATHS.format(points='km', pairs='met')}, near AS (SELECT a AS activity_id, group_id, (frechet + greatest(list_max(ab), list_max(ba))) / 2 AS distance_km FROM path JOIN reps ON activity_id = b)"""
+
+
+def _long_rides(spark, d):
     """Every track against the representative of each group."""
     r = similarity.with_km(t.routes(spark, d))
     far = similarity.km_distances(r, rollups.representative(r), "activity_id", "group_id", LONG_RIDE)
     return far.withColumn("similarity", similarity.km_similarity(F.col("distance_km")))
 
 
-@query("J7_J8_nearest_group")
-def j7(spark, d):
-    scored = g13(spark, d)
-    return grouping.assign_to_groups(t.routes(spark, d), scored, "activity_id", 0.05)
+@query("G8_G13_long_ride_distance", f"WITH {LONG_RIDES} SELECT activity_id, group_id, round(distance_km, 8) AS distance_km, round(1 / (distance_km * 1000 / 300 + 1), 8) AS similarity FROM near", "points routes")
+def g13(spark, d):
+    return _long_rides(spark, d).select("activity_id", "group_id", F.round("distance_km", 8).alias("distance_km"), F.round("similarity", 8).alias("similarity"))
 
 
-@query("X3_pivot_groups")
+@query("J7_J8_nearest_group", f"""
+WITH {LONG_RIDES}, good AS (SELECT activity_id, group_id, 1 / (distance_km * 1000 / 300 + 1) AS s FROM near), best AS (SELECT activity_id, arg_min(group_id, [-s]) AS group_id, max(s) AS s FROM (SELECT * FROM good WHERE s >= 0.05e0 ORDER BY group_id) GROUP BY 1)
+SELECT r.activity_id, best.group_id, round(s, 8) AS similarity FROM routes r LEFT JOIN best USING (activity_id)""", "points routes")
+def j7(spark, d):
+    found = grouping.assign_to_groups(t.routes(spark, d), _long_rides(spark, d), "activity_id", 0.05)
+    return found.select("activity_id", "group_id", F.round("similarity", 8).alias("similarity"))
+
+
+@query("X3_pivot_groups", f"""
+WITH RECURSIVE {GEOMETRY}, ends AS (SELECT p.vec_id, p.lat AS y1, p.lon AS x1, q.lat AS y2, q.lon AS x2 FROM points p JOIN points q USING (vec_id) WHERE p.idx = 0 AND q.idx = 31),
+close_ AS (SELECT a, b FROM pairs JOIN ends p ON p.vec_id = a JOIN ends q ON q.vec_id = b WHERE greatest(sqrt(pow(p.y1 - q.y1, 2) + pow(p.x1 - q.x1, 2)), sqrt(pow(p.y2 - q.y2, 2) + pow(p.x2 - q.x2, 2))) <= 0.0244e0),
+{PATHS.format(points='points', pairs='close_')}, {COMMUTES},
+earlier AS (SELECT vec_id AS v, row_number() OVER (ORDER BY vec_id) AS n, coalesce(before, []) AS before FROM geom LEFT JOIN (SELECT b AS vec_id, list(a) AS before FROM scored WHERE similarity >= 0.1e0 GROUP BY 1) USING (vec_id)),
+fold(n, pivots) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.n, CASE WHEN list_has_any(o.before, pivots) THEN pivots ELSE list_append(pivots, o.v) END FROM fold JOIN earlier o ON o.n = fold.n + 1),
+taken AS (SELECT v, coalesce(list_min(list_intersect(before, (SELECT arg_max(pivots, n) FROM fold))), v) AS of_ FROM earlier), placed AS (SELECT vec_id AS of_, direction, row_number() OVER (PARTITION BY direction ORDER BY vec_id) - 1 AS place FROM geom JOIN routes ON vec_id = activity_id WHERE vec_id IN (SELECT of_ FROM taken))
+SELECT v AS activity_id, of_ AS "pivot", direction || '_' || place AS group_id FROM taken JOIN placed USING (of_)""", "points routes")
 def x3(spark, d):
     r = t.routes(spark, d)
     edges = similarity.commute_pairs(r, "activity_id", ["direction"], 0.1).select("a", "b")
@@ -75,7 +107,15 @@ def x4(spark, d):
     return grouping.consolidate(_named(spark, d), 2.0)
 
 
-@query("X14_T1_incremental_groups")
+@query("X14_T1_incremental_groups", f"""
+WITH RECURSIVE {GEOMETRY}, reps AS (SELECT activity_id, group_id, direction FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY duration, activity_id) AS rank, count(*) OVER (PARTITION BY group_id) AS n FROM routes WHERE activity_id % 5 <> 0) WHERE rank = n // 2 + 1),
+met AS (SELECT a, b FROM pairs WHERE a % 5 = 0 AND b % 5 = 0 UNION ALL SELECT r.activity_id, reps.activity_id FROM routes r JOIN reps USING (direction) WHERE r.activity_id % 5 = 0), {PATHS.format(points='points', pairs='met')}, {COMMUTES},
+matched AS (SELECT a, arg_min(group_id, [-similarity]) AS group_id FROM (SELECT a, reps.group_id, similarity FROM scored JOIN reps ON b = activity_id WHERE similarity >= 0.2e0 ORDER BY group_id) GROUP BY 1),
+rest AS (SELECT activity_id AS v, row_number() OVER (ORDER BY activity_id) AS n FROM routes WHERE activity_id % 5 = 0 AND activity_id NOT IN (SELECT a FROM matched)),
+earlier AS (SELECT v, n, coalesce(e, []) AS e FROM rest LEFT JOIN (SELECT b AS v, list(a) AS e FROM scored WHERE similarity >= 0.2e0 AND a IN (SELECT v FROM rest) AND b IN (SELECT v FROM rest) GROUP BY 1) USING (v)),
+fold(n, pivots) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.n, CASE WHEN list_has_any(o.e, pivots) THEN pivots ELSE list_append(pivots, o.v) END FROM fold JOIN earlier o ON o.n = fold.n + 1),
+taken AS (SELECT v, coalesce(list_min(list_intersect(e, (SELECT arg_max(pivots, n) FROM fold))), v) AS of_ FROM earlier)
+SELECT activity_id, matched.group_id, of_ AS "pivot" FROM routes LEFT JOIN matched ON a = activity_id LEFT JOIN taken ON v = activity_id WHERE activity_id % 5 = 0""", "points routes")
 def x14(spark, d):
     """New tracks go to their most similar group; the rest form groups of their own."""
     r = t.routes(spark, d)
@@ -89,15 +129,31 @@ def x14(spark, d):
     return matched.join(own, "activity_id", "left").select("activity_id", "group_id", "pivot")
 
 
-@query("X1_dbscan")
+# Places are few in the view: clusters are what cores reach from one to the next.
+CLUSTERS = """ends AS (SELECT id * 2 AS endpoint, 'start' AS kind, start_lat AS lat, start_lon AS lon, start_local AS moment FROM activities WHERE start_lat IS NOT NULL AND start_lon IS NOT NULL
+  UNION ALL SELECT id * 2 + 1, 'end', end_lat, end_lon, start_local + to_seconds(elapsed_time) FROM activities WHERE end_lat IS NOT NULL AND end_lon IS NOT NULL),
+spots AS (SELECT lat, lon, min(endpoint) AS s, count(*) AS w FROM ends GROUP BY 1, 2), near AS (SELECT p.s, q.s AS t, q.w FROM spots p JOIN spots q ON sqrt(pow(p.lat - q.lat, 2) + pow(p.lon - q.lon, 2)) <= 5e-4),
+core AS (SELECT s FROM near GROUP BY 1 HAVING sum(w) >= 5), links AS (SELECT s, t FROM near SEMI JOIN core USING (s) WHERE t IN (SELECT s FROM core)),
+reach(s, c) AS (SELECT s, s FROM core UNION SELECT l.t, r.c FROM reach r JOIN links l ON l.s = r.s), cores AS (SELECT s, min(c) AS cluster FROM reach GROUP BY 1),
+named AS (SELECT near.s, min(cluster) AS cluster FROM near JOIN cores ON cores.s = t WHERE near.s NOT IN (SELECT s FROM core) GROUP BY 1 UNION ALL SELECT s, cluster FROM cores),
+clustered AS (SELECT ends.*, cluster FROM ends JOIN spots USING (lat, lon) JOIN named USING (s))"""
+
+
+@query("X1_dbscan", f"WITH RECURSIVE {CLUSTERS} SELECT endpoint, cluster FROM clustered", "activities")
 def x1(spark, d):
     e = endpoints(t.activities(spark, d))
     return grouping.dbscan(e.select("endpoint", F.col("lat").alias("x"), F.col("lon").alias("y")), "endpoint", 0.0005, 5)
 
 
-@query("X2_A14_home_work")
+@query("X2_A14_home_work", f"""
+WITH RECURSIVE {CLUSTERS}, secs AS (SELECT *, hour(moment) * 3600 + minute(moment) * 60 + second(moment) AS seconds FROM clustered),
+s AS (SELECT cluster, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon, count(*) FILTER (kind = 'start') AS starts, count(*) FILTER (kind = 'end') AS ends, CAST(floor(avg(seconds) FILTER (kind = 'start')) AS BIGINT) AS departure, CAST(floor(avg(seconds) FILTER (kind = 'end')) AS BIGINT) AS arrival FROM secs GROUP BY 1),
+two AS (SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS size_rank, CAST(coalesce(departure BETWEEN 21600 AND 36000, false) AS INTEGER) + CAST(coalesce(arrival BETWEEN 57600 AND 72000, false) AS INTEGER) AS homely FROM s ORDER BY n DESC, cluster LIMIT 2),
+wide AS (SELECT cluster, max({hav('c.lat', 'c.lon', 'two.lat', 'two.lon')}) AS radius_m FROM clustered c JOIN two USING (cluster) GROUP BY 1)
+SELECT cluster, n, round(lat, 8) AS lat, round(lon, 8) AS lon, starts, ends, departure, arrival, round(radius_m, 3) AS radius_m, homely, CASE WHEN row_number() OVER (ORDER BY homely DESC, size_rank DESC) = 1 THEN 'home' ELSE 'work' END AS place FROM two JOIN wide USING (cluster)""", "activities")
 def x2(spark, d):
-    return home_and_work(t.activities(spark, d), 0.0005, 5)
+    found = home_and_work(t.activities(spark, d), 0.0005, 5)
+    return found.withColumns({"lat": F.round("lat", 8), "lon": F.round("lon", 8), "radius_m": F.round("radius_m", 3)})
 
 
 @query("X13_distinct_names")
@@ -115,7 +171,12 @@ def f31(spark, d):
     return back.select("vec_id", F.posexplode("c").alias("idx", "p")).select("vec_id", "idx", F.round("p.lat", 4).alias("lat"), F.round("p.lon", 4).alias("lon"))
 
 
-@query("G16_K10_simplify")
+@query("G16_K10_simplify", """
+WITH RECURSIVE open_(vec_id, a, b) AS (SELECT DISTINCT vec_id, 0, 31 FROM points UNION ALL SELECT vec_id, unnest([a, m]), unnest([m, b]) FROM (
+  SELECT o.vec_id, o.a, o.b, arg_max(p.idx, d) AS m, max(d) AS far FROM (SELECT o.vec_id, o.a, o.b, p.idx, abs((q.lat - s.lat) * (p.lon - s.lon) - (q.lon - s.lon) * (p.lat - s.lat)) / sqrt(pow(q.lat - s.lat, 2) + pow(q.lon - s.lon, 2)) AS d
+    FROM open_ o JOIN points s ON s.vec_id = o.vec_id AND s.idx = o.a JOIN points q ON q.vec_id = o.vec_id AND q.idx = o.b JOIN points p ON p.vec_id = o.vec_id AND p.idx > o.a AND p.idx < o.b) AS o JOIN points p ON p.vec_id = o.vec_id AND p.idx = o.idx GROUP BY 1, 2, 3) WHERE far > 5e-3),
+kept AS (SELECT vec_id, unnest([a, b]) AS idx FROM open_)
+SELECT vec_id, lat, lon FROM (SELECT DISTINCT vec_id, idx FROM kept) JOIN points USING (vec_id, idx)""", "points")
 def g16(spark, d):
     return t.tracks(spark, d).select("vec_id", F.explode(polyline.simplify(F.col("coords"), 5e-3)).alias("p")).select("vec_id", "p.lat", "p.lon")
 
@@ -134,12 +195,24 @@ def _tiles(spark, d, zoom=14):
     return coverage.crossed_tiles(t.tracks(spark, d), zoom, "vec_id").select("x", "y", F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("vec_id") * 7 % 200).cast("int")), "yyyy-MM-dd").alias("date"))
 
 
-@query("G21_A16_W9_tile_coverage")
+# The tiles under each segment: crossings of grid lines in the order of their places on it, of equals the one in y first.
+WALK = """u AS (SELECT vec_id, idx, (lon + 180) / 360 * {n} AS fx, (1 - asinh(tan(radians(lat))) / pi()) / 2 * {n} AS fy FROM points),
+hop AS (SELECT *, CAST(floor(ax) AS BIGINT) AS x0, CAST(floor(ay) AS BIGINT) AS y0, CAST(abs(floor(bx) - floor(ax)) AS BIGINT) AS nx, CAST(abs(floor(by_) - floor(ay)) AS BIGINT) AS ny, CASE WHEN bx > ax THEN 1 ELSE -1 END AS sx, CASE WHEN by_ > ay THEN 1 ELSE -1 END AS sy
+  FROM (SELECT vec_id, idx, fx AS ax, fy AS ay, lead(fx) OVER w AS bx, lead(fy) OVER w AS by_ FROM u WINDOW w AS (PARTITION BY vec_id ORDER BY idx)) WHERE bx IS NOT NULL),
+crossing AS (SELECT vec_id, idx, x0, y0, sx, sy, k, 1 AS in_x, (x0 + CASE WHEN sx > 0 THEN 1 ELSE 0 END + sx * k - ax) / (bx - ax) AS part FROM hop, LATERAL (SELECT unnest(range(nx)) AS k)
+  UNION ALL SELECT vec_id, idx, x0, y0, sx, sy, k, 0, (y0 + CASE WHEN sy > 0 THEN 1 ELSE 0 END + sy * k - ay) / (by_ - ay) FROM hop, LATERAL (SELECT unnest(range(ny)) AS k)),
+crossed AS (SELECT vec_id, x0 AS x, y0 AS y FROM hop UNION SELECT vec_id, CAST(x0 + sx * sum(in_x) OVER w AS BIGINT), CAST(y0 + sy * sum(1 - in_x) OVER w AS BIGINT) FROM crossing WINDOW w AS (PARTITION BY vec_id, idx ORDER BY part, in_x, k ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("G21_A16_W9_tile_coverage", f"WITH {WALK.format(n=2**14)} SELECT x, y, arg_min(strftime(DATE '2001-01-01' + CAST(vec_id * 7 % 200 AS INTEGER), '%Y-%m-%d'), vec_id) AS first_ridden, count(*) AS rides FROM crossed GROUP BY x, y", "points")
 def a16(spark, d):
     return coverage.coverage(_tiles(spark, d))
 
 
-@query("P12_A16_coverage_stats")
+@query("P12_A16_coverage_stats", f"""
+WITH {WALK.format(n=2**14)}, b AS (SELECT CAST(floor((-8766e-2 + 180) / 360 * 16384) AS BIGINT) AS x0, CAST(floor((-8760e-2 + 180) / 360 * 16384) AS BIGINT) AS x1, CAST(floor((1 - asinh(tan(radians(4191e-2))) / pi()) / 2 * 16384) AS BIGINT) AS y0, CAST(floor((1 - asinh(tan(radians(4185e-2))) / pi()) / 2 * 16384) AS BIGINT) AS y1),
+s AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT x, y FROM crossed) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) AS visited_count, (x1 - x0 + 1) * (y1 - y0 + 1) AS total_in_bounds FROM b)
+SELECT visited_count, total_in_bounds, round_even(visited_count / total_in_bounds * 100, 1) AS coverage_pct FROM s""", "points")
 def p12(spark, d):
     return coverage.coverage_stats(_tiles(spark, d), t.BOUNDS, 14)
 
@@ -167,11 +240,13 @@ def _water(spark):
     return spark.range(1).select(ring.alias("ring"))
 
 
-@query("J12_S13_water_tiles", """
-WITH ring(i, a, b) AS (VALUES (0, 41.87e0, -87.64e0), (1, 41.89e0, -87.645e0), (2, 41.895e0, -87.62e0), (3, 41.88e0, -87.625e0), (4, 41.872e0, -87.615e0)), edge AS (SELECT r.a AS y1, r.b AS x1, q.a AS y2, q.b AS x2 FROM ring r JOIN ring q ON q.i = (r.i + 4) % 5),
-b AS (SELECT CAST(floor((-8766e-2 + 180) / 360 * 131072) AS BIGINT) AS x0, CAST(floor((-8760e-2 + 180) / 360 * 131072) AS BIGINT) AS x1, CAST(floor((1 - asinh(tan(radians(4191e-2))) / pi()) / 2 * 131072) AS BIGINT) AS y0, CAST(floor((1 - asinh(tan(radians(4185e-2))) / pi()) / 2 * 131072) AS BIGINT) AS y1),
-t AS (SELECT x, y, (degrees(atan((exp(pi() * (1 - 2 * y / 131072e0)) - exp(-pi() * (1 - 2 * y / 131072e0))) / 2)) + degrees(atan((exp(pi() * (1 - 2 * (y + 1) / 131072e0)) - exp(-pi() * (1 - 2 * (y + 1) / 131072e0))) / 2))) / 2 AS lat, (x + 0.5e0) / 131072 * 360 - 180 AS lon FROM b, LATERAL (SELECT unnest(generate_series(x0, x1)) AS x), LATERAL (SELECT unnest(generate_series(y0, y1)) AS y))
-SELECT x, y FROM t, edge GROUP BY x, y, lat, lon HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1""")
+WATER = """ring(i, a, b) AS (VALUES (0, 41.87e0, -87.64e0), (1, 41.89e0, -87.645e0), (2, 41.895e0, -87.62e0), (3, 41.88e0, -87.625e0), (4, 41.872e0, -87.615e0)), edge AS (SELECT r.a AS y1, r.b AS x1, q.a AS y2, q.b AS x2 FROM ring r JOIN ring q ON q.i = (r.i + 4) % 5),
+b AS (SELECT CAST(floor(({west} + 180) / 360 * {n}) AS BIGINT) AS x0, CAST(floor(({east} + 180) / 360 * {n}) AS BIGINT) AS x1, CAST(floor((1 - asinh(tan(radians({north}))) / pi()) / 2 * {n}) AS BIGINT) AS y0, CAST(floor((1 - asinh(tan(radians({south}))) / pi()) / 2 * {n}) AS BIGINT) AS y1),
+t AS (SELECT x, y, (degrees(atan((exp(pi() * (1 - 2 * y / {n}e0)) - exp(-pi() * (1 - 2 * y / {n}e0))) / 2)) + degrees(atan((exp(pi() * (1 - 2 * (y + 1) / {n}e0)) - exp(-pi() * (1 - 2 * (y + 1) / {n}e0))) / 2))) / 2 AS lat, (x + 0.5e0) / {n} * 360 - 180 AS lon FROM b, LATERAL (SELECT unnest(generate_series(x0, x1)) AS x), LATERAL (SELECT unnest(generate_series(y0, y1)) AS y)),
+water AS (SELECT x, y FROM t, edge GROUP BY x, y, lat, lon HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1)"""
+
+
+@query("J12_S13_water_tiles", f"WITH {WATER.format(n=2**17, south='4185e-2', west='-8766e-2', north='4191e-2', east='-8760e-2')} SELECT x, y FROM water")
 def j12(spark, d):
     return coverage.water_tiles(coverage.all_tiles(spark, t.BOUNDS, 17), _water(spark), 17)
 
@@ -199,7 +274,14 @@ def j11(spark, d):
     return coverage.snap(at, _edges(spark)).select("id", F.round("distance", 9).alias("distance"))
 
 
-@query("A17_road_coverage")
+@query("A17_road_coverage", f"""
+WITH {EDGES}, {SEGMENTS}, s AS (SELECT *, greatest(1, CAST(ceil({HAV} / 80) AS BIGINT)) AS steps FROM seg WHERE lat2 IS NOT NULL),
+dense AS (SELECT lat1 + (lat2 - lat1) * (k / CAST(steps AS DOUBLE)) AS lat, lon1 + (lon2 - lon1) * (k / CAST(steps AS DOUBLE)) AS lon FROM s, LATERAL (SELECT unnest(range(1, steps + 1)) AS k) UNION ALL SELECT lat, lon FROM points WHERE idx = 0),
+p AS (SELECT row_number() OVER () AS id, lat, lon, CAST(floor((lat - 4183e-2) / 25e-4) AS BIGINT) AS cy, CAST(floor((lon + 8768e-2) / 25e-4) AS BIGINT) AS cx FROM dense),
+c AS (SELECT edges.*, CAST(round((lat1 - 4183e-2) / 25e-4) AS BIGINT) + i AS cy, CAST(round((lon1 + 8768e-2) / 25e-4) AS BIGINT) + j AS cx FROM edges, range(-1, 2) a(i), range(-1, 2) b(j)),
+d AS (SELECT id, edge, lat, lon, lat1, lon1, lat2, lon2, greatest(0, least(1, ((lon - lon1) * (lon2 - lon1) + (lat - lat1) * (lat2 - lat1)) / (pow(lon2 - lon1, 2) + pow(lat2 - lat1, 2)))) AS part FROM p JOIN c USING (cy, cx)),
+best AS (SELECT id, min([sqrt(pow(lon - (lon1 + part * (lon2 - lon1)), 2) + pow(lat - (lat1 + part * (lat2 - lat1)), 2)), edge]) AS best FROM d GROUP BY 1), r AS (SELECT count(DISTINCT best[2]) AS ridden FROM best WHERE best[1] <= 30 / 111000e0)
+SELECT (SELECT count(*) FROM edges) AS total_edges, ridden AS ridden_edges, (SELECT count(*) FROM edges) - ridden AS unridden_edges, round_even(ridden / (SELECT count(*) FROM edges) * 100, 1) AS coverage_pct FROM r""", "points")
 def a17(spark, d):
     dense = coverage.interpolate(t.tracks(spark, d), "vec_id")
     at = dense.select(F.xxhash64("vec_id", "idx", "i").alias("id"), "lat", "lon")
@@ -218,20 +300,36 @@ def _scan(spark, d):
     return visited, exploration.reachable(visited, water, AREA, ZOOM, t.HOME, REACH_KM)
 
 
-@query("P20_reachable_tiles")
+SCAN = f"""{WALK.format(n=2**16)}, {WATER.format(n=2**16, south='4180e-2', west='-8775e-2', north='4196e-2', east='-8752e-2')}, visited AS (SELECT DISTINCT x, y FROM crossed),
+near AS (SELECT x, y, lat, lon, {BEARING} AS way FROM (SELECT *, 4188e-2 AS lat1, -8763e-2 AS lon1, lat AS lat2, lon AS lon2 FROM t ANTI JOIN visited USING (x, y) ANTI JOIN water USING (x, y)) WHERE {hav('lat1', 'lon1', 'lat2', 'lon2')} / 1000 <= 8),
+found AS (SELECT x, y, lat, lon, CASE WHEN way < 90 THEN 'NE' WHEN way < 180 THEN 'SE' WHEN way < 270 THEN 'SW' ELSE 'NW' END AS quadrant FROM near)"""
+ZONES = """numbered AS (SELECT *, (x + CASE quadrant WHEN 'NE' THEN 1 WHEN 'SE' THEN 2 WHEN 'SW' THEN 3 ELSE 4 END * CAST(67108864 AS BIGINT)) * CAST(2147483648 AS BIGINT) + y AS tile FROM found),
+beside AS (SELECT p.tile AS a, q.tile AS b FROM numbered p JOIN numbered q ON p.quadrant = q.quadrant AND p.x = q.x AND abs(p.y - q.y) = 1 UNION ALL SELECT p.tile, q.tile FROM numbered p JOIN numbered q ON p.quadrant = q.quadrant AND p.y = q.y AND abs(p.x - q.x) = 1),
+filled(tile, zone) AS (SELECT tile, tile FROM numbered UNION SELECT b, zone FROM filled JOIN beside ON a = tile), zoned AS (SELECT numbered.*, zone FROM numbered JOIN (SELECT tile, min(zone) AS zone FROM filled GROUP BY 1) USING (tile))"""
+
+
+@query("P20_reachable_tiles", f"WITH {SCAN} SELECT x, y, round(lat, 8) AS lat, round(lon, 8) AS lon, quadrant FROM found", "points")
 def p20(spark, d):
-    return _scan(spark, d)[1]
+    return _scan(spark, d)[1].withColumns({c: F.round(c, 8) for c in ("lat", "lon")})
 
 
-@query("X5_G28_zones")
+@query("X5_G28_zones", f"WITH RECURSIVE {SCAN}, {ZONES} SELECT quadrant, zone, count(*) AS n_tiles, round(avg(lat), 8) AS lat, round(avg(lon), 8) AS lon FROM zoned GROUP BY 1, 2", "points")
 def x5(spark, d):
-    return exploration.zones(_scan(spark, d)[1]).groupBy("quadrant", "zone").agg(F.count("*").alias("n_tiles"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return exploration.zones(_scan(spark, d)[1]).groupBy("quadrant", "zone").agg(F.count("*").alias("n_tiles"), F.round(F.avg("lat"), 8).alias("lat"), F.round(F.avg("lon"), 8).alias("lon"))
 
 
-@query("X7_G26_G27_zone_scores")
+@query("X7_G26_G27_zone_scores", f"""
+WITH RECURSIVE {SCAN}, {ZONES}, mid AS (SELECT quadrant, zone, count(*) AS n_tiles, avg(lat) AS lat, avg(lon) AS lon FROM zoned GROUP BY 1, 2), far AS (SELECT *, {hav('4188e-2', '-8763e-2', 'lat', 'lon')} / 1000 AS km FROM mid),
+way AS (SELECT zone, CAST(floor((lon + 180) / 360 * 65536) AS BIGINT) AS x, CAST(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 65536) AS BIGINT) AS y FROM (
+  SELECT zone, 4188e-2 + (lat - 4188e-2) * (k / CAST(steps AS DOUBLE)) AS lat, -8763e-2 + (lon + 8763e-2) * (k / CAST(steps AS DOUBLE)) AS lon FROM (SELECT *, greatest(2, CAST(round(km * 4) AS BIGINT)) AS steps FROM far), LATERAL (SELECT unnest(range(1, steps)) AS k))),
+passed AS (SELECT zone, count(*) AS overlap FROM way JOIN visited USING (x, y) GROUP BY 1), sides AS (SELECT zone, x + dx AS x, y + dy AS y FROM zoned, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS side(dx, dy)),
+edge_ AS (SELECT s.zone, avg(CASE WHEN v.x IS NULL THEN 0e0 ELSE 1e0 END) AS border_ratio FROM (SELECT * FROM sides ANTI JOIN zoned USING (zone, x, y)) s LEFT JOIN visited v ON v.x = s.x AND v.y = s.y GROUP BY 1),
+s AS (SELECT quadrant, zone, n_tiles, km, coalesce(border_ratio, 0) AS border_ratio, coalesce(overlap, 0) AS overlap FROM far LEFT JOIN passed USING (zone) LEFT JOIN edge_ USING (zone))
+SELECT quadrant, zone, n_tiles, round(km, 8) AS km, round(border_ratio, 8) AS border_ratio, overlap, CAST(row_number() OVER (PARTITION BY quadrant ORDER BY n_tiles - overlap * 0.5e0 DESC, n_tiles DESC, zone) AS INTEGER) AS place FROM s""", "points")
 def x7(spark, d):
     visited, tiles = _scan(spark, d)
-    return exploration.score_zones(exploration.zones(tiles), visited, ZOOM, t.HOME)
+    found = exploration.score_zones(exploration.zones(tiles), visited, ZOOM, t.HOME)
+    return found.withColumns({c: F.round(c, 8) for c in ("km", "border_ratio")})
 
 
 @query("X8_X9_exploration_tours")

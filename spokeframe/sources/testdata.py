@@ -85,9 +85,10 @@ def with_views(sql: str, uses: list[str]) -> str:
                 names.append(n)
     heads = [f"{n} AS ({VIEWS[n]}\n)" for n in names]
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        heads.append(body[5:].lstrip())
-        return "WITH " + ",\n".join(heads)
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            heads.append(body[len(start) :].lstrip())
+            return start + ",\n".join(heads)
     return ("WITH " + ",\n".join(heads) + "\n" if heads else "") + body
 
 
