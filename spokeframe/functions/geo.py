@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
+#: WGS 84: half the equator's width, and the flattening.
+EQUATOR_M, FLATTENING = 6_378_137.0, 1 / 298.257223563
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -15,6 +17,18 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.asin(F.sqrt(a)) * (2 * EARTH_M)
 
 
+def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """On the ellipsoid, by Lambert's formula for long lines: within a millimetre up to tens of km, 10 m over thousands."""
+    one, two = (F.atan(F.tan(F.radians(lat)) * (1 - FLATTENING)) for lat in (lat1, lat2))
+    h = F.pow(F.sin((two - one) / 2), 2) + F.cos(one) * F.cos(two) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    arc = F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * 2
+    p, q = (one + two) / 2, (two - one) / 2
+    x = (arc - F.sin(arc)) * F.pow(F.sin(p) * F.cos(q), 2) / F.nullif(1.0 - h, F.lit(0.0))
+    y = (arc + F.sin(arc)) * F.pow(F.cos(p) * F.sin(q), 2) / F.nullif(h, F.lit(0.0))
+    turned = F.when(arc.isNotNull(), F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+    return (arc - turned * (FLATTENING / 2)) * EQUATOR_M
+
+
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Initial bearing from 0 to 360."""
     across = F.radians(lon2 - lon1)
@@ -115,7 +129,7 @@ def inside(lat: Column, lon: Column, ring: Column) -> Column:
 
 def is_loop(coords: Column, within_m: float = 500.0) -> Column:
     a, b = F.get(coords, F.lit(0)), F.element_at(coords, -1)
-    return haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]) < within_m
+    return geodesic_m(a["lat"], a["lon"], b["lat"], b["lon"]) < within_m
 
 
 def route_type(coords: Column, loop_km: float = 0.5) -> Column:

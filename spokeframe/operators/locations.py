@@ -27,7 +27,7 @@ def cluster_statistics(ends: DataFrame, clusters: DataFrame) -> DataFrame:
         F.floor(F.avg(F.when(is_start, F.col("seconds")))).alias("departure"), F.floor(F.avg(F.when(~is_start, F.col("seconds")))).alias("arrival"),
     )
     middle = s.select("cluster", F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
-    far = rows.join(middle, "cluster").groupBy("cluster").agg(F.max(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("mlat"), F.col("mlon"))).alias("radius_m"))
+    far = rows.join(middle, "cluster").groupBy("cluster").agg(F.max(geo.geodesic_m(F.col("lat"), F.col("lon"), F.col("mlat"), F.col("mlon"))).alias("radius_m"))
     return s.join(far, "cluster")
 
 
@@ -45,7 +45,7 @@ def home_and_work(rides: DataFrame, eps: float, least: int) -> DataFrame:
 
 def direction(rides: DataFrame, home: tuple[float, float], work: tuple[float, float], near_m: float = 500.0) -> Column:
     """home_to_work or work_to_home where both ends are near; null otherwise."""
-    near = lambda side, at: geo.haversine_m(F.col(f"{side}_lat"), F.col(f"{side}_lon"), F.lit(at[0]), F.lit(at[1])) < near_m
+    near = lambda side, at: geo.geodesic_m(F.col(f"{side}_lat"), F.col(f"{side}_lon"), F.lit(at[0]), F.lit(at[1])) < near_m
     return F.when(near("start", home) & near("end", work), "home_to_work").when(near("start", work) & near("end", home), "work_to_home")
 
 

@@ -8,6 +8,7 @@ from ..functions import dates, geo, text, units, wind
 from ..registry import query
 from ..shared import table
 from ..sources import testdata as t
+from .q_rollups import geod
 
 STREETS = text.STREET_KINDS
 
@@ -211,8 +212,8 @@ def g15(spark, d):
 @query("G17_route_type", f"""
 WITH q AS (SELECT vec_id, max(CASE WHEN idx = 0 THEN lat END) AS a1, max(CASE WHEN idx = 0 THEN lon END) AS b1, max(CASE WHEN idx = 31 THEN lat END) AS a2, max(CASE WHEN idx = 31 THEN lon END) AS b2, max(CASE WHEN idx = 16 THEN lat END) AS a3, max(CASE WHEN idx = 16 THEN lon END) AS b3,
   max(CASE WHEN idx = 8 THEN lat END) AS a4, max(CASE WHEN idx = 8 THEN lon END) AS b4, max(CASE WHEN idx = 24 THEN lat END) AS a5, max(CASE WHEN idx = 24 THEN lon END) AS b5 FROM points GROUP BY 1),
-h AS (SELECT vec_id, {HAV.replace('lat1', 'a1').replace('lon1', 'b1').replace('lat2', 'a2').replace('lon2', 'b2')} AS ends, {HAV.replace('lat1', 'a1').replace('lon1', 'b1').replace('lat2', 'a3').replace('lon2', 'b3')} AS mid, {HAV.replace('lat1', 'a4').replace('lon1', 'b4').replace('lat2', 'a5').replace('lon2', 'b5')} AS back FROM q)
-SELECT vec_id, CASE WHEN ends <= 1500 AND mid > 1000 AND back < mid * 0.3 THEN 'out-and-back' WHEN ends <= 1500 THEN 'loop' ELSE 'point-to-point' END AS type, ends < 500 AS is_loop FROM h""", "points")
+h AS (SELECT vec_id, {HAV.replace('lat1', 'a1').replace('lon1', 'b1').replace('lat2', 'a2').replace('lon2', 'b2')} AS ends, {HAV.replace('lat1', 'a1').replace('lon1', 'b1').replace('lat2', 'a3').replace('lon2', 'b3')} AS mid, {HAV.replace('lat1', 'a4').replace('lon1', 'b4').replace('lat2', 'a5').replace('lon2', 'b5')} AS back, {geod('a1', 'b1', 'a2', 'b2')} AS apart FROM q)
+SELECT vec_id, CASE WHEN ends <= 1500 AND mid > 1000 AND back < mid * 0.3 THEN 'out-and-back' WHEN ends <= 1500 THEN 'loop' ELSE 'point-to-point' END AS type, apart < 500 AS is_loop FROM h""", "points")
 def g17(spark, d):
     return t.tracks(spark, d).select("vec_id", geo.route_type(F.col("coords"), 1.5).alias("type"), geo.is_loop(F.col("coords")).alias("is_loop"))
 

@@ -14,7 +14,7 @@ from ..shared import running, table
 from ..sources import sinks
 from ..sources import testdata as t
 from ..streaming.stateful import latest_fresh
-from .q_rollups import hav
+from .q_rollups import geod
 
 STREETS = ("Oak Street", "Lake Access Path", "Main Street", "West River Drive", "Elm Avenue")
 
@@ -30,16 +30,27 @@ def x12(spark, d):
 
 
 @query("P3_direction", f"""
-WITH x AS (SELECT id, {hav('start_lat', 'start_lon', '4188e-2', '-8763e-2')} AS sh, {hav('start_lat', 'start_lon', '4192e-2', '-8766e-2')} AS sw, {hav('end_lat', 'end_lon', '4188e-2', '-8763e-2')} AS eh, {hav('end_lat', 'end_lon', '4192e-2', '-8766e-2')} AS ew FROM activities)
+WITH x AS (SELECT id, {geod('start_lat', 'start_lon', '4188e-2', '-8763e-2')} AS sh, {geod('start_lat', 'start_lon', '4192e-2', '-8766e-2')} AS sw, {geod('end_lat', 'end_lon', '4188e-2', '-8763e-2')} AS eh, {geod('end_lat', 'end_lon', '4192e-2', '-8766e-2')} AS ew FROM activities)
 SELECT id, CASE WHEN sh < 4000 AND ew < 4000 THEN 'home_to_work' WHEN sw < 4000 AND eh < 4000 THEN 'work_to_home' END AS direction FROM x""", "activities")
 def p3(spark, d):
     rides = t.activities(spark, d)
     return rides.select("id", direction(rides, t.HOME, t.WORK, 4000.0).alias("direction"))
 
 
-@query("J9_rides_near_a_click", f"SELECT DISTINCT vec_id FROM points WHERE {hav('lat', 'lon', '4190e-2', '-8762e-2')} <= 1500", "points")
+@query("G2_V7_geodesic", f"SELECT id, round({geod('start_lat', 'start_lon', 'end_lat', 'end_lon')}, 4) AS metres FROM activities WHERE start_lat IS NOT NULL AND end_lat IS NOT NULL", "activities")
+def g2(spark, d):
+    rides = t.activities(spark, d).filter("start_lat is not null and end_lat is not null")
+    return rides.select("id", F.round(geo.geodesic_m(*[F.col(c) for c in ("start_lat", "start_lon", "end_lat", "end_lon")]), 4).alias("metres"))
+
+
+@query("G18_loops", f"SELECT p.vec_id FROM points p JOIN points q USING (vec_id) WHERE p.idx = 0 AND q.idx = 31 AND {geod('p.lat', 'p.lon', 'q.lat', 'q.lon')} < 2000", "points")
+def g18(spark, d):
+    return t.tracks(spark, d).filter(geo.is_loop(F.col("coords"), 2000.0)).select("vec_id")
+
+
+@query("J9_rides_near_a_click", f"SELECT DISTINCT vec_id FROM points WHERE {geod('lat', 'lon', '4190e-2', '-8762e-2')} <= 1500", "points")
 def j9(spark, d):
-    near = F.exists("coords", lambda p: geo.haversine_m(p["lat"], p["lon"], F.lit(41.90), F.lit(-87.62)) <= 1500)
+    near = F.exists("coords", lambda p: geo.geodesic_m(p["lat"], p["lon"], F.lit(41.90), F.lit(-87.62)) <= 1500)
     return t.tracks(spark, d).filter(near).select("vec_id")
 
 

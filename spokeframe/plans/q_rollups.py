@@ -278,6 +278,17 @@ def hav(a, c, b, d):
     return HAVERSINE.format(a=a, b=b, c=c, d=d)
 
 
+def geod(a, c, b, d):
+    """Lambert's formula on the ellipsoid."""
+    flat = "(1 / 298.257223563e0)"
+    one, two = (f"atan((1 - {flat}) * tan(radians({x})))" for x in (a, b))
+    h = f"(pow(sin(({two} - {one}) / 2), 2) + cos({one}) * cos({two}) * pow(sin(radians({d} - {c}) / 2), 2))"
+    arc = f"(2 * asin(sqrt(least(1, {h}))))"
+    x = f"(({arc} - sin({arc})) * pow(sin(({one} + {two}) / 2) * cos(({two} - {one}) / 2), 2) / nullif(1 - {h}, 0))"
+    y = f"(({arc} + sin({arc})) * pow(cos(({one} + {two}) / 2) * sin(({two} - {one}) / 2), 2) / nullif({h}, 0))"
+    return f"6378137e0 * ({arc} - {flat} / 2 * (coalesce({x}, 0) + coalesce({y}, 0)))"
+
+
 @query("J10_rides_nearby", f"WITH x AS (SELECT id, {hav('4188e-2', '-8763e-2', 'start_lat', 'start_lon')} AS m FROM activities) SELECT id, round(m, 4) AS metres FROM x WHERE m <= 5 * 1609.34e0 ORDER BY m, id LIMIT 25", "activities")
 def j10(spark, d):
     m = haversine_m(F.lit(t.HOME[0]), F.lit(t.HOME[1]), F.col("start_lat"), F.col("start_lon"))

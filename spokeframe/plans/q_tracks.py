@@ -11,7 +11,7 @@ from ..operators.locations import home_and_work, endpoints
 from ..registry import query
 from ..sources import testdata as t
 from .q_functions import BEARING, HAV, SEGMENTS, TILE
-from .q_rollups import hav
+from .q_rollups import geod, hav
 
 GEOMETRY = f"""{SEGMENTS}, len AS (SELECT vec_id, sum(sqrt(pow(lat2 - lat1, 2) + pow(lon2 - lon1, 2))) AS length FROM seg WHERE lat2 IS NOT NULL GROUP BY 1),
 geom AS (SELECT p.vec_id, CASE WHEN any_value(label) < 5 THEN 'w' ELSE 'h' END AS way, min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e, avg(lat) AS c_lat, avg(lon) AS c_lon, any_value(length) AS length FROM points p JOIN len USING (vec_id) GROUP BY 1),
@@ -149,7 +149,7 @@ def x1(spark, d):
 WITH RECURSIVE {CLUSTERS}, secs AS (SELECT *, hour(moment) * 3600 + minute(moment) * 60 + second(moment) AS seconds FROM clustered),
 s AS (SELECT cluster, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon, count(*) FILTER (kind = 'start') AS starts, count(*) FILTER (kind = 'end') AS ends, CAST(floor(avg(seconds) FILTER (kind = 'start')) AS BIGINT) AS departure, CAST(floor(avg(seconds) FILTER (kind = 'end')) AS BIGINT) AS arrival FROM secs GROUP BY 1),
 two AS (SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS size_rank, CAST(coalesce(departure BETWEEN 21600 AND 36000, false) AS INTEGER) + CAST(coalesce(arrival BETWEEN 57600 AND 72000, false) AS INTEGER) AS homely FROM s ORDER BY n DESC, cluster LIMIT 2),
-wide AS (SELECT cluster, max({hav('c.lat', 'c.lon', 'two.lat', 'two.lon')}) AS radius_m FROM clustered c JOIN two USING (cluster) GROUP BY 1)
+wide AS (SELECT cluster, max({geod('c.lat', 'c.lon', 'two.lat', 'two.lon')}) AS radius_m FROM clustered c JOIN two USING (cluster) GROUP BY 1)
 SELECT cluster, n, round(lat, 8) AS lat, round(lon, 8) AS lon, starts, ends, departure, arrival, round(radius_m, 3) AS radius_m, homely, CASE WHEN row_number() OVER (ORDER BY homely DESC, size_rank DESC) = 1 THEN 'home' ELSE 'work' END AS place FROM two JOIN wide USING (cluster)""", "activities")
 def x2(spark, d):
     found = home_and_work(t.activities(spark, d), 0.0005, 5)

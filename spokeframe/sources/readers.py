@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import geo, text
 
 ACTIVITY = """id long, name string, type string, sport_type string, start_date string, start_date_local string, distance double, moving_time long, elapsed_time long,
 total_elevation_gain double, start_latlng string, end_latlng string, polyline string, average_speed double, max_speed double, gear_id string, average_heartrate double, max_heartrate double,
@@ -38,7 +38,7 @@ def read_activities(spark: SparkSession, path: str) -> DataFrame:
     """Rides from documents that are a list of them or hold one under `activities`."""
     listed = spark.read.schema(f"activities array<struct<{_struct(ACTIVITY)}>>").json(path, multiLine=True)
     inside = listed.filter("activities is not null").select(F.explode("activities").alias("a")).select("a.*")
-    bare = spark.read.schema(ACTIVITY).json(path, multiLine=True).filter("id is not null")
+    bare = spark.read.schema(ACTIVITY).json(path, multiLine=True).filter("id is not null").select(*inside.columns)  # not what folders are named by
     return normalise_activities(inside.unionByName(bare))
 
 
@@ -123,3 +123,32 @@ def routed(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.schema(schema).json(path, multiLine=True).select(F.get("features", F.lit(0)).alias("f"))
     coords = F.transform("f.geometry.coordinates", lambda p: F.struct(F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lon")))
     return f.select(coords.alias("coords"), F.bround(F.col("f.properties.summary.distance") / 1000, 2).alias("distance_km"), F.bround(F.col("f.properties.summary.duration") / 60, 1).alias("duration_min"))
+
+
+def road_edges(spark: SparkSession, path: str) -> DataFrame:
+    """edge, place, lat1, lon1, lat2, lon2: the straight pieces of each road of a GraphML file, as `coverage.snap` takes them.
+
+    Data of nodes and edges are named by keys that the file declares: x and y of nodes, geometry of edges, a LINESTRING of
+    lon lat pairs. Roads without one are straight between their nodes. Without a way's id, an edge is named by its ends.
+    """
+    read = lambda tag, schema: spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
+    data = "data array<struct<_key string, _VALUE string>>"
+    keys = read("key", "_id string, `_attr.name` string, _for string").select(F.col("_id").alias("key"), F.col("`_attr.name`").alias("name"), F.col("_for").alias("of"))
+
+    def named(rows: DataFrame, of: str, *id_: str) -> DataFrame:
+        flat = rows.select(*id_, F.explode("data").alias("d")).select(*id_, F.col("d._key").alias("key"), F.col("d._VALUE").alias("value"))
+        return flat.join(keys.filter(F.col("of").isin(of, "all")), "key")
+
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    nodes = named(read("node", f"_id string, {data}").withColumnRenamed("_id", "node"), "node", "node").groupBy("node").agg(value("y").cast("double").alias("lat"), value("x").cast("double").alias("lon"))
+    edges = read("edge", f"_source string, _target string, _id string, {data}")
+    edges = edges.select(F.concat_ws("-", "_source", "_target", "_id").alias("edge"), F.col("_source").alias("a"), F.col("_target").alias("b"), "data")
+    drawn = named(edges, "edge", "edge").groupBy("edge").agg(value("geometry").alias("wkt"))
+    at = lambda side: nodes.select(F.col("node").alias(side), F.struct("lat", "lon").alias(f"p{side}"))
+    pairs = F.split(F.regexp_extract("wkt", r"\(([^()]*)\)", 1), r"\s*,\s*")
+    number = lambda p, i: F.get(F.split(F.trim(p), r"\s+"), F.lit(i)).try_cast("double")
+    line = F.transform(pairs, lambda p: F.struct(number(p, 1).alias("lat"), number(p, 0).alias("lon")))
+    whole = edges.drop("data").join(drawn, "edge", "left").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    coords = F.when(F.col("wkt").rlike("(?i)^\\s*linestring"), line).otherwise(F.array("pa", "pb"))
+    pieces = whole.select("edge", F.posexplode(geo.segments(coords)).alias("place", "s")).select("edge", "place", "s.*")
+    return pieces.dropna(subset=["lat1", "lon1", "lat2", "lon2"])

@@ -162,3 +162,21 @@ def test_analysis(spark):
     assert len(got) == 4 and {r.place for r in got} == {1, 2} and all(0 <= r.score <= 100 for r in got)
     with pytest.raises(ValueError):
         analyse(rides.limit(3), 20.0, 270.0)
+
+
+def test_road_graph(spark, tmp_path):
+    keys = '<key id="a" for="node" attr.name="y"/><key id="b" for="node" attr.name="x"/><key id="c" for="edge" attr.name="geometry"/><key id="d" for="edge" attr.name="name"/>'
+    nodes = "".join(f'<node id="{n}"><data key="a">{y}</data><data key="b">{x}</data></node>' for n, y, x in ((1, 41.0, -87.0), (2, 41.5, -87.5), (3, 42.0, -88.0)))
+    edges = '<edge source="1" target="2" id="0"><data key="d">A</data></edge><edge source="2" target="3" id="0"><data key="c">LINESTRING (-87.5 41.5, -87.6 41.7,-88 42)</data></edge><edge source="2" target="9"><data key="d">lost</data></edge>'
+    (tmp_path / "g.graphml").write_text(f"<graphml>{keys}<graph>{nodes}{edges}</graph></graphml>")
+    got = sorted(tuple(r) for r in readers.road_edges(spark, str(tmp_path / "g.graphml")).collect())
+    assert got == [("1-2-0", 0, 41.0, -87.0, 41.5, -87.5), ("2-3-0", 0, 41.5, -87.5, 41.7, -87.6), ("2-3-0", 1, 41.7, -87.6, 42.0, -88.0)]
+
+
+def test_short_addresses(spark):
+    from spokeframe.functions import text
+
+    rows = [("1", "Oak St", None, "Troy", "New York"), (None, None, "Path", "", "Ontario"), ("5", None, None, None, None), ("5", "", "", "", "")]
+    df = spark.createDataFrame(rows, "n string, r1 string, r2 string, town string, state string")
+    got = [r[0] for r in df.select(text.short_address(df.n, [df.r1, df.r2], [df.town], df.state)).collect()]
+    assert got == ["1 Oak St, Troy, NY", "Path, Ontario", None, None]

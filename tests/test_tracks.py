@@ -394,3 +394,41 @@ def test_workout_rules(spark):
     assert [r.x.indoors for r in allowed] == [False, False, False, True, False, False]
     flags = spark.createDataFrame([("Endurance", 30, 60, False), ("Endurance", 30, 60, True), ("VO2Max", 30, 60, False), ("Endurance", 60, 60, False), (None, 30, 60, False), ("Endurance", 30, None, False)], "k string, m long, lo long, i boolean")
     assert [r.x for r in flags.select(workouts.extended(F.col("k"), F.col("m"), F.col("lo"), F.col("i")).alias("x")).collect()] == [True, False, False, False, True, False]
+
+
+def test_geodesic_distance(spark):
+    """Against Vincenty's iteration on the ellipsoid, and a published length."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b = a * (1 - f)
+
+    def vincenty(lat1, lon1, lat2, lon2):
+        across = math.radians(lon2 - lon1)
+        u1, u2 = (math.atan((1 - f) * math.tan(math.radians(x))) for x in (lat1, lat2))
+        lam = across
+        for _ in range(200):
+            sin_s = math.hypot(math.cos(u2) * math.sin(lam), math.cos(u1) * math.sin(u2) - math.sin(u1) * math.cos(u2) * math.cos(lam))
+            if sin_s == 0:
+                return 0.0
+            cos_s = math.sin(u1) * math.sin(u2) + math.cos(u1) * math.cos(u2) * math.cos(lam)
+            s = math.atan2(sin_s, cos_s)
+            sin_a = math.cos(u1) * math.cos(u2) * math.sin(lam) / sin_s
+            cos2 = 1 - sin_a**2
+            mid = cos_s - 2 * math.sin(u1) * math.sin(u2) / cos2 if cos2 else 0.0
+            c = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
+            new = across + (1 - c) * f * sin_a * (s + c * sin_s * (mid + c * cos_s * (2 * mid**2 - 1)))
+            done, lam = abs(new - lam) < 1e-13, new
+            if done:
+                break
+        u = cos2 * (a**2 - b**2) / b**2
+        big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        d = big_b * sin_s * (mid + big_b / 4 * (cos_s * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
+        return b * big_a * (s - d)
+
+    rng = np.random.default_rng(3)
+    near = [(y, x, y + dy, x + dx) for y, x, dy, dx in zip(*(v.tolist() for v in (rng.uniform(-80, 80, 200), rng.uniform(-179, 179, 200), rng.normal(0, 0.05, 200), rng.normal(0, 0.05, 200))))]
+    rows = [*near, (41.88, -87.63, 41.88, -87.63), (-37.95103341666667, 144.42486788888888, -37.65282113888889, 143.92649552777777), (40.0, -75.0, 51.5, 0.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a double, b double, c double, d double").select(geo.geodesic_m(*[F.col(c) for c in "abcd"])).collect()]
+    want = [vincenty(*r) for r in rows]
+    assert max(abs(x - y) for x, y in zip(got[:-1], want[:-1])) < 0.05 and abs(got[-1] - want[-1]) < 30
+    assert abs(got[-2] - 54972.271) < 0.05 and got[-3] == 0
