@@ -18,7 +18,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """On the ellipsoid, by Lambert's formula for long lines: within a millimetre up to tens of km, 10 m over thousands."""
+    """On the ellipsoid, by Lambert's formula for long lines, which is within 1e-5 of the distance: 5 mm of 500 m."""
     one, two = (F.atan(F.tan(F.radians(lat)) * (1 - FLATTENING)) for lat in (lat1, lat2))
     h = F.pow(F.sin((two - one) / 2), 2) + F.cos(one) * F.cos(two) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     arc = F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * 2
