@@ -156,7 +156,13 @@ def x2(spark, d):
     return found.withColumns({"lat": F.round("lat", 8), "lon": F.round("lon", 8), "radius_m": F.round("radius_m", 3)})
 
 
-@query("X13_distinct_names")
+@query("X13_distinct_names", """
+WITH g AS (SELECT direction, activity_id AS ord, 'Route ' || (activity_id % 40) AS name, distance, CASE WHEN elevation_gain / (distance / 1000) > 30 THEN 'hilly' WHEN elevation_gain / (distance / 1000) > 15 THEN 'rolling' ELSE 'flat' END AS terrain FROM routes),
+kinds AS (SELECT direction, name, count(*) AS n, count(DISTINCT terrain) AS kinds FROM g GROUP BY ALL), a AS (SELECT g.*, CASE WHEN n > 1 AND kinds > 1 THEN name || ' — ' || terrain ELSE name END AS base FROM g JOIN kinds USING (direction, name)),
+halves AS (SELECT direction, name, base, count(*) AS n, list(distance ORDER BY distance, ord)[count(*) // 2 + 1] AS middle FROM a GROUP BY ALL), b AS (SELECT a.*, n, CASE WHEN distance < middle THEN 'short' ELSE 'long' END AS reach FROM a JOIN halves USING (direction, name, base)),
+sides AS (SELECT direction, name, base, count(DISTINCT reach) AS sides FROM b GROUP BY ALL), c AS (SELECT b.*, CASE WHEN n > 1 AND sides > 1 THEN base || ' — ' || reach ELSE base END AS base2 FROM b JOIN sides USING (direction, name, base)),
+d AS (SELECT *, row_number() OVER (PARTITION BY direction, name, base, base2 ORDER BY ord) AS k FROM c), e AS (SELECT *, CASE WHEN k = 1 THEN base2 ELSE base2 || ' #' || k END AS numbered FROM d), f AS (SELECT *, row_number() OVER (PARTITION BY direction, numbered ORDER BY ord) AS again FROM e)
+SELECT direction, ord AS group_id, name, CASE WHEN again = 1 THEN numbered ELSE numbered || ' #' || again END AS unique_name FROM f""", "routes")
 def x13(spark, d):
     r = t.routes(spark, d).select("direction", F.col("activity_id").alias("group_id"), F.concat(F.lit("Route "), (F.col("activity_id") % 40).cast("string")).alias("name"), "distance", "elevation_gain", F.col("activity_id").alias("ord"))
     return grouping.distinct_names(r).select("direction", "group_id", "name", "unique_name")
