@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, bpe, jpeg, langid, minhash, mixing, sharding, tokencount, urlfilter, warc
+from . import blocknames, bpe, centroids, fim, htmltext, jpeg, langid, minhash, mixing, sharding, tokencount, urlfilter, warc
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.find_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_pareto_mixing,
         op10_block_naming,
+        op11_html_text,
+        op12_centroids,
+        op13_fill_in_middle,
     )
 }
 
@@ -75,4 +90,6 @@ ORACLES: dict[str, str] = {
     "op7_jump_sharding": sharding.ORACLE_SQL,
     "op9_pareto_mixing": mixing.ORACLE_SQL,
     "op10_block_naming": blocknames.ORACLE_SQL,
+    "op12_centroids": centroids.ORACLE_SQL,
+    "op13_fill_in_middle": fim.ORACLE_SQL,
 }
