@@ -38,11 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_machine(master: str) -> bool:
+    return master == "local" or master.startswith(("local[", "local-cluster["))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set."""
+    """A new folder under spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, a temporary one is set."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not one_machine(sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         base = "file://" + tempfile.mkdtemp(prefix="spokeframe-")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/spokeframe-{uuid.uuid4().hex}"
@@ -50,6 +56,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the name of its file system, as readers outside the JVM need it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
