@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import LONG_RIDE
+from ..config import LONG_RIDE, EngineConfig
 from ..functions import geo, polyline
-from ..operators import coverage, exploration, grouping, rollups, similarity
+from ..operators import coverage, exploration, grouping, merging, rollups, similarity
 from ..operators.locations import home_and_work, endpoints
 from ..registry import query
 from ..sources import testdata as t
@@ -81,15 +81,16 @@ def j7(spark, d):
 
 @query("X3_pivot_groups", f"""
 WITH RECURSIVE {GEOMETRY}, ends AS (SELECT p.vec_id, p.lat AS y1, p.lon AS x1, q.lat AS y2, q.lon AS x2 FROM points p JOIN points q USING (vec_id) WHERE p.idx = 0 AND q.idx = 31),
-close_ AS (SELECT a, b FROM pairs JOIN ends p ON p.vec_id = a JOIN ends q ON q.vec_id = b WHERE greatest(sqrt(pow(p.y1 - q.y1, 2) + pow(p.x1 - q.x1, 2)), sqrt(pow(p.y2 - q.y2, 2) + pow(p.x2 - q.x2, 2))) <= 0.0244e0),
+close_ AS (SELECT a, b FROM pairs JOIN ends p ON p.vec_id = a JOIN ends q ON q.vec_id = b WHERE greatest(sqrt(pow(p.y1 - q.y1, 2) + pow(p.x1 - q.x1, 2)), sqrt(pow(p.y2 - q.y2, 2) + pow(p.x2 - q.x2, 2))) <= 0.00116e0),
 {PATHS.format(points='points', pairs='close_')}, {COMMUTES},
-earlier AS (SELECT vec_id AS v, row_number() OVER (ORDER BY vec_id) AS n, coalesce(before, []) AS before FROM geom LEFT JOIN (SELECT b AS vec_id, list(a) AS before FROM scored WHERE similarity >= 0.1e0 GROUP BY 1) USING (vec_id)),
+earlier AS (SELECT vec_id AS v, row_number() OVER (ORDER BY vec_id) AS n, coalesce(before, []) AS before FROM geom LEFT JOIN (SELECT b AS vec_id, list(a) AS before FROM scored WHERE similarity >= 0.7e0 GROUP BY 1) USING (vec_id)),
 fold(n, pivots) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.n, CASE WHEN list_has_any(o.before, pivots) THEN pivots ELSE list_append(pivots, o.v) END FROM fold JOIN earlier o ON o.n = fold.n + 1),
 taken AS (SELECT v, coalesce(list_min(list_intersect(before, (SELECT arg_max(pivots, n) FROM fold))), v) AS of_ FROM earlier), placed AS (SELECT vec_id AS of_, direction, row_number() OVER (PARTITION BY direction ORDER BY vec_id) - 1 AS place FROM geom JOIN routes ON vec_id = activity_id WHERE vec_id IN (SELECT of_ FROM taken))
-SELECT v AS activity_id, of_ AS "pivot", direction || '_' || place AS group_id FROM taken JOIN placed USING (of_)""", "points routes")
+SELECT v AS activity_id, of_ AS "pivot", direction || '_' || place AS group_id FROM taken JOIN placed USING (of_)""", "points=twin_points routes=twin_routes")
 def x3(spark, d):
-    r = t.routes(spark, d)
-    edges = similarity.commute_pairs(r, "activity_id", ["direction"], 0.1).select("a", "b")
+    """Copies of tracks form groups of many sizes."""
+    r = t.twins(spark, d)
+    edges = similarity.commute_pairs(r, "activity_id", ["direction"], EngineConfig.similarity).select("a", "b")
     grouped = grouping.pivot_groups(r, edges, "activity_id", "activity_id")
     return grouping.number_groups(grouped.join(r.select("activity_id", "direction"), "activity_id"), "direction", "activity_id").select("activity_id", "pivot", "group_id")
 
@@ -107,26 +108,34 @@ def x4(spark, d):
     return grouping.consolidate(_named(spark, d), 2.0)
 
 
-@query("X14_T1_incremental_groups", f"""
-WITH RECURSIVE {GEOMETRY}, reps AS (SELECT activity_id, group_id, direction FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY duration, activity_id) AS rank, count(*) OVER (PARTITION BY group_id) AS n FROM routes WHERE activity_id % 5 <> 0) WHERE rank = n // 2 + 1),
-met AS (SELECT a, b FROM pairs WHERE a % 5 = 0 AND b % 5 = 0 UNION ALL SELECT r.activity_id, reps.activity_id FROM routes r JOIN reps USING (direction) WHERE r.activity_id % 5 = 0), {PATHS.format(points='points', pairs='met')}, {COMMUTES},
-matched AS (SELECT a, arg_min(group_id, [-similarity]) AS group_id FROM (SELECT a, reps.group_id, similarity FROM scored JOIN reps ON b = activity_id WHERE similarity >= 0.2e0 ORDER BY group_id) GROUP BY 1),
-rest AS (SELECT activity_id AS v, row_number() OVER (ORDER BY activity_id) AS n FROM routes WHERE activity_id % 5 = 0 AND activity_id NOT IN (SELECT a FROM matched)),
-earlier AS (SELECT v, n, coalesce(e, []) AS e FROM rest LEFT JOIN (SELECT b AS v, list(a) AS e FROM scored WHERE similarity >= 0.2e0 AND a IN (SELECT v FROM rest) AND b IN (SELECT v FROM rest) GROUP BY 1) USING (v)),
-fold(n, pivots) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.n, CASE WHEN list_has_any(o.e, pivots) THEN pivots ELSE list_append(pivots, o.v) END FROM fold JOIN earlier o ON o.n = fold.n + 1),
-taken AS (SELECT v, coalesce(list_min(list_intersect(e, (SELECT arg_max(pivots, n) FROM fold))), v) AS of_ FROM earlier)
-SELECT activity_id, matched.group_id, of_ AS "pivot" FROM routes LEFT JOIN matched ON a = activity_id LEFT JOIN taken ON v = activity_id WHERE activity_id % 5 = 0""", "points routes")
+@query("X14_incremental_groups", f"""
+WITH RECURSIVE {GEOMETRY}, ends AS (SELECT p.vec_id, p.lat AS y1, p.lon AS x1, q.lat AS y2, q.lon AS x2 FROM points p JOIN points q USING (vec_id) WHERE p.idx = 0 AND q.idx = 31),
+close_ AS (SELECT a, b FROM pairs JOIN ends p ON p.vec_id = a JOIN ends q ON q.vec_id = b WHERE (a % 5 = 0 OR b % 5 = 0) AND greatest(sqrt(pow(p.y1 - q.y1, 2) + pow(p.x1 - q.x1, 2)), sqrt(pow(p.y2 - q.y2, 2) + pow(p.x2 - q.x2, 2))) <= 0.00116e0),
+{PATHS.format(points='points', pairs='close_')}, {COMMUTES}, alike AS (SELECT a, b, similarity AS s FROM scored WHERE similarity >= 0.7e0 UNION ALL SELECT b, a, similarity FROM scored WHERE similarity >= 0.7e0),
+met AS (SELECT a AS id, list(struct_pack(m := b, s := s)) AS met FROM alike GROUP BY 1), old AS (SELECT * FROM routes WHERE activity_id % 5 <> 0),
+base AS (SELECT direction, group_id, min(activity_id) AS group_ord, list(struct_pack(d := duration, age := 0, ord := activity_id) ORDER BY activity_id) AS base FROM old GROUP BY 1, 2),
+known AS (SELECT direction, list(struct_pack(g := group_id, base := base) ORDER BY group_ord) AS known FROM base GROUP BY 1),
+rows_ AS (SELECT activity_id AS id, direction, duration, coalesce(met, []) AS met, known, row_number() OVER (ORDER BY activity_id) AS n FROM routes LEFT JOIN met ON id = activity_id JOIN known USING (direction) WHERE activity_id % 5 = 0),
+fold(n, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(g VARCHAR, d BIGINT, age INTEGER, ord BIGINT)[]) UNION ALL
+ SELECT n, CASE WHEN len(fit) = 0 THEN taken ELSE list_append(taken, struct_pack(g := list_filter(fit, lambda f: f.s = list_max(list_transform(fit, lambda e: e.s)))[1].g, d := duration, age := 1, ord := id)) END FROM (
+  SELECT n, id, duration, taken, list_filter(list_transform(reps, lambda r: struct_pack(g := r.g, s := list_filter(met, lambda x: x.m = r.rep)[1].s)), lambda f: f.s IS NOT NULL) AS fit FROM (
+   SELECT r.n, id, duration, taken, met, list_transform(known, lambda k: struct_pack(g := k.g, rep := list_sort(list_concat(k.base, list_transform(list_filter(taken, lambda x: x.g = k.g), lambda x: struct_pack(d := x.d, age := x.age, ord := x.ord))))[(len(k.base) + len(list_filter(taken, lambda x: x.g = k.g))) // 2 + 1].ord)) AS reps
+   FROM fold JOIN rows_ r ON r.n = fold.n + 1))),
+matched AS (SELECT unnest(taken, recursive := true) FROM (SELECT arg_max(taken, n) AS taken FROM fold)),
+rest AS (SELECT id AS v, direction, row_number() OVER (ORDER BY id) AS n FROM rows_ WHERE id NOT IN (SELECT ord FROM matched)),
+earlier AS (SELECT v, n, coalesce(e, []) AS e FROM rest LEFT JOIN (SELECT b AS v, list(a) AS e FROM scored WHERE similarity >= 0.7e0 AND a IN (SELECT v FROM rest) AND b IN (SELECT v FROM rest) GROUP BY 1) USING (v)),
+piv(n, pivots) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.n, CASE WHEN list_has_any(o.e, pivots) THEN pivots ELSE list_append(pivots, o.v) END FROM piv JOIN earlier o ON o.n = piv.n + 1),
+own AS (SELECT v, direction, coalesce(list_min(list_intersect(e, (SELECT arg_max(pivots, n) FROM piv))), v) AS of_ FROM earlier JOIN rest USING (v)),
+made AS (SELECT direction, of_, row_number() OVER (PARTITION BY direction ORDER BY count(*) DESC, of_) - 1 AS k FROM own GROUP BY 1, 2),
+members AS (SELECT activity_id AS id, direction, group_id, 0 AS age, 0 AS made, group_ord AS k FROM old JOIN base USING (direction, group_id) UNION ALL SELECT ord, r.direction, g, 1, 0, group_ord FROM matched JOIN rows_ r ON r.id = ord JOIN base ON base.group_id = g
+ UNION ALL SELECT v, direction, direction || '_' || (k + (SELECT count(*) FROM base b WHERE b.direction = own.direction)), 1, 1, k FROM own JOIN made USING (direction, of_)),
+g AS (SELECT direction, group_id, count(*) AS frequency, row_number() OVER (PARTITION BY direction ORDER BY count(*) DESC, min(made), min(k)) - 1 AS place, list(m.id ORDER BY duration, age, m.id)[count(*) // 2 + 1] AS rep FROM members m JOIN (SELECT activity_id AS id, duration FROM routes) USING (id) GROUP BY 1, 2)
+SELECT id AS activity_id, group_id, frequency, CAST(place AS INTEGER) AS place, rep FROM members JOIN g USING (direction, group_id)""", "points=twin_points routes=twin_routes")
 def x14(spark, d):
-    """New tracks go to their most similar group; the rest form groups of their own."""
-    r = t.routes(spark, d)
-    new = r.filter("activity_id % 5 = 0")
-    reps = rollups.representative(r.filter("activity_id % 5 <> 0"))
-    scored = similarity.commute_matches(new, reps, "activity_id", "group_id", ["direction"], 0.2)
-    matched = grouping.assign_to_groups(new, scored, "activity_id", 0.2)
-    rest = new.join(matched.filter("group_id is null"), "activity_id", "left_semi")
-    edges = similarity.commute_pairs(rest, "activity_id", ["direction"], 0.2).select("a", "b")
-    own = grouping.pivot_groups(rest, edges, "activity_id", "activity_id")
-    return matched.join(own, "activity_id", "left").select("activity_id", "group_id", "pivot")
+    """Every fifth track is new: it goes to the group with the most similar representative, which is chosen again after each; the rest form groups of their own."""
+    r = t.twins(spark, d).select(F.col("activity_id").alias("id"), "direction", "group_id", F.col("activity_id").alias("ord"), "duration", "coords")
+    found = merging.merge_tracks(r.filter("id % 5 <> 0"), r.filter("id % 5 = 0").drop("group_id"), EngineConfig.similarity)
+    return found.select(F.col("id").alias("activity_id"), "group_id", "frequency", "place", "rep")
 
 
 # Places are few in the view: clusters are what cores reach from one to the next.

@@ -69,6 +69,16 @@ FROM orders""",
 SELECT doc_id, text, 'Ride 41.' || (100000 + doc_id) || ', -87.' || (200000 + doc_id) || ' from ' || (doc_id % 90 + 10) || ' Oak Park Ave, rider' || doc_id || '@mail.example.com token = abc' || doc_id || ' activity_id: ' || (10000000 + doc_id) || ' Bearer k' || doc_id AS note
 FROM documents""",
 }
+# Tracks in groups: of 64 ids the first 32 are copies of the first one, the others copies by eight. Copies are moved north by steps, so that some are near and some
+# hang together in chains; those of one step tie.
+BASE = "vec_id - vec_id % CASE WHEN vec_id % 64 < 32 THEN 32 ELSE 8 END"
+VIEWS["twin_points"] = f"""
+SELECT e.vec_id, b.label, CAST(i AS INTEGER) AS idx, 4188e-2 + CAST(b.embedding[2 * i + 1] AS DOUBLE) * 1e-1 + CASE WHEN e.vec_id % 64 < 32 THEN e.vec_id % 5 * 3e-4 ELSE e.vec_id % 8 * 2e-4 END AS lat, -8763e-2 + CAST(b.embedding[2 * i + 2] AS DOUBLE) * 1e-1 AS lon
+FROM (SELECT vec_id, {BASE} AS base FROM embeddings) e JOIN embeddings b ON b.vec_id = base, range(32) t(i)"""
+VIEWS["twin_routes"] = f"""
+SELECT e.vec_id AS activity_id, CASE WHEN label < 5 THEN 'home_to_work' ELSE 'work_to_home' END AS direction, CASE WHEN label < 5 THEN 'home_to_work_' ELSE 'work_to_home_' END || 'b' || base AS group_id,
+       CAST(5000 + (e.vec_id * 53) % 4000 AS DOUBLE) AS distance, CAST(1200 + (e.vec_id * 37) % 180 AS BIGINT) AS duration, CAST((e.vec_id * 7) % 300 AS DOUBLE) AS elevation_gain, CAST(5000 + (e.vec_id * 53) % 4000 AS DOUBLE) / (1200 + (e.vec_id * 37) % 180) AS average_speed
+FROM (SELECT vec_id, {BASE} AS base FROM embeddings) e JOIN embeddings b ON b.vec_id = base"""
 VIEWS["groups"] = """
 SELECT group_id, min(direction) AS direction, CAST(count(*) AS BIGINT) AS uses, avg(duration) AS avg_duration, stddev_pop(duration) AS std_duration, avg(distance) AS avg_distance,
        avg(average_speed) AS avg_speed, avg(elevation_gain) AS avg_elevation, CASE WHEN avg(duration) > 0 THEN greatest(0e0, 1 - stddev_pop(duration) / avg(duration)) ELSE 0e0 END AS consistency
@@ -77,13 +87,12 @@ NEEDS = {"groups": ["routes"]}
 
 
 def with_views(sql: str, uses: list[str]) -> str:
-    """The statement behind definitions of the views it reads."""
-    names: list[str] = []
-    for name in uses:
-        for n in (*NEEDS.get(name, []), name):
-            if n not in names:
-                names.append(n)
-    heads = [f"{n} AS ({VIEWS[n]}\n)" for n in names]
+    """The statement behind definitions of the views it reads; `a=b` is view b under the name a."""
+    names: dict[str, str] = {}
+    for use in uses:
+        name, _, of = use.partition("=")
+        names |= {n: n for n in NEEDS.get(name, []) if n not in names} | {name: of or name}
+    heads = [f"{n} AS ({VIEWS[of]}\n)" for n, of in names.items()]
     body = sql.strip()
     for start in ("WITH RECURSIVE ", "WITH "):
         if body.startswith(start):
@@ -158,6 +167,22 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As routes, of tracks that are copies of one another."""
+    e = table(spark, sf_dir, "embeddings")
+    vec = F.col("vec_id")
+    based = e.select(vec, (vec - vec % F.when(vec % 64 < 32, 32).otherwise(8)).alias("base"), F.when(vec % 64 < 32, vec % 5 * 3e-4).otherwise(vec % 8 * 2e-4).alias("step"))
+    both = based.join(e.select(F.col("vec_id").alias("base"), "label", "embedding"), "base")
+    at = lambda i: F.get(F.col("embedding"), i).cast("double")
+    line = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((F.lit(41.88) + at(i * 2) * 1e-1 + F.col("step")).alias("lat"), (F.lit(-87.63) + at(i * 2 + 1) * 1e-1).alias("lon")))
+    direction = F.when(F.col("label") < 5, "home_to_work").otherwise("work_to_home")
+    distance, duration = (5000 + (vec * 53) % 4000).cast("double"), (1200 + (vec * 37) % 180).cast("long")
+    return both.select(
+        vec.alias("activity_id"), direction.alias("direction"), F.concat(direction, F.lit("_b"), F.col("base").cast("string")).alias("group_id"), distance.alias("distance"), duration.alias("duration"),
+        ((vec * 7) % 300).cast("double").alias("elevation_gain"), (distance / duration).alias("average_speed"), line.alias("coords"),
+    )
+
+
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     return table(spark, sf_dir, "events").select(
