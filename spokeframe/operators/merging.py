@@ -117,7 +117,8 @@ def merge_tracks(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
     """old: id, direction, group_id, ord, duration, coords. new: the same without group_id; ord is the order in which they come, different for all of a table.
 
     id, direction, group_id, frequency, place, rep of all tracks: new ones that match no group make groups of their own, numbered on after the stored
-    ones, those of most tracks first; place is the group's in the direction's order by number of tracks. Groups come in the order of their first member.
+    ones, those of most tracks first; place is the group's in the direction's order by number of tracks. Stored groups come in the order of their place, or
+    without one in that of their first member.
     """
     within = reach_of(least) * (1 + 1e-9)
     cols = ["id", "direction", "ord", "duration", "coords"]
@@ -125,7 +126,7 @@ def merge_tracks(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
     shapes = materialise(_starts(tracks.select("id", "direction", "coords"), within), "shapes")
     come = materialise(new.select("id", "direction", F.lit(1).alias("age"), "ord", "duration"), "new")
     stored = materialise(old.select("group_id", F.lit(0).alias("age"), "ord", "duration", "id", "direction"), "stored")
-    order = stored.groupBy("group_id").agg(F.min("ord").alias("group_ord"))
+    order = old.groupBy("group_id").agg(F.min("place" if "place" in old.columns else "ord").cast("long").alias("group_ord"))
     members, guess = stored.drop("direction"), None
     while True:
         found = materialise(_decisions(come, members, shapes, order, least, within), "decisions")

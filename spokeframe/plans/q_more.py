@@ -10,9 +10,10 @@ from ..functions import geo
 from ..operators import naming, rollups
 from ..operators.locations import direction
 from ..registry import query
-from ..shared import running, table
+from ..shared import running, shared_dir, table
 from ..sources import sinks
 from ..sources import testdata as t
+from ..streaming import fresh
 from ..streaming.stateful import latest_fresh
 from .q_rollups import geod
 
@@ -162,6 +163,22 @@ def t3(spark, d):
     return found.select("user_id", "event_id", F.round("age_hours", 6).alias("age_hours"), "is_stale")
 
 
+@query("T3_fresh_state", """
+WITH a AS (SELECT user_id, event_id, (epoch_us(TIMESTAMP '2024-01-20 12:00:00') - epoch_us(ts)) / 3.6e9 AS age FROM events), k AS (SELECT * FROM a WHERE age >= 0 AND age < 24),
+last AS (SELECT user_id, arg_min(event_id, age) AS event_id, round(min(age), 6) AS age_hours, min(age) >= 2 AS is_stale FROM k GROUP BY 1)
+SELECT user_id, event_id, age_hours, is_stale FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN last USING (user_id)""")
+def t3_state(spark, d):
+    """The events up to a moment as a stream of stored answers, in three starts of one query; in the last each user is asked for at that moment."""
+    path, now = shared_dir(spark), F.lit("2024-01-20 12:00:00").cast("timestamp")
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.lit(False).alias("asks"), F.col("event_id").alias("value"))
+    asks = e.select("key").distinct().select("key", now.alias("at"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("value"))
+    half = F.lit("2024-01-10").cast("timestamp")
+    for part in (e.filter(F.col("at") < half), e.filter((F.col("at") >= half) & (F.col("at") <= now)), asks):
+        part.write.mode("append").parquet(f"{path}/in")
+        fresh.run_available(spark, fresh.answers(spark.readStream.schema(e.schema).parquet(f"{path}/in"), late="30 days"), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select(F.col("key").alias("user_id"), F.col("value").alias("event_id"), F.round("age_hours", 6).alias("age_hours"), "is_stale")
+
+
 @query("T4_throttled_alerts", """
 WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT user_id, event_id, k, us AS prior, true AS sent FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.us - r.prior >= 21600000000 THEN e.us ELSE r.prior END, e.us - r.prior >= 21600000000 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)

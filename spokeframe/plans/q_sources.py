@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import polyline
+from ..operators import smoothing
 from ..registry import query
-from ..shared import shared_dir
-from ..sources import provider, store
+from ..shared import shared_dir, table
+from ..sources import memo, provider, store
 from ..sources import testdata as t
 
 #: Rides of a page: of lists that are read at once, and of backfill, which merges each page.
@@ -68,3 +69,27 @@ def k1(spark, d):
         at = store.merge(spark, root, a.filter("id % 2 = 0").withColumn("distance", F.col("distance") + 1), stream="s", batch=1)
     notes = [F.lit(at[k]).cast("long").alias(name) for k, name in (("new", "new_rides"), ("updated", "updated"), ("version", "version"))]
     return store.read(spark, root).select("id", "start_date", "distance", *notes)
+
+
+@query("S2_remembered_files", "SELECT id, name, distance, CAST(1 AS BIGINT) AS files_read FROM (SELECT id, name, CASE WHEN id % 20 = 3 THEN distance + 1 ELSE distance END AS distance FROM activities)", "activities")
+def s2(spark, d):
+    """Rides in twenty files, read; one file is written anew, and the second scan reads that one."""
+    path = shared_dir(spark)
+    rides = t.activities(spark, d).select("id", "name", "distance", (F.col("id") % 20).alias("of"))
+    put = lambda rows: rows.repartition(20, "of").sortWithinPartitions("of").write.partitionBy("of").mode("append").json(f"{path}/rides")
+    put(rides)
+    read = lambda paths: memo.with_file(spark.read.schema("id long, name string, distance double").json(paths)).select("id", "name", "distance", *memo.KEY)
+    memo.remembered(spark, f"{path}/rides", f"{path}/store", read, "*.json")
+    rides.filter("of = 3").withColumn("distance", F.col("distance") + 1).coalesce(1).write.partitionBy("of").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{path}/rides")
+    rows, counts = memo.remembered(spark, f"{path}/rides", f"{path}/store", read, "*.json")
+    return rows.withColumn("files_read", F.lit(counts["read"]).cast("long"))
+
+
+@query("W8_smoothed_series", """
+WITH v AS (SELECT event_id, ts, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS x FROM events), n AS (SELECT *, count(x) OVER (ORDER BY ts, event_id) AS k FROM v), vals AS (SELECT k, x FROM n WHERE x IS NOT NULL),
+near AS (SELECT p.k, sum(CASE WHEN q.k = 1 THEN 1 ELSE 15e-2 END * pow(85e-2, p.k - q.k) * q.x) AS level FROM vals p JOIN vals q ON q.k BETWEEN p.k - 400 AND p.k GROUP BY 1)
+SELECT event_id, round(level, 7) AS smoothed FROM n LEFT JOIN near USING (k)""")
+def w8(spark, d):
+    """One series of all events; every seventh has no value. Older values than 400 weigh less than a double shows."""
+    e = table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("x"))
+    return smoothing.smoothed(e, "x", ["ts", "event_id"]).select("event_id", F.round("smoothed", 7).alias("smoothed"))

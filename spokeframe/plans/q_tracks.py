@@ -9,7 +9,10 @@ from ..functions import geo, polyline
 from ..operators import coverage, exploration, grouping, merging, rollups, similarity
 from ..operators.locations import home_and_work, endpoints
 from ..registry import query
+from ..shared import shared_dir
+from ..sources import store
 from ..sources import testdata as t
+from ..streaming import incremental
 from .q_functions import BEARING, HAV, SEGMENTS, TILE
 from .q_rollups import geod, hav
 
@@ -108,12 +111,14 @@ def x4(spark, d):
     return grouping.consolidate(_named(spark, d), 2.0)
 
 
-@query("X14_incremental_groups", f"""
+def _merged(stored: str) -> str:
+    """New tracks, every fifth, one after the other into the stored groups: CTE base of direction, group_id, group_ord and members."""
+    return f"""
 WITH RECURSIVE {GEOMETRY}, ends AS (SELECT p.vec_id, p.lat AS y1, p.lon AS x1, q.lat AS y2, q.lon AS x2 FROM points p JOIN points q USING (vec_id) WHERE p.idx = 0 AND q.idx = 31),
-close_ AS (SELECT a, b FROM pairs JOIN ends p ON p.vec_id = a JOIN ends q ON q.vec_id = b WHERE (a % 5 = 0 OR b % 5 = 0) AND greatest(sqrt(pow(p.y1 - q.y1, 2) + pow(p.x1 - q.x1, 2)), sqrt(pow(p.y2 - q.y2, 2) + pow(p.x2 - q.x2, 2))) <= 0.00116e0),
+close_ AS (SELECT a, b FROM pairs JOIN ends p ON p.vec_id = a JOIN ends q ON q.vec_id = b WHERE greatest(sqrt(pow(p.y1 - q.y1, 2) + pow(p.x1 - q.x1, 2)), sqrt(pow(p.y2 - q.y2, 2) + pow(p.x2 - q.x2, 2))) <= 0.00116e0),
 {PATHS.format(points='points', pairs='close_')}, {COMMUTES}, alike AS (SELECT a, b, similarity AS s FROM scored WHERE similarity >= 0.7e0 UNION ALL SELECT b, a, similarity FROM scored WHERE similarity >= 0.7e0),
-met AS (SELECT a AS id, list(struct_pack(m := b, s := s)) AS met FROM alike GROUP BY 1), old AS (SELECT * FROM routes WHERE activity_id % 5 <> 0),
-base AS (SELECT direction, group_id, min(activity_id) AS group_ord, list(struct_pack(d := duration, age := 0, ord := activity_id) ORDER BY activity_id) AS base FROM old GROUP BY 1, 2),
+met AS (SELECT a AS id, list(struct_pack(m := b, s := s)) AS met FROM alike GROUP BY 1), {stored},
+base AS (SELECT direction, group_id, min(group_ord) AS group_ord, list(struct_pack(d := duration, age := 0, ord := activity_id) ORDER BY activity_id) AS base FROM old GROUP BY 1, 2),
 known AS (SELECT direction, list(struct_pack(g := group_id, base := base) ORDER BY group_ord) AS known FROM base GROUP BY 1),
 rows_ AS (SELECT activity_id AS id, direction, duration, coalesce(met, []) AS met, known, row_number() OVER (ORDER BY activity_id) AS n FROM routes LEFT JOIN met ON id = activity_id JOIN known USING (direction) WHERE activity_id % 5 = 0),
 fold(n, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(g VARCHAR, d BIGINT, age INTEGER, ord BIGINT)[]) UNION ALL
@@ -127,10 +132,13 @@ earlier AS (SELECT v, n, coalesce(e, []) AS e FROM rest LEFT JOIN (SELECT b AS v
 piv(n, pivots) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.n, CASE WHEN list_has_any(o.e, pivots) THEN pivots ELSE list_append(pivots, o.v) END FROM piv JOIN earlier o ON o.n = piv.n + 1),
 own AS (SELECT v, direction, coalesce(list_min(list_intersect(e, (SELECT arg_max(pivots, n) FROM piv))), v) AS of_ FROM earlier JOIN rest USING (v)),
 made AS (SELECT direction, of_, row_number() OVER (PARTITION BY direction ORDER BY count(*) DESC, of_) - 1 AS k FROM own GROUP BY 1, 2),
-members AS (SELECT activity_id AS id, direction, group_id, 0 AS age, 0 AS made, group_ord AS k FROM old JOIN base USING (direction, group_id) UNION ALL SELECT ord, r.direction, g, 1, 0, group_ord FROM matched JOIN rows_ r ON r.id = ord JOIN base ON base.group_id = g
+members AS (SELECT activity_id AS id, old.direction, old.group_id, 0 AS age, 0 AS made, base.group_ord AS k FROM old JOIN base USING (direction, group_id) UNION ALL SELECT ord, r.direction, g, 1, 0, group_ord FROM matched JOIN rows_ r ON r.id = ord JOIN base ON base.group_id = g
  UNION ALL SELECT v, direction, direction || '_' || (k + (SELECT count(*) FROM base b WHERE b.direction = own.direction)), 1, 1, k FROM own JOIN made USING (direction, of_)),
 g AS (SELECT direction, group_id, count(*) AS frequency, row_number() OVER (PARTITION BY direction ORDER BY count(*) DESC, min(made), min(k)) - 1 AS place, list(m.id ORDER BY duration, age, m.id)[count(*) // 2 + 1] AS rep FROM members m JOIN (SELECT activity_id AS id, duration FROM routes) USING (id) GROUP BY 1, 2)
-SELECT id AS activity_id, group_id, frequency, CAST(place AS INTEGER) AS place, rep FROM members JOIN g USING (direction, group_id)""", "points=twin_points routes=twin_routes")
+SELECT id AS activity_id, group_id, frequency, CAST(place AS INTEGER) AS place, rep FROM members JOIN g USING (direction, group_id)"""
+
+
+@query("X14_incremental_groups", _merged("old AS (SELECT *, activity_id AS group_ord FROM routes WHERE activity_id % 5 <> 0)"), "points=twin_points routes=twin_routes")
 def x14(spark, d):
     """Every fifth track is new: it goes to the group with the most similar representative, which is chosen again after each; the rest form groups of their own."""
     r = t.twins(spark, d).select(F.col("activity_id").alias("id"), "direction", "group_id", F.col("activity_id").alias("ord"), "duration", "coords")
@@ -138,6 +146,24 @@ def x14(spark, d):
     return found.select(F.col("id").alias("activity_id"), "group_id", "frequency", "place", "rep")
 
 
+GROUPED = """before AS (SELECT activity_id AS v, row_number() OVER (ORDER BY activity_id) AS n, coalesce(e, []) AS e FROM routes LEFT JOIN (SELECT b AS activity_id, list(a) AS e FROM scored WHERE similarity >= 0.7e0 AND a % 5 <> 0 GROUP BY 1) USING (activity_id) WHERE activity_id % 5 <> 0),
+heads(n, pivots) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.n, CASE WHEN list_has_any(o.e, pivots) THEN pivots ELSE list_append(pivots, o.v) END FROM heads JOIN before o ON o.n = heads.n + 1),
+first_ AS (SELECT r.*, coalesce(list_min(list_intersect(e, (SELECT arg_max(pivots, n) FROM heads))), v) AS head FROM before JOIN (SELECT activity_id, direction, duration FROM routes) r ON v = activity_id),
+ranked AS (SELECT direction, head, row_number() OVER (PARTITION BY direction ORDER BY count(*) DESC, head) - 1 AS group_ord FROM first_ GROUP BY 1, 2),
+old AS (SELECT activity_id, direction, duration, direction || '_' || group_ord AS group_id, group_ord FROM first_ JOIN ranked USING (direction, head))"""
+
+
+@query("T6_T1_kept_up_groups", _merged(GROUPED), "points=twin_points routes=twin_routes")
+def t6(spark, d):
+    """Four fifths of the tracks come first and are grouped, then the rest; the query starts anew for the second batch."""
+    path = shared_dir(spark)
+    r = t.twins(spark, d).select(F.col("activity_id").alias("id"), "direction", F.col("activity_id").alias("ord"), "duration", "coords", F.lit(False).alias("removed"))
+    for part in ("id % 5 <> 0", "id % 5 = 0"):
+        r.filter(part).write.mode("append").parquet(f"{path}/tracks")
+        incremental.keep_up(spark.readStream.schema(r.schema).parquet(f"{path}/tracks"), f"{path}/store", f"{path}/checkpoint", EngineConfig.similarity)
+    return store.read(spark, f"{path}/store").select(F.col("id").alias("activity_id"), "group_id", "frequency", "place", "rep")
+
+
 # Places are few in the view: clusters are what cores reach from one to the next.
 CLUSTERS = """ends AS (SELECT id * 2 AS endpoint, 'start' AS kind, start_lat AS lat, start_lon AS lon, start_local AS moment FROM activities WHERE start_lat IS NOT NULL AND start_lon IS NOT NULL
   UNION ALL SELECT id * 2 + 1, 'end', end_lat, end_lon, start_local + to_seconds(elapsed_time) FROM activities WHERE end_lat IS NOT NULL AND end_lon IS NOT NULL),

@@ -78,8 +78,8 @@ def read(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/{at['folder']}") if at else None
 
 
-def update(spark: SparkSession, root: str, change: Callable[[DataFrame | None, dict[str, Any] | None], tuple[DataFrame, dict[str, Any]] | None]) -> dict[str, Any] | None:
-    """Replaces the table by what `change` makes of it and of its pointer, and notes what it says. `change` runs again where another writer came first; it may say None: nothing to do."""
+def update(spark: SparkSession, root: str, change: Callable[[DataFrame | None, dict[str, Any] | None], tuple[DataFrame, dict[str, Any]] | None], beside: Callable[[str], None] | None = None) -> dict[str, Any] | None:
+    """Replaces the table by what `change` makes of it and of its pointer, and notes what it says. `change` runs again where another writer came first; it may say None: nothing to do. `beside` writes what belongs to a version next to its folder."""
     for _ in range(TRIES):
         at = current(spark, root)
         made = change(spark.read.parquet(f"{root}/{at['folder']}") if at else None, at)
@@ -89,6 +89,8 @@ def update(spark: SparkSession, root: str, change: Callable[[DataFrame | None, d
         version = (at["version"] if at else 0) + 1
         folder = f"version-{version}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{root}/{folder}")
+        if beside:
+            beside(f"{root}/{folder}")
         pointer = {**note, "version": version, "folder": folder}
         if make_once(spark, f"{root}/{POINTER}{version}", json.dumps(pointer)):
             return pointer
