@@ -1,7 +1,7 @@
 """Freshness of stored answers as state with expiry.
 
 State of a key is the newest answer and the last one that was given. Asking gets the same answer for a while, then the newest one: fresh, flagged as
-stale, or none once it has expired. A timer at the time of expiry removes what is stored, and time to live what was given.
+stale, or none once it has expired. Timers at the times of expiry remove both; time to live is no way, as Spark has it by the machine's clock only.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ class Fresh(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.stored = handle.getValueState("stored", "at_us long, value long")
-        self.given = handle.getValueState("given", "at_us long, value long, value_at_us long", self.memo_ms)
+        self.given = handle.getValueState("given", "at_us long, value long, value_at_us long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         stored = self.stored.get() if self.stored.exists() else None
@@ -45,18 +45,19 @@ class Fresh(StatefulProcessor):
                 given = (at, stored[1], stored[0]) if usable else None
             age = None if given is None else (at - given[2]) / 3.6e9
             out.append((key[0], pd.Timestamp(at, unit="us"), None if given is None else given[1], age, None if age is None else age * HOUR_MS >= self.fresh_ms, memo))
-        if stored is not None and stored != was:
-            self.stored.update(stored)
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(max(stored[0] // 1000 + self.usable_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        if given is not None and given != gave:
-            self.given.update(given)
+        soon = timerValues.getCurrentWatermarkInMs() + 1
+        for state, new, old, ends in ((self.stored, stored, was, self.usable_ms), (self.given, given, gave, self.memo_ms)):
+            if new is not None and new != old:
+                state.update(new)
+                self.handle.registerTimer(max(new[0] // 1000 + ends + 1, soon))
         found = pd.DataFrame(out, columns=["key", "at", "value", "age_hours", "is_stale", "from_memo"])
         yield found.astype({"value": "Int64", "age_hours": "Float64", "is_stale": "boolean", "from_memo": "boolean"})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.stored.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for state, ends in ((self.stored, self.usable_ms), (self.given, self.memo_ms)):
+            if state.exists() and state.get()[0] // 1000 + ends < now:
+                state.clear()
         return iter([])
 
     def close(self) -> None:
