@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..shared import materialise
 
 #: Steps after which the walk along a segment is given up: broken points can lie half the globe apart.
 LONGEST_WALK = 20_000
@@ -167,14 +168,21 @@ def corridor_boxes(rides: DataFrame, miles: float, widest_deg: float) -> DataFra
 
 
 def flood_fill(tiles: DataFrame) -> DataFrame:
-    """Adds zone, the smallest tile number of the tiles that hang together by their sides. Tiles beyond 2**31 in x or y are not on any map."""
+    """Adds zone, the smallest tile number of the tiles that hang together by their sides. Tiles beyond 2**31 in x or y are not on any map.
+
+    Tiles of a column without a gap are one run, and runs that touch are linked, so the graph is as large as there are runs.
+    """
     from .graph import components
 
     own = tiles.withColumn("tile", F.col("x") * (1 << 31) + F.col("y"))
-    edges = own.select(F.col("tile").alias("a"), F.explode(F.array(F.col("tile") + 1, F.col("tile") + (1 << 31))).alias("b"))
-    pairs = edges.join(own.select(F.col("tile").alias("b")), "b", "left_semi")
-    named = components(pairs.select("a", "b"))
-    return own.join(named, own["tile"] == named["id"], "left").withColumn("zone", F.coalesce("label", "tile")).drop("id", "label")
+    spots = own.select("x", "y", "tile").distinct()
+    spots = spots.withColumn("gap", F.col("y") - F.row_number().over(Window.partitionBy("x").orderBy("y")))
+    heads = spots.groupBy("x", "gap").agg(F.min("tile").alias("run"))
+    runs = materialise(spots.join(heads, ["x", "gap"]).select("tile", "run"), "runs")
+    pairs = runs.join(runs.select((F.col("tile") - (1 << 31)).alias("tile"), F.col("run").alias("next")), "tile").select(F.col("run").alias("a"), F.col("next").alias("b"))
+    named = components(pairs)
+    zones = runs.join(named, F.col("run") == F.col("id"), "left").select(F.col("tile").alias("of"), F.coalesce("label", "run").alias("zone"))
+    return own.join(zones, F.col("tile") == F.col("of")).drop("of")
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:

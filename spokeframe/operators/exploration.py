@@ -22,10 +22,12 @@ POOL, POOL_OF_TWO, POOL_OUT = 12, 8, 1
 INSET_M = 5.0
 
 
-def reachable(visited: DataFrame, water: DataFrame, bounds: tuple, zoom: int, start: tuple[float, float], reach_km: float) -> DataFrame:
-    """x, y, lat, lon, quadrant of tiles in the bounds and in reach that are neither visited nor water."""
+def reachable(visited: DataFrame, water: DataFrame, bounds: tuple, zoom: int, start: tuple[float, float], reach_km: float, area: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """x, y, lat, lon, quadrant of tiles in the bounds and in reach that are neither visited nor water; with a drawn area (south, west, north, east), those whose middle is inside of it."""
     tiles = coverage.all_tiles(visited.sparkSession, bounds, zoom).join(visited.select("x", "y"), ["x", "y"], "left_anti").join(water.select("x", "y"), ["x", "y"], "left_anti")
     at = coverage.centres(tiles, zoom)
+    if area:
+        at = at.filter(F.col("lat").between(area[0], area[2]) & F.col("lon").between(area[1], area[3]))
     here = [F.lit(start[0]), F.lit(start[1]), F.col("lat"), F.col("lon")]
     return at.filter(geo.haversine_m(*here) / 1000 <= reach_km).withColumn("quadrant", geo.quadrant(geo.bearing(*here)))
 

@@ -9,7 +9,7 @@ from ..functions import geo, polyline
 from ..operators import coverage, exploration, grouping, merging, rollups, similarity
 from ..operators.locations import home_and_work, endpoints
 from ..registry import query
-from ..shared import shared_dir
+from ..shared import materialise, shared_dir
 from ..sources import store
 from ..sources import testdata as t
 from ..streaming import incremental
@@ -335,15 +335,25 @@ def a17(spark, d):
 AREA, ZOOM, REACH_KM = (41.80, -87.75, 41.96, -87.52), 16, 8.0
 
 
-def _scan(spark, d):
-    visited = coverage.crossed_tiles(t.tracks(spark, d), ZOOM).distinct()
+#: Every so many columns and rows of tiles count as visited where tours are to have many zones; the drawn area.
+LINES, DRAWN = 7, (41.86, -87.69, 41.93, -87.60)
+
+
+def _scan(spark, d, lines: int | None = None, area: tuple | None = None):
+    visited = coverage.crossed_tiles(t.tracks(spark, d), ZOOM)
+    if lines:
+        every = coverage.all_tiles(spark, AREA, ZOOM)
+        visited = visited.select("x", "y").unionByName(every.filter((F.col("x") % lines == 0) | (F.col("y") % lines == 0)))
+    visited = materialise(visited.distinct(), "visited")
     water = coverage.water_tiles(coverage.all_tiles(spark, AREA, ZOOM), _water(spark), ZOOM)
-    return visited, exploration.reachable(visited, water, AREA, ZOOM, t.HOME, REACH_KM)
+    return visited, materialise(exploration.reachable(visited, water, AREA, ZOOM, t.HOME, REACH_KM, area), "reachable")
 
 
-SCAN = f"""{WALK.format(n=2**16)}, {WATER.format(n=2**16, south='4180e-2', west='-8775e-2', north='4196e-2', east='-8752e-2')}, visited AS (SELECT DISTINCT x, y FROM crossed),
-near AS (SELECT x, y, lat, lon, {BEARING} AS way FROM (SELECT *, 4188e-2 AS lat1, -8763e-2 AS lon1, lat AS lat2, lon AS lon2 FROM t ANTI JOIN visited USING (x, y) ANTI JOIN water USING (x, y)) WHERE {hav('lat1', 'lon1', 'lat2', 'lon2')} / 1000 <= 8),
+SCAN = f"""{WALK.format(n=2**16)}, {WATER.format(n=2**16, south='4180e-2', west='-8775e-2', north='4196e-2', east='-8752e-2')}, visited AS (SELECT DISTINCT x, y FROM crossed /* lines */),
+near AS (SELECT x, y, lat, lon, {BEARING} AS way FROM (SELECT *, 4188e-2 AS lat1, -8763e-2 AS lon1, lat AS lat2, lon AS lon2 FROM t ANTI JOIN visited USING (x, y) ANTI JOIN water USING (x, y)) WHERE {hav('lat1', 'lon1', 'lat2', 'lon2')} / 1000 <= 8 /* area */),
 found AS (SELECT x, y, lat, lon, CASE WHEN way < 90 THEN 'NE' WHEN way < 180 THEN 'SE' WHEN way < 270 THEN 'SW' ELSE 'NW' END AS quadrant FROM near)"""
+SCAN_LINES = SCAN.replace("/* lines */", f"UNION SELECT x, y FROM t WHERE x % {LINES} = 0 OR y % {LINES} = 0")
+SCAN_DRAWN = SCAN_LINES.replace("/* area */", f"AND lat BETWEEN {DRAWN[0]!r}e0 AND {DRAWN[2]!r}e0 AND lon BETWEEN {DRAWN[1]!r}e0 AND {DRAWN[3]!r}e0")
 ZONES = """numbered AS (SELECT *, (x + CASE quadrant WHEN 'NE' THEN 1 WHEN 'SE' THEN 2 WHEN 'SW' THEN 3 ELSE 4 END * CAST(67108864 AS BIGINT)) * CAST(2147483648 AS BIGINT) + y AS tile FROM found),
 beside AS (SELECT p.tile AS a, q.tile AS b FROM numbered p JOIN numbered q ON p.quadrant = q.quadrant AND p.x = q.x AND abs(p.y - q.y) = 1 UNION ALL SELECT p.tile, q.tile FROM numbered p JOIN numbered q ON p.quadrant = q.quadrant AND p.y = q.y AND abs(p.x - q.x) = 1),
 filled(tile, zone) AS (SELECT tile, tile FROM numbered UNION SELECT b, zone FROM filled JOIN beside ON a = tile), zoned AS (SELECT numbered.*, zone FROM numbered JOIN (SELECT tile, min(zone) AS zone FROM filled GROUP BY 1) USING (tile))"""
@@ -359,14 +369,17 @@ def x5(spark, d):
     return exploration.zones(_scan(spark, d)[1]).groupBy("quadrant", "zone").agg(F.count("*").alias("n_tiles"), F.round(F.avg("lat"), 8).alias("lat"), F.round(F.avg("lon"), 8).alias("lon"))
 
 
-@query("X7_G26_G27_zone_scores", f"""
-WITH RECURSIVE {SCAN}, {ZONES}, mid AS (SELECT quadrant, zone, count(*) AS n_tiles, avg(lat) AS lat, avg(lon) AS lon FROM zoned GROUP BY 1, 2), far AS (SELECT *, {hav('4188e-2', '-8763e-2', 'lat', 'lon')} / 1000 AS km FROM mid),
+SCORED_ZONES = f"""
+WITH RECURSIVE {{scan}}, {ZONES}, mid AS (SELECT quadrant, zone, count(*) AS n_tiles, avg(lat) AS lat, avg(lon) AS lon FROM zoned GROUP BY 1, 2), far AS (SELECT *, {hav('4188e-2', '-8763e-2', 'lat', 'lon')} / 1000 AS km FROM mid),
 way AS (SELECT zone, CAST(floor((lon + 180) / 360 * 65536) AS BIGINT) AS x, CAST(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 65536) AS BIGINT) AS y FROM (
   SELECT zone, 4188e-2 + (lat - 4188e-2) * (k / CAST(steps AS DOUBLE)) AS lat, -8763e-2 + (lon + 8763e-2) * (k / CAST(steps AS DOUBLE)) AS lon FROM (SELECT *, greatest(2, CAST(round(km * 4) AS BIGINT)) AS steps FROM far), LATERAL (SELECT unnest(range(1, steps)) AS k))),
 passed AS (SELECT zone, count(*) AS overlap FROM way JOIN visited USING (x, y) GROUP BY 1), sides AS (SELECT zone, x + dx AS x, y + dy AS y FROM zoned, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS side(dx, dy)),
 edge_ AS (SELECT s.zone, avg(CASE WHEN v.x IS NULL THEN 0e0 ELSE 1e0 END) AS border_ratio FROM (SELECT * FROM sides ANTI JOIN zoned USING (zone, x, y)) s LEFT JOIN visited v ON v.x = s.x AND v.y = s.y GROUP BY 1),
 s AS (SELECT quadrant, zone, n_tiles, km, coalesce(border_ratio, 0) AS border_ratio, coalesce(overlap, 0) AS overlap FROM far LEFT JOIN passed USING (zone) LEFT JOIN edge_ USING (zone))
-SELECT quadrant, zone, n_tiles, round(km, 8) AS km, round(border_ratio, 8) AS border_ratio, overlap, CAST(row_number() OVER (PARTITION BY quadrant ORDER BY n_tiles - overlap * 0.5e0 DESC, n_tiles DESC, zone) AS INTEGER) AS place FROM s""", "points")
+SELECT quadrant, zone, n_tiles, round(km, 8) AS km, round(border_ratio, 8) AS border_ratio, overlap, CAST(row_number() OVER (PARTITION BY quadrant ORDER BY n_tiles - overlap * 0.5e0 DESC, n_tiles DESC, zone) AS INTEGER) AS place FROM s"""
+
+
+@query("X7_G26_G27_zone_scores", SCORED_ZONES.format(scan=SCAN), "points")
 def x7(spark, d):
     visited, tiles = _scan(spark, d)
     found = exploration.score_zones(exploration.zones(tiles), visited, ZOOM, t.HOME)
@@ -376,7 +389,28 @@ def x7(spark, d):
 @query("X8_X9_exploration_tours")
 def x8(spark, d):
     visited, tiles = _scan(spark, d)
-    return exploration.tours(exploration.zones(tiles), visited, ZOOM, t.HOME, 4 * REACH_KM)
+    return exploration.tours(tiles, visited, ZOOM, t.HOME, 4 * REACH_KM)
+
+
+@query("X5_zones_of_a_drawn_area", f"WITH RECURSIVE {SCAN_DRAWN}, {ZONES} SELECT quadrant, zone, count(*) AS n_tiles, round(avg(lat), 8) AS lat, round(avg(lon), 8) AS lon FROM zoned GROUP BY 1, 2", "points")
+def x5_drawn(spark, d):
+    """Zones between lines of visited tiles, in a drawn area."""
+    tiles = _scan(spark, d, LINES, DRAWN)[1]
+    return exploration.zones(tiles).groupBy("quadrant", "zone").agg(F.count("*").alias("n_tiles"), F.round(F.avg("lat"), 8).alias("lat"), F.round(F.avg("lon"), 8).alias("lon"))
+
+
+@query("X7_scores_of_many_zones", SCORED_ZONES.format(scan=SCAN_LINES), "points")
+def x7_lines(spark, d):
+    visited, tiles = _scan(spark, d, LINES)
+    found = exploration.score_zones(exploration.zones(tiles), visited, ZOOM, t.HOME)
+    return found.select("quadrant", "zone", "n_tiles", F.round("km", 8).alias("km"), F.round("border_ratio", 8).alias("border_ratio"), "overlap", "place")
+
+
+@query("X8_X9_tours_of_many_zones")
+def x8_lines(spark, d):
+    """Tours that choose among many zones."""
+    visited, tiles = _scan(spark, d, LINES)
+    return exploration.tours(tiles, visited, ZOOM, t.HOME, 4 * REACH_KM)
 
 
 @query("A36_merged_corridors", f"""
