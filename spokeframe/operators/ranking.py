@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import geo, scores, wind
+from ..shared import running
 from .rollups import group_metrics
 
 
@@ -35,8 +36,7 @@ def rank_routes(routes: DataFrame, speed: float, direction: float, by: str | Non
         scores.weather_score(c("head"), c("cross_kph")).alias("weather"),
     )
     total = sum((c(name) * weight for name, weight in config.weights.items()), F.lit(0.0))
-    order = (Window.partitionBy(by) if by else Window).orderBy(F.desc("score"), "group_id")
-    scored = scored.withColumn("score", total).withColumn("place", F.row_number().over(order).cast("long"))
+    scored = running(scored.withColumn("score", total), [F.desc("score"), F.col("group_id").asc()], by=[by] if by else None).withColumn("place", F.col("place") + 1)
     return scored.withColumn("reason", scores.recommendation_reason(c("time"), c("distance"), c("safety"), c("weather")))
 
 

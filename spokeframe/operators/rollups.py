@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import local_start, month_label, period_bounds, week_label
 from ..functions.units import even, feet, hours, miles, mph, truthy
+from ..shared import running
 
 
 def summary_columns() -> list[Column]:
@@ -124,10 +125,10 @@ def plus_routes(routes: DataFrame, ratio: float = 1.15) -> DataFrame:
 
 
 def representative(routes: DataFrame) -> DataFrame:
-    """Each group's route in the upper middle by duration, then by id."""
-    w = Window.partitionBy("group_id")
-    ranked = routes.withColumn("rank", F.row_number().over(w.orderBy("duration", "activity_id"))).withColumn("n", F.count("*").over(w))
-    return ranked.filter(F.col("rank") == F.floor(F.col("n") / 2) + 1).drop("rank", "n")
+    """Each group's route in the upper middle by duration, then by id. Places in a group are counted range by range, so a group of any size is spread."""
+    placed = running(routes, [F.col("duration").asc(), F.col("activity_id").asc()], by=["group_id"])
+    n = routes.groupBy("group_id").agg(F.count("*").alias("__n"))
+    return placed.join(n, "group_id").filter(F.col("place") == F.floor(F.col("__n") / 2)).select(*routes.columns)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "start_date") -> DataFrame:
