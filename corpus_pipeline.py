@@ -18,31 +18,31 @@ NEAR = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or between languages, go."""
+    """Documents without letters (null and empty texts too), or between languages, go. Rows are judged alone: repeated ones and those without an id like any other; long texts whole."""
     ready(spark)
     return langid.keep_rows(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the smallest doc_id stays."""
+    """Of equal texts, the one with the smallest doc_id stays; of null and empty texts one, of rows alike one, of a group without ids one."""
     ready(spark)
     return blocknames.keep_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates, the document with the smallest doc_id stays. Texts without words are in no group and stay, as do rows without an id that have no near-duplicate."""
     ready(spark)
     return minhash.keep_rows(docs, NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as many times as the mix of sources takes it."""
+    """A document comes as many times as the mix of sources takes it, whole; one without words not for certain. Rows without an id draw as the empty string does."""
     ready(spark)
     return mixing.mix_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every copy."""
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every copy; a null text has no ids. An empty table gives, as in every stage, an empty result."""
     ready(spark)
     coded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -9,7 +9,7 @@ are one, the hash tells rows of that block as surely as its characters do, and o
 Texts are compared after each run of white space became one space. Defined cases: null text counts as
 empty, and all empty texts are equal; rows with a null doc_id take part, and one stays only where its
 group has no doc_id at all; rows that repeat a doc_id and text are told apart by nothing, so all of them
-or none are kept by `find_copies`, and `keep_rows` leaves one of them; an empty table gives an empty result;
+or none are kept by `find_copies`, and `keep_rows` leaves one of them; a very long text is as many blocks as it needs; an empty table gives an empty result;
 other columns are not read by `find_copies` and kept by `keep_rows`, whatever their names.
 """
 

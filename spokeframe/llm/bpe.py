@@ -6,7 +6,7 @@ word's ids. Spark ships the automaton as one file to each executor, whose worker
 distinct words are looked up in it together; words that it lacks are merged exactly, pair by pair in order of rank.
 
 Defined cases: null text encodes as the empty one: no ids, decoded ''; special tokens' own strings in a text are
-special tokens, as in the library; rows are independent, so ties, repeats and null doc_ids need no rule; an empty
+special tokens, as in the library; rows are independent, so ties, repeats and null doc_ids need no rule; very long texts are encoded whole, a part of the words at a time; an empty
 table gives an empty result; only doc_id and text are read.
 """
 

@@ -6,7 +6,7 @@ margin to the second rejects the text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; equal sizes go to the
 first language by name; with one learned language every text with letters gets it with score 1; with none, all
-are `und`; rows are independent, so repeats and null doc_ids need no rule; an empty table gives an empty result.
+are `und`; a very long text is judged whole, block by block; rows are independent, so repeats and null doc_ids need no rule; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 112_640
 #: Bytes of text that are compressed at a time, so that dictionaries and not earlier text explain them.
 BLOCK = 1024
 LEVEL = 5
+#: Parts of a language in which texts are ranked first.
+SALTS = 64
 #: Shorter texts are repeated up to so many bytes: zstandard stores a few dozen bytes as they are, whatever the dictionary.
 SHORT = 400
 #: Smallest share by which the best must be below the second.
@@ -44,18 +46,22 @@ def letters(text: str) -> bytes:
 
 
 def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language, from the `texts` labelled texts of each with the smallest hashes of doc_id.
+    """Dictionaries by language, from the `texts` labelled texts of each with the smallest hashes of doc_id, then of the text.
 
     Languages are counted first, and rows that cannot be among the smallest hashes are left out before the
-    ranking, so no task gets more rows of a language than a small multiple of `texts`.
+    ranking. Rows are ranked in SALTS parts of a language and then over these, so one that many rows tie in, as without ids, fills no task. The
+    driver gets `texts` texts a language, each up to `size` characters, the most that a dictionary can hold; a language is a row and
+    a dictionary, so labels should be the few hundred languages there are, not free text.
     """
-    rows = labelled.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.col("doc_id")).alias("draw"), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)).alias("place"))
+    rows = labelled.filter("lang is not null and text is not null").select("lang", F.substring("text", 1, size).alias("text"), F.xxhash64("text").alias("own"), F.xxhash64(F.col("doc_id")).alias("draw"), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)).alias("place"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 4 * texts / n) * (1 << 30)))])
     few = rows.filter(F.col("place") < F.element_at(limits, F.col("lang")))
-    best = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "draw", "text"))).filter(F.col("rank") <= texts)
+    order = ["place", "draw", "own"]
+    some = few.withColumn("salt", F.pmod("own", F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= texts)
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= texts)
     out: dict[str, bytes] = {}
     for r in best.select("lang", "rank", "text").orderBy("lang", "rank").toLocalIterator():
         own, data = out.get(r["lang"], b""), letters(r["text"])

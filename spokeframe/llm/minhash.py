@@ -13,7 +13,7 @@ sets, a block of members against a block at a time. Blocks that lie in one compo
 
 Defined cases: a null or blank text has n_shingles 0 and is linked with nothing; a null doc_id is never a
 component_id, and its row is in its copies' component, or has none; rows that share a doc_id are one node;
-an empty table gives an empty result; other columns are not read.
+very long texts give all their shingles, held in one task a text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

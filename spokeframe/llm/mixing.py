@@ -13,7 +13,7 @@ of stopping before or after the document that crosses the end, the one that come
 Defined cases: null text has no words and is taken 0 times for want of words to give (its certain
 copies count 0 words); a null doc_id draws as the empty string does; documents that draw equal numbers go by id, size and a hash of the text
 (of all columns in `mix_rows`); rows that agree in these too are alike, and as many of them as fit are taken;
-an empty table gives an empty result; a source without words has target 0. Other columns are kept by `mix_rows` and not
+very long texts are never cut, so a source may miss its target by half of one; an empty table gives an empty result; a source without words has target 0. Other columns are kept by `mix_rows` and not
 read by `mix_documents`.
 """
 

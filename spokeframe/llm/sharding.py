@@ -4,7 +4,7 @@ A document's shard depends on its doc_id and the number of shards alone, so no t
 ring is kept; with one shard more, a document either stays or goes to the new shard.
 
 Defined cases: a null doc_id hashes as key 0; a null text has size 1 and the CRC of no bytes;
-equal doc_ids share a shard; repeated rows get slots of their own; an empty table gives an empty result; other columns are not read, so their
+equal doc_ids share a shard; repeated rows get slots of their own; a very long text is its size and CRC from the first step on; an empty table gives an empty result; other columns are not read, so their
 names cannot clash.
 """
 

@@ -5,7 +5,7 @@ search in the sorted boundaries. A token inside one section is that section's. A
 the section's that holds most of its bytes, and of equals the earlier one's; so a document's counts add up to its tokens.
 
 Sections are lines; the white space from a line's break to the next line's first word belongs to the former. Defined cases: a null or empty text is one empty section with no tokens; a text of nothing but line breaks is
-one section; rows are independent, so repeats and null doc_ids need no rule; an empty table gives an empty result; only
+one section; rows are independent, so repeats and null doc_ids need no rule; a very long text is encoded whole in one task; an empty table gives an empty result; only
 doc_id and text are read. Where a pair of bytes inside one character is split between tokens, each byte counts for itself.
 """
 

@@ -8,8 +8,8 @@ a file that breaks a rule raises ValueError with its name and the place.
 Of records with equal payloads of LEAST bytes at least, the one with the largest page_id is the response, and the others
 are revisits that refer to it; smaller ones are all responses. Defined cases: null html is an empty payload; a
 null page_id stays null, and a group of none but nulls has no revisits; rows that repeat the largest page_id are all
-responses; a null url becomes URN_NONE; control characters in a url are percent-encoded in the record; an
-empty table makes no archive and an empty result; other columns are not stored.
+responses; a null url becomes URN_NONE; control characters in a url are percent-encoded in the record; very long html is one record, held whole
+in one task; an empty table makes no archive and an empty result; other columns are not stored.
 """
 
 from __future__ import annotations

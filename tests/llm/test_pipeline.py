@@ -54,3 +54,24 @@ def test_stages(spark):
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in rows) == sorted(want)
     again = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.ids_sha256) for r in again) == sorted((r.doc_id, r.ids_sha256) for r in rows)
+
+
+def test_stages_on_empty_and_odd_tables(spark, odd_docs, no_docs):
+    """Each stage alone: an empty table stays empty; repeated rows, null ids and texts, and columns of any names pass or go by the stage's rule."""
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, no_docs, SF)
+        assert none.count() == 0 and (name == "BPE" or none.columns == no_docs.columns), name
+        rows = stage(spark, odd_docs, SF).collect()
+        if name == "BPE":
+            library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            want = sorted((str(r.doc_id), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in odd_docs.collect())
+            assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == want
+        else:
+            assert set(rows) <= set(odd_docs.collect()), name
+
+
+def test_run_on_an_empty_and_an_odd_table(spark, odd_docs, no_docs, tmp_path):
+    for name, docs in (("none", no_docs), ("odd", odd_docs.select("doc_id", "text", "lang", "source", "n_chars"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(found) == 0) == (name == "none")

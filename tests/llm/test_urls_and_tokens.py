@@ -86,3 +86,16 @@ def test_counts(spark, odd_docs, no_docs):
             at = end
         want = [(i, a, b - a, own[i], cross[i], len(ids)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
         assert sorted(got[r.doc_id]) == want and sum(own) == len(ids)
+
+
+def test_counts_of_repeated_rows_and_rows_without_an_id(spark, odd_docs):
+    """Each row counts for itself: repeated rows come as often, and a null id stays null."""
+    from collections import Counter
+
+    given = odd_docs.collect()
+    got = tokencount.count_tokens(odd_docs, PATH, PATTERN).collect()
+    assert Counter(r.doc_id for r in got if r.section == 0) == Counter(r.doc_id for r in given)
+    encode, _ = tokencount.encoding(PATH, PATTERN)
+    want = Counter((r.doc_id, len(encode.encode_ordinary(r.text or ""))) for r in given)
+    assert Counter((r.doc_id, r.doc_tokens) for r in got if r.section == 0) == want
+    assert sum(r.n_tokens for r in got) == sum(len(encode.encode_ordinary(r.text or "")) for r in given)
