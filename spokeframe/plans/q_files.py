@@ -9,6 +9,7 @@ from ..registry import query
 from ..shared import shared_dir, table
 from ..sources import readers, sinks
 from ..sources import testdata as t
+from .q_functions import SEGMENTS
 from .q_tracks import EDGES, _edges
 
 #: Rows of a document.
@@ -107,6 +108,20 @@ WITH {EDGES}, mid AS (SELECT *, edge % 2 = 0 AS bent, (lat1 + lat2) / 2 + 1e-4 A
 SELECT edge, 0 AS place, round(lat1, 8) AS lat1, round(lon1, 8) AS lon1, round(CASE WHEN bent THEN lat3 ELSE lat2 END, 8) AS lat2, round(CASE WHEN bent THEN lon3 ELSE lon2 END, 8) AS lon2 FROM mid UNION ALL SELECT edge, 1, round(lat3, 8), round(lon3, 8), round(lat2, 8), round(lon2, 8) FROM mid WHERE bent""")
 def s14(spark, d):
     """The grid of streets as a graph: every second one bends in its middle."""
+    return _graph(spark, _edges(spark))
+
+
+@query("S14_roads_of_tracks", f"""
+WITH {SEGMENTS}, mid AS (SELECT vec_id * 100 + idx AS edge, lat1, lon1, lat2, lon2, (vec_id * 100 + idx) % 2 = 0 AS bent, (lat1 + lat2) / 2 + 1e-4 AS lat3, (lon1 + lon2) / 2 AS lon3 FROM seg WHERE lat2 IS NOT NULL)
+SELECT edge, 0 AS place, round(lat1, 8) AS lat1, round(lon1, 8) AS lon1, round(CASE WHEN bent THEN lat3 ELSE lat2 END, 8) AS lat2, round(CASE WHEN bent THEN lon3 ELSE lon2 END, 8) AS lon2 FROM mid UNION ALL SELECT edge, 1, round(lat3, 8), round(lon3, 8), round(lat2, 8), round(lon2, 8) FROM mid WHERE bent""", "points")
+def s14_tracks(spark, d):
+    """The pieces of all tracks as a graph of roads."""
+    seg = t.tracks(spark, d).select("vec_id", F.posexplode(geo.segments(F.col("coords"))).alias("idx", "s")).select((F.col("vec_id") * 100 + F.col("idx")).alias("edge"), "s.*")
+    return _graph(spark, seg)
+
+
+def _graph(spark, edges):
+    """Roads written as GraphML and read back; every second one bends in its middle. The first file has the keys."""
     text_ = lambda c: c.cast("decimal(18,10)").cast("string")
     node = lambda e, n: F.concat(F.lit('<node id="'), e["edge"].cast("string"), F.lit(f'.{n}"><data key="d4">'), text_(e[f"lat{n}"]), F.lit('</data><data key="d5">'), text_(e[f"lon{n}"]), F.lit("</data></node>\n"))
     pair = lambda lat, lon: F.concat(text_(lon), F.lit(" "), text_(lat))
@@ -116,7 +131,7 @@ def s14(spark, d):
     keys = "".join(f'<key id="{k}" for="{of}" attr.name="{name}" attr.type="string"/>\n' for k, of, name in (("d4", "node", "y"), ("d5", "node", "x"), ("d9", "edge", "name"), ("d17", "edge", "geometry")))
     of_file = lambda r: F.when(F.get(r, F.lit(0))["edge"] == 0, keys).otherwise("")
     make = lambda r: F.concat(F.lit("<graphml>\n"), of_file(r), F.lit("<graph>\n"), F.array_join(F.transform(r, lambda e: F.concat(node(e, 1), node(e, 2), edge(e))), ""), F.lit("</graph>\n</graphml>"))
-    found = readers.road_edges(spark, _documents(_edges(spark), "edge", make, spark))
+    found = readers.road_edges(spark, _documents(edges, "edge", make, spark))
     return found.select(F.substring_index("edge", ".", 1).cast("long").alias("edge"), "place", *[F.round(c, 8).alias(c) for c in ("lat1", "lon1", "lat2", "lon2")])
 
 

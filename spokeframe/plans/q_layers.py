@@ -43,15 +43,15 @@ COLOUR = "[" + ", ".join(f"'{c}'" for c in layers.COLOURS) + "][place % 8 + 1]"
 
 @query("K9_map_layers", f"""
 WITH r AS (SELECT activity_id, direction, distance, row_number() OVER (ORDER BY distance DESC, activity_id) AS ord FROM routes), top AS (SELECT * FROM r WHERE ord <= 10), commute AS (SELECT * FROM top WHERE ord <= 5),
-long_ AS (SELECT vec_id, idx + k * 32 AS pos, lat + k * 1e-5 AS lat, lon FROM points, range(5) n(k) WHERE k = 0 OR vec_id % 2 = 0),
+long_ AS (SELECT vec_id, idx + k * 32 AS pos, lat + k * 1e-5 AS lat, lon FROM points, range(6) n(k) WHERE k = 0 OR vec_id % 2 = 0),
 drawn AS (SELECT vec_id, lat, lon FROM long_ WHERE vec_id % 2 = 1 OR pos % 5 = 0), shape AS (SELECT vec_id, count(*) AS points, round(sum(lat), 6) AS lat, round(sum(lon), 6) AS lon FROM drawn GROUP BY 1),
 both_ AS (SELECT 'all' AS layer, activity_id, ord - 1 AS place FROM top UNION ALL SELECT 'commute', activity_id, ord - 1 FROM commute), mid AS (SELECT layer, round(avg(lat), 7) AS center_lat, round(avg(lon), 7) AS center_lon FROM both_ JOIN long_ ON vec_id = activity_id GROUP BY 1)
 SELECT layer, CAST(place AS INTEGER) AS place, 'Route ' || activity_id AS name, layer = 'commute' OR place < 3 AS show, CASE WHEN layer = 'commute' AND place = 0 THEN '#28a745' ELSE {COLOUR} END AS colour, points, lat, lon, center_lat, center_lon
 FROM both_ JOIN shape ON vec_id = activity_id JOIN mid USING (layer)""", "points routes")
 def k9(spark, d):
-    """The longest routes as groups; tracks of even ids have 160 points, of which every fifth is drawn."""
+    """The longest routes as groups; tracks of even ids have 192 points, of which every fifth is drawn."""
     c = F.col("coords")
-    line = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.transform(c, lambda p: F.struct((p["lat"] + k * 1e-5).alias("lat"), p["lon"].alias("lon")))))
+    line = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.transform(c, lambda p: F.struct((p["lat"] + k * 1e-5).alias("lat"), p["lon"].alias("lon")))))
     r = t.routes(spark, d).select(F.concat(F.lit("Route "), F.col("activity_id").cast("string")).alias("name"), F.struct(-F.col("distance"), "activity_id").alias("ord"), F.when(F.col("activity_id") % 2 == 0, line).otherwise(c).alias("coords"))
     one = layers.map_layers(r).withColumn("layer", F.lit("all"))
     two = layers.map_layers(r, 5, None, True).withColumn("layer", F.lit("commute"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import routing
+from ..operators import routing, stops
 from ..registry import query
 from ..shared import table
 from ..sources import testdata as t
@@ -110,3 +110,29 @@ def x10(spark, d):
     )
     found = routing.refined(asked)
     return found.select("request", F.size("waypoints").alias("waypoints"), F.round("distance_km", 4).alias("distance_km"), "routings", "status")
+
+
+#: Stops up to which the query seeks the shortest order; SQL tries all.
+EXACT = 5
+
+
+def _orders_sql() -> str:
+    leg = lambda a, b: f"{hav(f'{a}[1]', f'{a}[2]', f'{b}[1]', f'{b}[2]')} / 1000"
+    at = lambda i: f"[4188e-2 + (c_custkey * (7 + 4 * {i}) % 197 - 98) * 4e-4, -8763e-2 + (c_custkey * (11 + 6 * {i}) % 193 - 96) * 4e-4]"
+    return f"""
+WITH RECURSIVE t AS (SELECT c_custkey AS tour, {at(0)} AS a, {at(9)} AS b, list_transform(range(CAST(c_custkey % 8 AS BIGINT)), lambda i: {at('(i + 1)')}) AS s FROM customer),
+every(tour, b, s, left_, here, km, n) AS (SELECT tour, b, s, range(len(s)), a, 0e0, 0 FROM t WHERE len(s) <= {EXACT} UNION ALL SELECT tour, b, s, list_filter(left_, lambda x: x <> i), s[i + 1], km + {leg('here', 's[i + 1]')}, n + 1 FROM (SELECT *, unnest(left_) AS i FROM every WHERE len(left_) > 0)),
+near(tour, b, s, left_, here, km, n) AS (SELECT tour, b, s, range(len(s)), a, 0e0, 0 FROM t WHERE len(s) > {EXACT} UNION ALL SELECT tour, b, s, list_filter(left_, lambda x: x <> i), s[i + 1], km + {leg('here', 's[i + 1]')}, n + 1 FROM (
+ SELECT *, list_sort(list_transform(left_, lambda j: struct_pack(km := {leg('here', 's[j + 1]')}, j := j)))[1].j AS i FROM near WHERE len(left_) > 0)),
+ends AS (SELECT tour, n, km + {leg('here', 'b')} AS km FROM every WHERE len(left_) = 0 UNION ALL SELECT tour, n, km + {leg('here', 'b')} FROM near WHERE len(left_) = 0)
+SELECT tour, CAST(n AS INTEGER) AS stops, round(min(km), 6) AS km FROM ends GROUP BY 1, 2"""
+
+
+@query("X6_ordered_stops", _orders_sql())
+def x6(spark, d):
+    """A tour a customer, of none to seven stops."""
+    n = F.col("c_custkey")
+    at = lambda i: F.struct((F.lit(41.88) + (n * (i * 4 + 7) % 197 - 98) * 4e-4).alias("lat"), (F.lit(-87.63) + (n * (i * 6 + 11) % 193 - 96) * 4e-4).alias("lon"))
+    points = F.filter(F.transform(F.array(*[F.lit(i) for i in range(7)]), lambda i: F.when(i < n % 8, at(i + 1))), lambda p: p.isNotNull())
+    tours = table(spark, d, "customer").select(n.alias("tour"), at(F.lit(0)).alias("start"), points.alias("stops"), at(F.lit(9)).alias("end"))
+    return stops.ordered(tours, EXACT).select("tour", F.size("stops").alias("stops"), F.round("km", 6).alias("km"))

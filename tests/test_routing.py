@@ -1,13 +1,14 @@
 """Routes against Dijkstra's algorithm, refined tours against a plain loop."""
 
 import heapq
+import itertools
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from spokeframe.operators import routing
+from spokeframe.operators import routing, stops
 
 PIECES = "lat1 double, lon1 double, lat2 double, lon2 double, profiles array<string>"
 REQUESTS = "request long, waypoints array<struct<lat:double,lon:double>>, surface string, note string"
@@ -158,3 +159,35 @@ def test_nodes_are_told_apart(spark, lat, lon):
     rows = [(lat + i * 1e-6, lon + j * 1e-6) for i in range(3) for j in range(3)]
     found = spark.createDataFrame(rows, "lat double, lon double").select(routing.node_of(F.col("lat"), F.col("lon")).alias("n")).collect()
     assert len({r.n for r in found}) == 9
+
+
+def test_orders_of_stops(spark):
+    """Few stops against all permutations, many against the loop that takes the nearest."""
+    rnd = random.Random(6)
+    some = lambda: (41.9 + rnd.uniform(-0.1, 0.1), -87.6 + rnd.uniform(-0.1, 0.1))
+    length = lambda line: sum(metres(a, b) for a, b in zip(line, line[1:])) / 1000
+    rows = []
+    for i in range(60):
+        start = some()
+        rows.append((i, start, [some() for _ in range(i % 8)], start if i % 3 else some(), "x"))
+    rows += [(100, some(), [rows[5][1]] * 3, some(), "x"), (101, some(), [some() for _ in range(8)], some(), "x"), (102, some(), [some() for _ in range(15)], some(), "x")]
+    point = "struct<lat:double,lon:double>"
+    df = spark.createDataFrame(rows, f"tour long, start {point}, stops array<{point}>, end {point}, note string")
+    got = {r.tour: r for r in stops.ordered(df).collect()}
+    assert len(got) == len(rows)
+    for i, start, points, end, _ in rows:
+        r = got[i]
+        assert sorted(r.places) == list(range(len(points))) and r.note == "x"
+        path = [start, *(points[k] for k in r.places), end]
+        assert abs(r.km - length(path)) < 1e-9
+        if len(points) <= 8:
+            assert abs(r.km - min(length([start, *p, end]) for p in itertools.permutations(points))) < 1e-9
+        else:
+            here, left, want = start, list(range(len(points))), []
+            while left:
+                k = min(left, key=lambda j: (metres(here, points[j]), j))
+                left.remove(k)
+                want.append(k)
+                here = points[k]
+            assert r.places == want
+    assert stops.ordered(df.limit(0)).count() == 0
