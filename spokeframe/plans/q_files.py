@@ -112,11 +112,13 @@ def s14(spark, d):
 
 
 @query("S14_roads_of_tracks", f"""
-WITH {SEGMENTS}, mid AS (SELECT vec_id * 100 + idx AS edge, lat1, lon1, lat2, lon2, (vec_id * 100 + idx) % 2 = 0 AS bent, (lat1 + lat2) / 2 + 1e-4 AS lat3, (lon1 + lon2) / 2 AS lon3 FROM seg WHERE lat2 IS NOT NULL)
+WITH {SEGMENTS}, six AS (SELECT vec_id, idx, round(lat1, 6) AS lat1, round(lon1, 6) AS lon1, round(lat2, 6) AS lat2, round(lon2, 6) AS lon2 FROM seg WHERE lat2 IS NOT NULL),
+mid AS (SELECT vec_id * 100 + idx AS edge, lat1, lon1, lat2, lon2, (vec_id * 100 + idx) % 2 = 0 AS bent, (lat1 + lat2) / 2 + 1e-4 AS lat3, (lon1 + lon2) / 2 AS lon3 FROM six)
 SELECT edge, 0 AS place, round(lat1, 8) AS lat1, round(lon1, 8) AS lon1, round(CASE WHEN bent THEN lat3 ELSE lat2 END, 8) AS lat2, round(CASE WHEN bent THEN lon3 ELSE lon2 END, 8) AS lon2 FROM mid UNION ALL SELECT edge, 1, round(lat3, 8), round(lon3, 8), round(lat2, 8), round(lon2, 8) FROM mid WHERE bent""", "points")
 def s14_tracks(spark, d):
-    """The pieces of all tracks as a graph of roads."""
-    seg = t.tracks(spark, d).select("vec_id", F.posexplode(geo.segments(F.col("coords"))).alias("idx", "s")).select((F.col("vec_id") * 100 + F.col("idx")).alias("edge"), "s.*")
+    """The pieces of all tracks, to six decimals, as a graph of roads."""
+    seg = t.tracks(spark, d).select("vec_id", F.posexplode(geo.segments(F.col("coords"))).alias("idx", "s"))
+    seg = seg.select((F.col("vec_id") * 100 + F.col("idx")).alias("edge"), *[F.round(f"s.{c}", 6).alias(c) for c in ("lat1", "lon1", "lat2", "lon2")])
     return _graph(spark, seg)
 
 
