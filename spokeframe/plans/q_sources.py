@@ -86,10 +86,10 @@ def s2(spark, d):
 
 
 @query("W8_smoothed_series", """
-WITH v AS (SELECT event_id, ts, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS x FROM events), n AS (SELECT *, count(x) OVER (ORDER BY ts, event_id) AS k FROM v), vals AS (SELECT k, x FROM n WHERE x IS NOT NULL),
+WITH v AS (SELECT event_id, ts, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 3e0 END AS x FROM events), n AS (SELECT *, count(x) OVER (ORDER BY ts, event_id) AS k FROM v), vals AS (SELECT k, x FROM n WHERE x IS NOT NULL),
 near AS (SELECT p.k, sum(CASE WHEN q.k = 1 THEN 1 ELSE 15e-2 END * pow(85e-2, p.k - q.k) * q.x) AS level FROM vals p JOIN vals q ON q.k BETWEEN p.k - 400 AND p.k GROUP BY 1)
 SELECT event_id, round(level, 7) AS smoothed FROM n LEFT JOIN near USING (k)""")
 def w8(spark, d):
-    """One series of all events; every seventh has no value. Older values than 400 weigh less than a double shows."""
-    e = table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("x"))
+    """One series of thirds of all events' values; every seventh has none. Older values than 400 weigh less than a double shows."""
+    e = table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value") / 3).alias("x"))
     return smoothing.smoothed(e, "x", ["ts", "event_id"]).select("event_id", F.round("smoothed", 7).alias("smoothed"))
