@@ -1,4 +1,4 @@
-"""Queries of naming, lookups, exports and the forms of streams over stored tables."""
+"""Queries of lookups, exports and the forms of streams over stored tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import naming, rollups
+from ..operators import rollups
 from ..operators.locations import direction
 from ..registry import query
 from ..shared import running, shared_dir, table
@@ -17,18 +17,6 @@ from ..streaming import fresh
 from ..streaming.stateful import latest_fresh
 from .q_rollups import geod
 
-STREETS = ("Oak Street", "Lake Access Path", "Main Street", "West River Drive", "Elm Avenue")
-
-
-@query("X12_S18_P26_route_names")
-def x12(spark, d):
-    """Streets by cell of the map, as a stand-in for looked-up places."""
-    tracks = t.routes(spark, d).select(F.col("activity_id").alias("key"), "coords", "direction", (F.col("elevation_gain") / (F.col("distance") / 1000)).alias("gain_per_km"))
-    at = naming.sample_points(tracks, "key").select("lat", "lon")
-    cell = F.pmod(F.floor(F.col("lat") * 200) + F.floor(F.col("lon") * 200), F.lit(len(STREETS))).cast("int")
-    details = at.select("lat", "lon", F.get(F.array(*[F.lit(s) for s in STREETS]), cell).alias("street"), F.when(cell == 2, "service").otherwise("residential").alias("highway"))
-    return naming.name_routes(tracks, details)
-
 
 @query("P3_direction", f"""
 WITH x AS (SELECT id, {geod('start_lat', 'start_lon', '4188e-2', '-8763e-2')} AS sh, {geod('start_lat', 'start_lon', '4192e-2', '-8766e-2')} AS sw, {geod('end_lat', 'end_lon', '4188e-2', '-8763e-2')} AS eh, {geod('end_lat', 'end_lon', '4192e-2', '-8766e-2')} AS ew FROM activities)

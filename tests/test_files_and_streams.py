@@ -7,7 +7,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spokeframe.operators import naming
 from spokeframe.operators.rollups import upsert, upsert_counts
 from spokeframe.plans.analysis import analyse
 from spokeframe.config import EngineConfig
@@ -135,13 +134,6 @@ def test_event_windows(spark, tmp_path):
     assert sorted(r.n for r in spark.table("w").collect()) == [1, 1, 2]
 
 
-def test_names(spark):
-    segs = [(1, 1, "Oak St", None, 5, 50.0), (1, 2, "Lake Path", None, 2, 20.0), (1, 3, "Elm St", "residential", 3, 30.0), (2, 1, "Oak St", None, 5, 60.0), (2, 2, "Elm St", None, 4, 40.0), (3, 1, "A", None, 1, 30.0), (3, 2, "B", None, 1, 40.0), (3, 3, "C", None, 1, 30.0), (4, 1, "X", "service", 9, 100.0)]
-    kinds = [(1, "loop", None, 20.0), (2, "out-and-back", "home_to_work", None), (3, "point-to-point", "work_to_home", 40.0), (4, "loop", None, None)]
-    got = naming.names(spark.createDataFrame(segs, "key long, run int, street string, highway string, points long, pct double"), spark.createDataFrame(kinds, "key long, type string, direction string, gain_per_km double"))
-    assert {r.key: r["name"] for r in got.collect()} == {1: "Loop via Oak St + Elm St (rolling)", 2: "Oak St to Elm St and back → Work", 3: "A → B → C → Home (hilly)", 4: "Route 4"}
-
-
 def test_analysis(spark):
     rnd = random.Random(9)
     home, work, rows = (41.88, -87.63), (41.95, -87.70), []
