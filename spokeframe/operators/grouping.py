@@ -158,26 +158,36 @@ def consolidate(rides: DataFrame, within_km: float, ratio: float = 1.25) -> Data
 def distinct_names(groups: DataFrame) -> DataFrame:
     """groups: direction, group_id, name, distance, elevation_gain, ord. Adds unique_name, different for all groups of a direction.
 
-    Names that clash get the terrain, where that differs; then short or long, where that differs; then a number. Each
-    step numbers only what still clashes, by windows over the groups of one name.
+    Names that clash get the terrain, where that differs; then short or long, where that differs; then a number. What clashes is
+    counted by aggregation, middles and numbers range by range, so a name that most groups have is spread over tasks.
     """
     per_km = F.col("elevation_gain") / (F.nullif("distance", F.lit(0.0)) / 1000.0)
     g = groups.withColumn("terrain", F.when(per_km > 30, "hilly").when(per_km > 15, "rolling").otherwise("flat"))
     key = ["direction", "name"]
-    w = Window.partitionBy(*key)
-    kinds = F.size(F.collect_set("terrain").over(w))
-    g = g.withColumn("base", F.when((F.count("*").over(w) > 1) & (kinds > 1), F.concat_ws(" — ", "name", "terrain")).otherwise(F.col("name")))
-    key.append("base")
-    w = Window.partitionBy(*key)
-    place = F.row_number().over(w.orderBy("distance", "ord")) - 1
-    g = g.withColumn("place", place).withColumn("n", F.count("*").over(w))
-    g = g.withColumn("median", F.max(F.when(F.col("place") == F.floor(F.col("n") / 2), F.col("distance"))).over(w))
-    g = g.withColumn("reach", F.when(F.col("distance") < F.col("median"), "short").otherwise("long"))
-    g = g.withColumn("base2", F.when((F.col("n") > 1) & (F.size(F.collect_set("reach").over(w)) > 1), F.concat_ws(" — ", "base", "reach")).otherwise(F.col("base")))
-    key.append("base2")
-    k = F.row_number().over(Window.partitionBy(*key).orderBy("ord"))
-    g = g.withColumn("k", k).withColumn("numbered", F.when(F.col("k") == 1, F.col("base2")).otherwise(F.concat_ws(" #", "base2", F.col("k").cast("string"))))
-    k = F.row_number().over(Window.partitionBy("direction", "numbered").orderBy("ord"))
-    g = g.withColumn("again", k)
-    unique = F.when(F.col("again") == 1, F.col("numbered")).otherwise(F.concat_ws(" #", "numbered", F.col("again").cast("string")))
-    return g.withColumn("unique_name", unique).select(*groups.columns, "unique_name")
+    counted = _beside(g, g.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("terrain").alias("kinds")), key)
+    clash = (F.col("n") > 1) & (F.col("kinds") > 1)
+    g = counted.withColumn("base", F.when(clash, F.concat_ws(" — ", "name", "terrain")).otherwise(F.col("name"))).drop("n", "kinds")
+
+    key = [*key, "base"]
+    placed = _beside(running(g, [F.col("distance").asc(), F.col("ord").asc()], by=key), g.groupBy(*key).agg(F.count("*").alias("n")), key)
+    middles = placed.filter(F.col("place") == F.floor(F.col("n") / 2)).select(*key, F.col("distance").alias("median"))
+    g = _beside(placed.drop("place"), middles, key).withColumn("reach", F.when(F.col("distance") < F.col("median"), "short").otherwise("long"))
+    g = _beside(g, g.groupBy(*key).agg(F.count_distinct("reach").alias("sides")), key)
+    clash = (F.col("n") > 1) & (F.col("sides") > 1)
+    g = g.withColumn("base2", F.when(clash, F.concat_ws(" — ", "base", "reach")).otherwise(F.col("base")))
+
+    def numbered(g, name, by):
+        g = running(g, [F.col("ord").asc()], by=by)
+        return g.withColumn(f"{name}_numbered", F.when(F.col("place") == 0, F.col(name)).otherwise(F.concat_ws(" #", name, (F.col("place") + 1).cast("string")))).drop("place")
+
+    g = numbered(numbered(g, "base2", [*key, "base2"]), "base2_numbered", ["direction", "base2_numbered"])
+    return g.withColumnRenamed("base2_numbered_numbered", "unique_name").select(*groups.columns, "unique_name")
+
+
+def _beside(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """rows with what was found for their key; nulls meet nulls."""
+    renamed = found.withColumnsRenamed({c: f"__{c}" for c in key})
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(renamed, same).drop(*[f"__{c}" for c in key])

@@ -142,3 +142,10 @@ def upsert_counts(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     joined = old.select(F.col(key).alias("a")).join(new.select(F.col(key).alias("b")), F.col("a") == F.col("b"), "full")
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     return joined.agg(n(F.col("a").isNull()).alias("new"), n(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("updated"), F.count("*").alias("total"), n(F.col("a").isNotNull()).alias("previous_total"))
+
+
+def members(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """rows with `place`, from 0, in the order within their `by`, and `uses`, how many have it. Places are counted range by range, counts come from partial sums."""
+    placed = running(rows, order, by=[by])
+    uses = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("uses"))
+    return placed.join(uses, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")

@@ -55,13 +55,13 @@ def w2(spark, d):
 
 @query("A25_A26_name_groups", """
 WITH r AS (SELECT trim(name) AS name, id, start_date FROM activities WHERE trim(name) NOT IN ('', 'Morning Ride', 'Afternoon Ride', 'Evening Ride', 'Lunch Ride'))
-SELECT name, count(*) AS uses, string_agg(CAST(id AS VARCHAR), ',' ORDER BY start_date DESC NULLS LAST, id) AS ids FROM r GROUP BY name""", "activities")
+SELECT name, count(*) OVER (PARTITION BY name) AS uses, row_number() OVER (PARTITION BY name ORDER BY start_date DESC NULLS LAST, id) - 1 AS place, id FROM r""", "activities")
 def a25(spark, d):
+    """A row a member of a name, newest first, so that a common name makes no long row."""
     from ..config import GENERIC_NAMES
 
-    rides = t.activities(spark, d).select(F.trim("name").alias("name"), "id", F.coalesce("start_date", F.lit("")).alias("start_date"))
-    newest = F.sort_array(F.collect_list(F.struct("start_date", (-F.col("id")).alias("minus"))), asc=False)
-    return rides.filter(~F.col("name").isin("", *GENERIC_NAMES)).groupBy("name").agg(F.count("*").alias("uses"), F.array_join(F.transform(newest, lambda x: (-x["minus"]).cast("string")), ",").alias("ids"))
+    rides = t.activities(spark, d).select(F.trim("name").alias("name"), "id", "start_date").filter(~F.col("name").isin("", *GENERIC_NAMES))
+    return rollups.members(rides, "name", [F.col("start_date").desc_nulls_last(), F.col("id").asc()]).select("name", "uses", "place", "id")
 
 
 @query("A27_primary_name", "WITH n AS (SELECT id % 10 AS grp, trim(name) AS name, count(*) AS k FROM activities WHERE name IS NOT NULL GROUP BY 1, 2) SELECT grp, arg_max(name, (k, -length(name), name)) AS name FROM n GROUP BY 1", "activities")

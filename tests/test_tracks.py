@@ -4,11 +4,12 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spokeframe.config import COMMUTE, LONG_RIDE
 from spokeframe.functions import geo, polyline
-from spokeframe.operators import coverage, exploration, graph, grouping, locations, naming, similarity
+from spokeframe.operators import coverage, exploration, graph, grouping, locations, naming, rollups, similarity
 from spokeframe.operators.asof import asof_join
 from spokeframe.operators.ranking import runs
 
@@ -19,6 +20,14 @@ def line(n, lat=41.88, lon=-87.63, step=0.001):
     return [(lat + i * step, lon + (i % 3) * step / 2) for i in range(n)]
 
 
+@pytest.fixture
+def spread(spark):
+    """Small tables lie in many ranges too."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def frame(spark, tracks):
     return spark.createDataFrame([(i, t) for i, t in enumerate(tracks)], TRACK)
 
@@ -168,7 +177,7 @@ def test_home_and_work(spark):
     assert {r.d: r["count"] for r in ways} == {"home_to_work": 10, "work_to_home": 10}
 
 
-def test_distinct_names(spark):
+def test_distinct_names(spark, spread):
     rnd = random.Random(4)
     rows = [(rnd.choice("ab"), i, rnd.choice(["River", "Hill", "River #2", None]), float(rnd.choice([0, 5000, 5000, 9000, 12000])), float(rnd.choice([10, 100, 300])), i) for i in range(80)]
     df = spark.createDataFrame(rows, "direction string, group_id long, name string, distance double, elevation_gain double, ord long").filter("name is not null")
@@ -319,14 +328,27 @@ def geo_bearing(a, b):
     return math.degrees(math.atan2(math.sin(d) * math.cos(lb), math.cos(la) * math.sin(lb) - math.sin(la) * math.cos(lb) * math.cos(d))) % 360
 
 
-def test_asof(spark):
+def test_asof(spark, spread):
+    """One key has half of all rows, which lie in many ranges; times tie; keys may be null and may be unknown to either side."""
     rnd = random.Random(8)
-    asked = [(k, rnd.choice("ab"), rnd.randrange(50)) for k in range(40)]
-    known = [(100 + k, rnd.choice("abc"), rnd.randrange(50)) for k in range(30)]
+    pick = lambda: rnd.choice(["a", "a", "a", "b", "c", None])
+    asked = [(k, pick(), rnd.randrange(90)) for k in range(400)] + [(900, "d", 5), (901, "a", None)]
+    known = [(1000 + k, pick(), rnd.randrange(10, 90, 3)) for k in range(60)] + [(2000, "e", 1)]
     a, b = spark.createDataFrame(asked, "id long, key string, at long"), spark.createDataFrame(known, "v long, key string, at long")
-    got = {r.id: r.v for r in asof_join(a, b, "key", "at", ["v"]).collect()}
-    want = {i: max(((at, v) for v, kk, at in known if kk == k and at <= t), default=(None, None))[1] for i, k, t in asked}
+    got = {r.id: (r.v, r.found_at) for r in asof_join(a, b, "key", "at", ["v"]).collect()}
+    want = {i: max(((at, v) for v, kk, at in known if kk == k and t is not None and at <= t), default=(None, None))[::-1] for i, k, t in asked}
     assert got == want
+    assert asof_join(a.limit(0), b, "key", "at", ["v"]).count() == 0
+    assert {r.v for r in asof_join(a, b.limit(0), "key", "at", ["v"]).collect()} == {None}
+
+
+def test_members(spark, spread):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["x", "x", "x", "y", None]), rnd.randrange(40)) for i in range(500)]
+    got = {r.id: (r.uses, r.place) for r in rollups.members(spark.createDataFrame(rows, "id long, name string, at long"), "name", [F.col("at").desc(), F.col("id").asc()]).collect()}
+    for name in ("x", "y", None):
+        own = sorted((r for r in rows if r[1] == name), key=lambda r: (-r[2], r[0]))
+        assert [got[r[0]] for r in own] == [(len(own), k) for k in range(len(own))]
 
 
 def test_runs(spark):
