@@ -54,11 +54,13 @@ def g10(spark, d):
     return found.select("a", "b", F.round("frechet", 9).alias("frechet"), F.round("percentile_hausdorff", 9).alias("percentile_hausdorff"), F.round("similarity", 7).alias("similarity"))
 
 
-LONG_RIDES = f"""wide AS (SELECT vec_id, cos(radians(avg(lat))) * 111.32e0 AS wide FROM points GROUP BY 1), km AS (SELECT vec_id, idx, lat * 111.32e0 AS lat, lon * wide AS lon FROM points JOIN wide USING (vec_id)),
+SHAPES = """wide AS (SELECT vec_id, cos(radians(avg(lat))) * 111.32e0 AS wide FROM points GROUP BY 1), km AS (SELECT vec_id, idx, lat * 111.32e0 AS lat, lon * wide AS lon FROM points JOIN wide USING (vec_id)),
 step AS (SELECT vec_id, idx, lat, lon, sqrt(pow(lead(lat) OVER w - lat, 2) + pow(lead(lon) OVER w - lon, 2)) AS length, sqrt(pow(lat - first(lat) OVER w, 2) + pow(lon - first(lon) OVER w, 2)) AS out_ FROM km WINDOW w AS (PARTITION BY vec_id ORDER BY idx)),
-shape AS (SELECT vec_id, sum(length) AS length, avg(lat) AS y, avg(lon) AS x, arg_max(lat, out_) AS far_y, arg_max(lon, out_) AS far_x FROM step GROUP BY 1),
+shape AS (SELECT vec_id, sum(length) AS length, avg(lat) AS y, avg(lon) AS x, arg_max(lat, out_) AS far_y, arg_max(lon, out_) AS far_x FROM step GROUP BY 1)"""
+SHAPED_ALIKE = "greatest(p.length, q.length) / least(p.length, q.length) <= 1.25e0 AND sqrt(pow(p.y - q.y, 2) + pow(p.x - q.x, 2)) <= 5 AND sqrt(pow(p.far_y - q.far_y, 2) + pow(p.far_x - q.far_x, 2)) <= 10"
+LONG_RIDES = f"""{SHAPES},
 reps AS (SELECT activity_id, group_id FROM (SELECT activity_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY duration, activity_id) AS rank, count(*) OVER (PARTITION BY group_id) AS n FROM routes) WHERE rank = n // 2 + 1),
-met AS (SELECT p.vec_id AS a, q.vec_id AS b FROM shape p JOIN shape q ON greatest(p.length, q.length) / least(p.length, q.length) <= 1.25e0 AND sqrt(pow(p.y - q.y, 2) + pow(p.x - q.x, 2)) <= 5 AND sqrt(pow(p.far_y - q.far_y, 2) + pow(p.far_x - q.far_x, 2)) <= 10 WHERE q.vec_id IN (SELECT activity_id FROM reps)),
+met AS (SELECT p.vec_id AS a, q.vec_id AS b FROM shape p JOIN shape q ON {SHAPED_ALIKE} WHERE q.vec_id IN (SELECT activity_id FROM reps)),
 {PATHS.format(points='km', pairs='met')}, near AS (SELECT a AS activity_id, group_id, (frechet + greatest(list_max(ab), list_max(ba))) / 2 AS distance_km FROM path JOIN reps ON activity_id = b)"""
 
 
@@ -111,6 +113,23 @@ def x4(spark, d):
     return grouping.consolidate(_named(spark, d), 2.0)
 
 
+@query("X4_A27_consolidated_copies", f"""
+WITH RECURSIVE {SHAPES}, named AS (SELECT activity_id AS id, distance, 'Loop ' || (activity_id // 3) || CASE WHEN activity_id % 41 = 0 THEN ' again' ELSE '' END AS name, DATE '2001-01-01' + CAST(activity_id * 7 % 200 AS INTEGER) AS day FROM routes),
+per AS (SELECT name, min(id) AS first_, count(*) AS n, avg(distance) AS distance FROM named GROUP BY 1), newest AS (SELECT name, id FROM (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY day DESC, id) AS k FROM named) WHERE k = 1), reps AS (SELECT * FROM per JOIN newest USING (name)),
+met AS (SELECT x.id AS a, y.id AS b FROM reps x JOIN reps y ON x.first_ < y.first_ AND greatest(x.distance, y.distance) / least(x.distance, y.distance) <= 1.25e0 JOIN shape p ON p.vec_id = x.id JOIN shape q ON q.vec_id = y.id WHERE {SHAPED_ALIKE}),
+{PATHS.format(points='km', pairs='met')}, near AS (SELECT a, b FROM path WHERE (frechet + greatest(list_max(ab), list_max(ba))) / 2 < 2),
+earlier AS (SELECT first_ AS v, row_number() OVER (ORDER BY first_) AS n, coalesce(before, []) AS before FROM reps LEFT JOIN (SELECT y.first_, list(x.first_) AS before FROM near JOIN reps x ON x.id = a JOIN reps y ON y.id = b GROUP BY 1) USING (first_)),
+fold(n, pivots) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.n, CASE WHEN list_has_any(o.before, pivots) THEN pivots ELSE list_append(pivots, o.v) END FROM fold JOIN earlier o ON o.n = fold.n + 1),
+taken AS (SELECT v AS first_, coalesce(list_min(list_intersect(before, (SELECT arg_max(pivots, n) FROM fold))), v) AS of_ FROM earlier), best AS (SELECT of_, arg_max(name, (n, -length(name), -first_)) AS primary_name FROM taken JOIN reps USING (first_) GROUP BY 1)
+SELECT name, primary_name FROM taken JOIN reps USING (first_) JOIN best USING (of_)""", "points=twin_points routes=twin_routes")
+def x4_copies(spark, d):
+    """Names of a few rides each, of which many are copies of one way."""
+    vec = F.col("activity_id")
+    name = F.concat(F.lit("Loop "), F.floor(vec / 3).cast("string"), F.when(vec % 41 == 0, " again").otherwise(""))
+    day = F.date_add(F.lit("2001-01-01").cast("date"), (vec * 7 % 200).cast("int")).cast("string")
+    return grouping.consolidate(t.twins(spark, d).withColumn("name", name).withColumn("start_date", day), 2.0)
+
+
 def _merged(stored: str) -> str:
     """New tracks, every fifth, one after the other into the stored groups: CTE base of direction, group_id, group_ord and members."""
     return f"""
