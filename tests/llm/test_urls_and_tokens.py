@@ -1,5 +1,6 @@
 """URL filter and token counts against plain computations."""
 
+import random
 import re
 
 import public_tokenizers
@@ -99,3 +100,16 @@ def test_counts_of_repeated_rows_and_rows_without_an_id(spark, odd_docs):
     want = Counter((r.doc_id, len(encode.encode_ordinary(r.text or ""))) for r in given)
     assert Counter((r.doc_id, r.doc_tokens) for r in got if r.section == 0) == want
     assert sum(r.n_tokens for r in got) == sum(len(encode.encode_ordinary(r.text or "")) for r in given)
+
+
+def test_rules_are_those_of_trying_each():
+    """Also rules that tie in length, two of one host and path, and hosts and paths that are empty."""
+    rnd = random.Random(7)
+    hosts, paths = ["com", "a.com", "b.a.com", "aa.com", "net", "b.net", "", "com."], ["", "/", "/en/", "/en/7", "/de/", "/fr/"]
+    for _ in range(300):
+        rules = tuple((rnd.choice(["allow", "block"]), rnd.choice(hosts), rnd.choice(paths)) for _ in range(rnd.randrange(12)))
+        held = urlfilter.rules_by_host(rules)
+        for host in [*hosts, "x.b.a.com", "xa.com", "x.com.", "org"]:
+            for path in [*paths, "/en/70", "/e"]:
+                fits = [(len(h + p), h + p, action) for action, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+                assert urlfilter.find_rule(host, path, held) == ((max(fits)[2], max(fits)[1]) if fits else None)
