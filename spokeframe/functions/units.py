@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,17 +37,24 @@ def truthy(x: Column) -> Column:
     return F.when(x != 0, x)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """The text with so many decimals. Doubles are first taken to fourteen decimals, then halves go up, so what division makes of a half is one too."""
+    e14 = F.rint(x * 1e14)
+    exact = e14.cast("long").cast("decimal(20,0)") * F.lit(Decimal("1e-14"))
+    return F.when(F.abs(e14) < 9e18, F.round(exact, digits).cast(f"decimal(38,{digits})").cast("string")).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+
+
 def distance_text(metres: Column, imperial: bool = False, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f mi" if imperial else f"%.{digits}f km", metres / (METRES_PER_MILE if imperial else 1000.0))
+    return F.concat(fixed(metres / (METRES_PER_MILE if imperial else 1000.0), digits), F.lit(" mi" if imperial else " km"))
 
 
 def speed_text(metres_per_second: Column, imperial: bool = False) -> Column:
-    return F.format_string("%.1f mph" if imperial else "%.1f km/h", metres_per_second * (2.23694 if imperial else 3.6))
+    return F.concat(fixed(metres_per_second * (2.23694 if imperial else 3.6), 1), F.lit(" mph" if imperial else " km/h"))
 
 
 def temperature_text(celsius: Column, imperial: bool = False) -> Column:
-    return F.format_string("%.0f°F" if imperial else "%.0f°C", celsius * 9 / 5 + 32 if imperial else celsius)
+    return F.concat(fixed(celsius * 9 / 5 + 32 if imperial else celsius, 0), F.lit("°F" if imperial else "°C"))
 
 
 def elevation_text(metres: Column, imperial: bool = False) -> Column:
-    return F.format_string("%.0f ft" if imperial else "%.0f m", metres * 3.28084 if imperial else metres)
+    return F.concat(fixed(metres * 3.28084 if imperial else metres, 0), F.lit(" ft" if imperial else " m"))
