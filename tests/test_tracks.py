@@ -74,6 +74,30 @@ def test_straight_tracks_have_no_common_area(spark):
     assert [tuple(r) for r in similarity.candidate_pairs(df, "key", ["g"]).collect()] == [(2, 3)]
 
 
+def test_candidates_meet_once_in_small_parts(spark, monkeypatch):
+    """Over several cells, whose parts are cut to a few rows and points."""
+    for name, value in (("PART", 5), ("POINTS", 40), ("FINE", 2), ("FEW", 3)):
+        monkeypatch.setattr(similarity, name, value)
+    rnd = random.Random(5)
+    tracks = [[(41.88 + rnd.gauss(0, 0.03) + i * 0.002 * rnd.random(), -87.63 + rnd.gauss(0, 0.002) + i * 0.001) for i in range(rnd.choice([1, 5, 8, 30]))] for _ in range(70)]
+    tracks += [[(41.88, -87.63 + i * 0.001) for i in range(4)]] * 2 + [[], None]
+    df = spark.createDataFrame([(i * 7 % 79, i % 2 if i % 20 else None, t) for i, t in enumerate(tracks)], "key long, g long, coords array<struct<lat:double,lon:double>>")
+    g = similarity.with_geometry(df.filter(F.size("coords") > 0))
+    want = sorted((r.a, r.b) for r in g.alias("a").join(g.alias("b"), F.col("a.g") == F.col("b.g")).filter("a.key < b.key").filter(similarity.passes("a", "b")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).collect())
+    for paths in (False, True):
+        assert sorted((r.a, r.b) for r in similarity.candidate_pairs(df, "key", ["g"], paths=paths).collect()) == want
+    assert len(want) > 100
+    assert similarity.candidate_pairs(df.limit(0), "key", ["g"]).count() == 0
+
+
+def test_hausdorff_of_all_pairs_writes_no_pair(spark, monkeypatch):
+    """A table of pairs with both tracks grows with the square of the tracks."""
+    monkeypatch.setattr(similarity, "dealt", None)
+    from spokeframe.queries import QUERIES
+
+    assert QUERIES["G11_hausdorff"](spark, "/root/testdata/sf0.001").count() > 1000
+
+
 def greedy(keys, edges):
     out, left = {}, list(keys)
     while left:
