@@ -98,6 +98,15 @@ def test_hausdorff_of_all_pairs_writes_no_pair(spark, monkeypatch):
     assert QUERIES["G11_hausdorff"](spark, "/root/testdata/sf0.001").count() > 1000
 
 
+def test_similarity_of_all_pairs_writes_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "dealt", None)
+    tracks = [line(6, lat=41.88 + i * 0.0001) for i in range(5)] + [line(6, lat=45.0), [], None]
+    df = frame(spark, tracks).withColumn("g", F.lit(1))
+    got = {(r.a, r.b): r for r in similarity.commute_pairs(df, "key", ["g"]).collect()}
+    assert sorted(got) == [(i, j) for i in range(5) for j in range(i + 1, 5)]
+    assert all(abs(r.frechet - frechet(tracks[a], tracks[b])) < 1e-12 and r.percentile_hausdorff <= r.frechet and 0 < r.similarity < 1 for (a, b), r in got.items())
+
+
 def greedy(keys, edges):
     out, left = {}, list(keys)
     while left:
