@@ -3,7 +3,7 @@
 A provider's list is stored as a table of pages: number from 0 on, newest and oldest date, and the answer's JSON. As a batch
 source it is split by row groups; conditions on dates are pushed to it, so pages outside of them are not opened. As a stream
 it pages backward, a page a batch, and its offset is the page and the oldest date seen: a query that is started again goes on
-where it stopped. Rows of pages are read from JSON by Spark.
+where it stopped. Rows of pages are read from JSON by Spark. Backfill streams numbers and dates alone, three times as many pages a batch as came before, and reads the pages of a batch by the batch source.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
 
 from ..functions import polyline
-from ..shared import qualified, running
+from ..shared import materialise, qualified, running
 from . import readers, store
 
 NAME = "provider_pages"
@@ -59,9 +59,9 @@ class PageReader(DataSourceReader):
         self.filters: list[tuple[str, str, str]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Comparisons of the dates; Spark keeps the others."""
+        """Comparisons of the dates and numbers; Spark keeps the others."""
         for f in filters:
-            if type(f) in COMPARE and f.attribute[0] in ("newest", "oldest"):
+            if type(f) in COMPARE and f.attribute[0] in ("newest", "oldest", "page"):
                 self.filters.append((f.attribute[0], COMPARE[type(f)], f.value))
             else:
                 yield f
@@ -90,28 +90,32 @@ class PageReader(DataSourceReader):
 
 
 class BackwardReader(SimpleDataSourceStreamReader):
-    """A page a batch. After a page without an older date, and where there is no page, the offset stays as it is."""
+    """A page a batch, or with `growing` three times as many as came before, `most` at most, and without their bodies. After a page without an older date, and where there is no page, the offset stays as it is."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, growing: bool = False, most: int | None = None) -> None:
+        self.path, self.growing, self.most = path, growing, most
 
     def initialOffset(self) -> dict[str, Any]:
         return {"page": 0, "oldest": None, "end": False}
 
-    def _page(self, number: int) -> list[tuple[int, str, str, str]]:
-        found = _opened(self.path).to_table(filter=ds.field("page") == number, columns=["page", "newest", "oldest", "body"]).to_pylist()
-        return [tuple(r.values()) for r in found]
+    def _pages(self, first: int, end: int) -> list[tuple[int, str, str, str | None]]:
+        columns = ["page", "newest", "oldest", *([] if self.growing else ["body"])]
+        found = _opened(self.path).to_table(filter=(ds.field("page") >= first) & (ds.field("page") < end), columns=columns).to_pylist()
+        return [(r["page"], r["newest"], r["oldest"], r.get("body")) for r in sorted(found, key=lambda r: r["page"])]
 
     def read(self, start: dict[str, Any]) -> tuple[Iterator[tuple], dict[str, Any]]:
-        rows = [] if start["end"] else self._page(start["page"])
-        if not rows:
-            return iter([]), start
-        oldest = rows[0][2]
-        end = oldest is None or (start["oldest"] is not None and oldest >= start["oldest"])
-        return iter(rows), {"page": start["page"] + 1, "oldest": oldest, "end": end}
+        first, many = start["page"], max(1, 3 * start["page"]) if self.growing else 1
+        rows, at = [], start
+        for row in [] if start["end"] else self._pages(first, first + min(many, self.most or many)):
+            if at["end"] or row[0] != at["page"]:
+                break
+            end = row[2] is None or (at["oldest"] is not None and row[2] >= at["oldest"])
+            rows.append(row)
+            at = {"page": row[0] + 1, "oldest": row[2], "end": end}
+        return iter(rows), at
 
     def readBetweenOffsets(self, start: dict[str, Any], end: dict[str, Any]) -> Iterator[tuple]:
-        return iter([row for number in range(start["page"], end["page"]) for row in self._page(number)])
+        return iter(self._pages(start["page"], end["page"]))
 
 
 class ProviderPages(DataSource):
@@ -126,7 +130,8 @@ class ProviderPages(DataSource):
         return PageReader(self.options["path"])
 
     def simpleStreamReader(self, schema: Any) -> BackwardReader:
-        return BackwardReader(self.options["path"])
+        most = self.options.get("most")
+        return BackwardReader(self.options["path"], self.options.get("growing") == "true", int(most) if most else None)
 
 
 def register(spark: SparkSession) -> None:
@@ -143,9 +148,9 @@ def pages(spark: SparkSession, path: str, after: str | None = None, before: str
     return found.filter(F.col("oldest") < before) if before is not None else found
 
 
-def rows_of(paged: DataFrame, schema: str) -> DataFrame:
+def rows_of(paged: DataFrame, schema: str, *beside: str) -> DataFrame:
     ddl = readers._struct(schema.replace("\n", " "))
-    return paged.select(F.inline(F.from_json("body", f"array<struct<{ddl}>>")))
+    return paged.select(*beside, F.inline(F.from_json("body", f"array<struct<{ddl}>>")))
 
 
 def fetch(spark: SparkSession, path: str, after: str | None = None, before: str | None = None, limit: int | None = None, schema: str = readers.ACTIVITY, date: str = "start_date", key: str = "id") -> DataFrame:
@@ -173,26 +178,64 @@ def fetch_second(spark: SparkSession, path: str, details: DataFrame, since: str,
 
 
 def backfill(spark: SparkSession, path: str, root: str, checkpoint: str, schema: str = readers.ACTIVITY, most: int | None = None) -> dict[str, int]:
-    """Pages backward through the list and merges each page into the store, until there is none, none with an older date, or one with nothing new.
+    """Pages backward through the list and merges its pages into the store, until there is none, none with an older date, or one with nothing new.
 
     Counts of pages and new rides of this call. With the same checkpoint a call goes on after the last page that was merged; a page
     whose merging was not noted is merged again, which changes nothing. `most` pages at most.
+    A batch has three times as many pages as came before it, so the store, which a merge rewrites, is written as often as the logarithm of the pages. Pages
+    are merged as if one after the other: a later one wins, and those of a batch after one with nothing new are not merged but noted, for the next call.
     """
     register(spark)
-    source, done, counted = spark.readStream.format(NAME).load(qualified(spark, path)), {"pages": 0, "new": 0}, [-1]
+    done, over = {"pages": 0, "new": 0}, [False]
+
+    def merged(first: int, end: int, until: int, number: int | None) -> None:
+        """Pages from the first on, up to one with nothing new; without a number those that an earlier batch left. What stays until the batch's end is noted."""
+        listed = pages(spark, path).filter((F.col("page") >= first) & (F.col("page") < end))
+        rows = materialise(rows_of(listed, schema, F.col("page").alias("__page")), "rides")
+        counted: dict[str, Any] = {}
+
+        def change(old: DataFrame | None, at: dict[str, Any] | None) -> tuple[DataFrame, dict[str, Any]] | None:
+            batches, left = dict(at.get("batches", {})) if at else {}, dict(at.get("left", {})) if at else {}
+            counted.clear()
+            if number is not None and batches.get(checkpoint, -1) >= number:
+                counted.update(pages=end - first, new=0, over=False)
+                return None
+            met = rows.groupBy("id").agg(F.min("__page").alias("__first"))
+            fresh = rows.join(met, "id", "left").filter(F.col("id").isNull() | (F.col("__page") == F.col("__first")))
+            fresh = fresh.join(old.select("id"), "id", "left_anti") if old is not None else fresh
+            new = {r["__page"]: r["count"] for r in fresh.groupBy("__page").count().collect()}
+            last = next((p for p in range(first, end) if not new.get(p)), end - 1)
+            counted.update(pages=last + 1 - first, new=sum(n for p, n in new.items() if p <= last), over=not new.get(last))
+            kept = rows.filter(F.col("__page") <= last)
+            if end - first > 1:
+                kept = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("__page")))).filter("__rank = 1").drop("__rank")
+            if last + 1 < until:
+                left[checkpoint] = [last + 1, until]
+            else:
+                left.pop(checkpoint, None)
+            return store.merged(old, kept.drop("__page"), {"batches": {**batches, **({checkpoint: number} if number is not None else {})}, "left": left})
 
-    def merged(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        before = store.current(spark, root)
-        found = store.merge(spark, root, rows_of(batch, schema), stream=checkpoint, batch=number)
-        counted[0] = found["new"] if found != before else -1
-        done["new"] += max(0, counted[0])
-        done["pages"] += 1
+        store.update(spark, root, change)
+        done["pages"] += counted["pages"]
+        done["new"] += counted["new"]
+        over[0] = over[0] or counted["over"]
+
+    def taken(batch: DataFrame, number: int) -> None:
+        found = sorted(r.page for r in batch.select("page").collect())
+        if found:
+            merged(found[0], found[-1] + 1, found[-1] + 1, number)
+
+    def rest() -> list[int]:
+        return ((store.current(spark, root) or {}).get("left") or {}).get(checkpoint) or []
 
-    while most is None or done["pages"] < most:
+    while not over[0] and (most is None or done["pages"] < most):
         last = done["pages"]
-        source.writeStream.foreachBatch(merged).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-        if done["pages"] == last or counted[0] == 0:
+        if left := rest():
+            merged(left[0], left[1] if most is None else min(left[1], left[0] + most - last), left[1], None)
+            continue
+        source = spark.readStream.format(NAME).option("growing", "true")
+        source = (source.option("most", most - last) if most is not None else source).load(qualified(spark, path))
+        source.writeStream.foreachBatch(taken).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        if done["pages"] == last:
             break
     return done

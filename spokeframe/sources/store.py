@@ -99,6 +99,12 @@ def update(spark: SparkSession, root: str, change: Callable[[DataFrame | None, d
     raise RuntimeError(f"other writers came first {TRIES} times")
 
 
+def merged(old: DataFrame | None, rows: DataFrame, note: dict[str, Any], key: str = "id", order: str = "start_date") -> tuple[DataFrame, dict[str, Any]]:
+    """What `update` is to write: the table with the rows merged by key, and the note with how many are new, updated and in all."""
+    counts = upsert_counts(old if old is not None else rows.limit(0), rows, key).first().asDict()
+    return (rows.orderBy(rows[order].desc_nulls_last(), key) if old is None else upsert(old, rows, key, order)), {**counts, **note}
+
+
 def merge(spark: SparkSession, root: str, rows: DataFrame, key: str = "id", order: str = "start_date", stream: str = "", batch: int | None = None) -> dict[str, Any]:
     """Merges rows by key and notes how many are new, updated and in all. A batch of a stream that is in the table already changes nothing."""
 
@@ -106,9 +112,8 @@ def merge(spark: SparkSession, root: str, rows: DataFrame, key: str = "id", orde
         batches = dict(at["batches"]) if at else {}
         if batch is not None and batches.get(stream, -1) >= batch:
             return None
-        counts = upsert_counts(old if old is not None else rows.limit(0), rows, key).first().asDict()
-        note = {**counts, "batches": {**batches, **({stream: batch} if batch is not None else {})}}
-        return (rows.orderBy(rows[order].desc_nulls_last(), key) if old is None else upsert(old, rows, key, order)), note
+        note = {"batches": {**batches, **({stream: batch} if batch is not None else {})}, **({"left": at["left"]} if at and "left" in at else {})}
+        return merged(old, rows, note, key, order)
 
     found = update(spark, root, change)
     assert found is not None

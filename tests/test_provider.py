@@ -85,6 +85,27 @@ def test_backfill_stops_at_a_page_with_nothing_new(spark, listed, tmp_path):
     assert store.read(spark, root).count() == 20
 
 
+def test_backfill_writes_the_store_a_few_times(spark, tmp_path):
+    """A version a page would be 47."""
+    provider.write_pages(rides(spark), f"file://{tmp_path}/pages", 1)
+    assert provider.backfill(spark, f"file://{tmp_path}/pages", f"file://{tmp_path}/s", f"file://{tmp_path}/c", SCHEMA) == {"pages": 46, "new": 46}  # the 46th page has no date, so it is the last
+    assert store.current(spark, f"file://{tmp_path}/s")["version"] <= 8 and store.read(spark, f"file://{tmp_path}/s").count() == 46
+
+
+def test_pages_after_one_with_nothing_new_stay_for_the_next_call(spark, tmp_path):
+    """The page lies inside of a batch; a later page wins over an earlier one."""
+    rows = [(i % 40 if i < 44 else i, f"r{i}", f"20{60 - i // 2:02d}-01-01", 1.0) for i in range(50)]
+    provider.write_pages(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/pages", 4)
+    root = f"file://{tmp_path}/store"
+    store.merge(spark, root, spark.createDataFrame(rows[20:24], SCHEMA))  # the sixth page
+    call = lambda most=None: provider.backfill(spark, f"file://{tmp_path}/pages", root, f"file://{tmp_path}/c", SCHEMA, most)
+    assert call() == {"pages": 6, "new": 20} and store.read(spark, root).count() == 24
+    assert call(1) == {"pages": 1, "new": 4} and call(1) == {"pages": 1, "new": 4}
+    assert call() == {"pages": 3, "new": 8}  # the eleventh page repeats the first rides
+    assert {r.name for r in store.read(spark, root).filter("id < 4").collect()} == {"r40", "r41", "r42", "r43"}
+    assert call() == {"pages": 2, "new": 6} and call() == {"pages": 0, "new": 0} and store.read(spark, root).count() == 46
+
+
 def test_a_page_without_an_older_date_is_the_last(spark, tmp_path):
     rows = spark.createDataFrame([(i, "x", "2020-01-01" if i < 9 else None, 1.0) for i in range(20)], SCHEMA)
     provider.write_pages(rows, f"file://{tmp_path}/pages", 3)
