@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import LONG_RIDE
 from ..shared import materialise, running
 from .graph import components
-from .similarity import km_distances, meet, with_km
+from .similarity import km_near, meet, with_km
 
 
 #: Rounds over all edges before small components are finished by themselves, and edges of such a component.
@@ -139,17 +139,16 @@ def consolidate(rides: DataFrame, within_km: float, ratio: float = 1.25) -> Data
     """rides: activity_id, name, start_date, distance, coords. name, primary_name: groups of one name whose newest rides' paths are near become one.
 
     Names go in the order of their first ride, and each takes the later ones that are near, by less than within_km. Mean recorded distances may
-    differ by `ratio`. A merged group has the name of most of its rides; of equals the shortest, then the first. A name without a track stays.
+    differ by `ratio`. A merged group has the name of most of its rides; of equals the shortest, then the first. A name without a track stays; rides without a name belong to none.
     """
     newest = F.max_by(F.struct("activity_id", "coords"), F.struct("start_date", -F.col("activity_id"))).alias("newest")
     recorded = F.avg(F.when(F.col("distance") != 0, F.col("distance"))).alias("distance")
-    groups = materialise(rides.groupBy("name").agg(F.min("activity_id").alias("first"), F.count("*").alias("n"), recorded, newest), "names")
+    groups = materialise(rides.filter("name is not null").groupBy("name").agg(F.min("activity_id").alias("first"), F.count("*").alias("n"), recorded, newest), "names")
     reps = materialise(with_km(groups.filter(F.size("newest.coords") > 0).select("name", "first", "distance", F.col("newest.coords").alias("coords"))), "reps")
-    side = lambda k: groups.select(F.col("name").alias(k), F.col("first").alias(f"first_{k}"), F.col("distance").alias(f"distance_{k}"))
-    apart = F.greatest("distance_a", "distance_b") / F.nullif(F.least("distance_a", "distance_b"), F.lit(0.0))
-    allowed = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter("first_a < first_b").filter(F.coalesce(apart <= ratio, F.lit(True))).select("a", "b")
-    near = km_distances(reps, reps.withColumnRenamed("name", "other"), "name", "other", LONG_RIDE, allowed).filter(F.col("distance_km") < within_km)
-    taken = pivot_groups(reps.select("name", "first"), near.select(F.col("name").alias("a"), F.col("other").alias("b")), "name", "first")
+    apart = F.greatest("a.distance", "b.distance") / F.nullif(F.least("a.distance", "b.distance"), F.lit(0.0))
+    allowed = (F.col("a.first") != F.col("b.first")) & F.coalesce(apart <= ratio, F.lit(True))
+    near = materialise(km_near(reps, "name", LONG_RIDE, within_km, allowed, "first", "distance").select("a", "b"), "near")
+    taken = pivot_groups(reps.select("name", "first"), near, "name", "first")
     members = groups.join(taken, "name", "left").select("name", "first", "n", F.coalesce("pivot", "name").alias("pivot"))
     primary = members.groupBy("pivot").agg(F.max_by("name", F.struct("n", -F.length("name"), -F.col("first"))).alias("primary_name"))
     return members.join(primary, "pivot").select("name", "primary_name")

@@ -156,6 +156,25 @@ def test_consolidated_names(spark):
     assert got == {"Old": "Old", "Longer name": "Old", "New": "Old", "Long": "Long", "Away": "Away", "No track": "No track"}
 
 
+def test_consolidation_writes_no_pair(spark, monkeypatch):
+    """Near names are those of all pairs; cells and parts are many, and names may be null."""
+    for name, value in (("dealt", None), ("PART", 4), ("FINE", 2), ("FEW", 3)):
+        monkeypatch.setattr(similarity, name, value)
+    rnd = random.Random(3)
+    tracks = [line(rnd.choice([10, 11]), lat=41.8 + rnd.choice([0, 0.05, 0.1]) + rnd.gauss(0, 0.008)) for _ in range(40)]
+    rows = [(i, f"n{i}" if i != 7 else None, "2001-01-01", 1000.0 + 20 * (i % 20), t) for i, t in enumerate(tracks)]
+    df = spark.createDataFrame(rows, "activity_id long, name string, start_date string, distance double, coords array<struct<lat:double,lon:double>>")
+    km = similarity.with_km(df.filter("name is not null"))
+    both = km.alias("a").join(km.alias("b"), F.expr("a.activity_id < b.activity_id and greatest(a.distance, b.distance) / least(a.distance, b.distance) <= 1.25"))
+    near = both.filter(similarity.passes_km(F.col("a.shape"), F.col("b.shape"), LONG_RIDE)).select(F.col("a.activity_id").alias("x"), F.col("b.activity_id").alias("y"), similarity.km_distance(F.col("a.km"), F.col("b.km")).alias("d")).filter("d < 1").collect()
+    want = greedy([i for i in range(40) if i != 7], {(r.x, r.y) for r in near})
+    got = grouping.consolidate(df, 1.0).filter("name is not null").collect()
+    alike = {}
+    for r in got:
+        alike.setdefault(r.primary_name, set()).add(int(r.name[1:]))
+    assert sorted(map(sorted, alike.values())) == sorted(sorted(k for k, p in want.items() if p == q) for q in set(want.values())) and 1 < len(alike) < 39
+
+
 def test_matches_are_those_of_all_pairs(spark):
     rnd = random.Random(11)
     tracks = [[(41.88 + rnd.gauss(0, 0.003) + i * 0.001, -87.63 + rnd.gauss(0, 0.003)) for i in range(rnd.choice([5, 8]))] for _ in range(40)] + [[], None]
