@@ -12,8 +12,8 @@ from ..sources import testdata as t
 from .q_functions import SEGMENTS
 from .q_tracks import EDGES, _edges
 
-#: Rows of a document.
-PAGE = 200
+#: Rows of a document, and numbers of a document of roads, some megabytes.
+PAGE, ROADS = 200, 20_000
 POINT = "CASE WHEN o_orderkey % 7 = 0 OR o_custkey % 5 = 0 THEN 0e0 ELSE"
 
 
@@ -123,7 +123,7 @@ def s14_tracks(spark, d):
 
 
 def _graph(spark, edges):
-    """Roads written as GraphML and read back; every second one bends in its middle. The first file has the keys."""
+    """Roads written as GraphML and read back; every second one bends in its middle. The first document has the keys."""
     text_ = lambda c: c.cast("decimal(18,10)").cast("string")
     node = lambda e, n: F.concat(F.lit('<node id="'), e["edge"].cast("string"), F.lit(f'.{n}"><data key="d4">'), text_(e[f"lat{n}"]), F.lit('</data><data key="d5">'), text_(e[f"lon{n}"]), F.lit("</data></node>\n"))
     pair = lambda lat, lon: F.concat(text_(lon), F.lit(" "), text_(lat))
@@ -131,9 +131,9 @@ def _graph(spark, edges):
     drawn = lambda e: F.when(e["edge"] % 2 == 0, F.concat(F.lit('<data key="d17">'), line(e), F.lit("</data>"))).otherwise("")
     edge = lambda e: F.concat(F.lit('<edge source="'), e["edge"].cast("string"), F.lit('.1" target="'), e["edge"].cast("string"), F.lit('.2" id="0"><data key="d9">street</data>'), drawn(e), F.lit("</edge>\n"))
     keys = "".join(f'<key id="{k}" for="{of}" attr.name="{name}" attr.type="string"/>\n' for k, of, name in (("d4", "node", "y"), ("d5", "node", "x"), ("d9", "edge", "name"), ("d17", "edge", "geometry")))
-    of_file = lambda r: F.when(F.get(r, F.lit(0))["edge"] == 0, keys).otherwise("")
-    make = lambda r: F.concat(F.lit("<graphml>\n"), of_file(r), F.lit("<graph>\n"), F.array_join(F.transform(r, lambda e: F.concat(node(e, 1), node(e, 2), edge(e))), ""), F.lit("</graph>\n</graphml>"))
-    found = readers.road_edges(spark, _documents(edges, "edge", make, spark))
+    of_document = lambda r: F.when(F.get(r, F.lit(0))["edge"] == 0, keys).otherwise("")
+    make = lambda r: F.concat(F.lit("<graphml>\n"), of_document(r), F.lit("<graph>\n"), F.array_join(F.transform(r, lambda e: F.concat(node(e, 1), node(e, 2), edge(e))), ""), F.lit("</graph>\n</graphml>"))
+    found = readers.road_edges(spark, _documents(edges, "edge", make, spark, ROADS))
     return found.select(F.substring_index("edge", ".", 1).cast("long").alias("edge"), "place", *[F.round(c, 8).alias(c) for c in ("lat1", "lon1", "lat2", "lon2")])
 
 
