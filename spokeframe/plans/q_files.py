@@ -139,11 +139,12 @@ def _graph(spark, edges):
 
 @query("S16_routed_answers", "SELECT round_even(sum(lat), 6) AS lat, round_even((5000 + (vec_id * 53) % 4000 + 7e-1) / 1000e0, 2) AS distance_km, round_even((1200 + (vec_id * 37) % 1800) / 60e0, 1) AS duration_min, count(*) AS points FROM points GROUP BY vec_id", "points")
 def s16(spark, d):
+    """Answers come as lists of them, a file for each list."""
     line = F.transform("coords", lambda p: F.array(p["lon"], p["lat"]))
     summary = F.struct(F.struct((F.col("distance") + 0.7).alias("distance"), F.col("duration").cast("double").alias("duration")).alias("summary"))
     feature = F.struct(F.struct(line.alias("coordinates")).alias("geometry"), summary.alias("properties"))
     answers = t.routes(spark, d).select("activity_id", feature.alias("f"))
-    path = _documents(answers, "activity_id", lambda r: F.to_json(F.struct(r.getField("f").alias("features"))), spark, size=1)
+    path = _documents(answers, "activity_id", lambda r: F.to_json(F.transform(r, lambda a: F.struct(F.array(a["f"]).alias("features")))), spark)
     return readers.routed(spark, path).select(F.bround(geo.total(F.col("coords").getField("lat")), 6).alias("lat"), "distance_km", "duration_min", F.size("coords").cast("long").alias("points"))
 
 

@@ -118,7 +118,7 @@ def water_polygons(spark: SparkSession, path: str) -> DataFrame:
 
 
 def routed(spark: SparkSession, path: str) -> DataFrame:
-    """coords, distance_km, duration_min of a routing answer, whose points come as (lon, lat)."""
+    """coords, distance_km, duration_min of routing answers, one or a list of them a file, whose points come as (lon, lat)."""
     schema = "features array<struct<geometry:struct<coordinates:array<array<double>>>,properties:struct<summary:struct<distance:double,duration:double>>>>"
     f = spark.read.schema(schema).json(path, multiLine=True).select(F.get("features", F.lit(0)).alias("f"))
     coords = F.transform("f.geometry.coordinates", lambda p: F.struct(F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lon")))

@@ -57,7 +57,7 @@ def test_gear_weather_water_routes(spark, tmp_path):
     assert (r.distance_km, r.duration_min, r.coords[0].lat, r.coords[1].lon) == (12.35, 3.3, 41.8, -87.5)
 
 
-@pytest.mark.parametrize("name", ["S14_roads_of_tracks"])
+@pytest.mark.parametrize("name", ["S14_roads_of_tracks", "S16_routed_answers"])
 def test_files_are_not_as_many_as_rides(spark, tmp_path, monkeypatch, name):
     """A folder for each ride, or for each 200 numbers of roads, is too many to list for large tables."""
     from spokeframe.plans import q_files
@@ -69,6 +69,11 @@ def test_files_are_not_as_many_as_rides(spark, tmp_path, monkeypatch, name):
     assert 0 < len(list((tmp_path / "written").rglob("*.txt"))) <= 8 < n
 
 
+def test_routing_answers_in_a_list(spark, tmp_path):
+    answer = lambda km: {"features": [{"geometry": {"coordinates": [[-87.6, 41.8]]}, "properties": {"summary": {"distance": km * 1000, "duration": 60}}}]}
+    assert sorted(r.distance_km for r in readers.routed(spark, save(tmp_path / "r.json", [answer(1), answer(2)])).collect()) == [1.0, 2.0]
+
+
 def test_calendar(spark):
     ics = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u1\r\nSUMMARY:1:30 - Sweet\r\n  Spot\\, hard\r\nDTSTART:20240501T060000Z\r\nDTEND:20240501T071500Z\r\nDESCRIPTION:TSS: 88 IF: 0.9\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:u2\r\nSUMMARY:0:45 - Easy\r\nDTSTART;VALUE=DATE:20240502\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:no start\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"
     a, b = readers.ics_events(spark.createDataFrame([(ics,)], "value string")).orderBy("workout_id").collect()
