@@ -191,3 +191,15 @@ def test_orders_of_stops(spark):
                 here = points[k]
             assert r.places == want
     assert stops.ordered(df.limit(0)).count() == 0
+
+
+def test_orders_of_stops_join_nothing(spark):
+    """A small file may hold many tours: joins of them were broadcast, through the driver. Equal stops keep their places."""
+    point = "struct<lat:double,lon:double>"
+    at = (41.9, -87.6)
+    df = spark.createDataFrame([(1, at, [at, at, (41.95, -87.6), at], at), (2, at, [], at), (3, at, None, at), (4, at, [(None, None), at], at)], f"tour long, start {point}, stops array<{point}>, end {point}")
+    found = stops.ordered(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = {r.tour: r.places for r in found.collect()}
+    assert (got[1], got[2], got[3]) == ([0, 1, 2, 3], [], []) and sorted(got[4]) == [0, 1]
